@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,3 +192,14 @@ def name_similarity_column(left: Column, right: Column) -> Column:
         .when(a.contains(b) | b.contains(a), F.lit(0.8))
         .otherwise(share(shared, union))
     )
+
+
+def constant_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A few driver-side facts as a frame of literals (flat types only)."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(name) for v, (name, t) in zip(row, fields)]) for row in rows
+    ]
+    if not structs:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(name) for name, t in fields])
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    any_word_pattern, blank_to_null, col, columns_of, kinds, normal_name, text_columns, to_number,
+    constant_rows, any_word_pattern, blank_to_null, col, columns_of, kinds, normal_name, text_columns, to_number,
 )
 
 
@@ -122,8 +122,7 @@ def date_string_columns(df: DataFrame, fmt: str | None = None) -> DataFrame:
     """Text columns named like dates: values that fail to parse, and whether none does."""
     names = date_named(df)
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column string, failed bigint, is_date_string boolean")
+        return constant_rows(df.sparkSession, [], "column string, failed bigint, is_date_string boolean")
     counts = df.agg(*[
         F.count_if(col(n).isNotNull() & _stamp(col(n), fmt).isNull()).alias(f"c{i}")
         for i, n in enumerate(names)

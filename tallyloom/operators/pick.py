@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, columns_of, to_number
+from tallyloom.functions.scalars import constant_rows, col, columns_of, to_number
 
 
 def amount_evidence(df: DataFrame) -> DataFrame:
     """Per column: how many values are numbers, and their mean. One pass."""
     usable = columns_of(df, "integer", "decimal", "text")
     if not usable:
-        return df.sparkSession.createDataFrame(
-            [], "position int, column string, numbers bigint, mean double")
+        return constant_rows(df.sparkSession, [], "position int, column string, numbers bigint, mean double")
     aggs = []
     for i, name in enumerate(usable):
         number = to_number(col(name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    col, columns_of, kinds, numeric_columns, row_digest, share, text_columns,
+    constant_rows, col, columns_of, kinds, numeric_columns, row_digest, share, text_columns,
 )
 from tallyloom.operators.quantiles import exact_quantiles
 
@@ -46,7 +46,7 @@ def per_column(df: DataFrame, columns: Iterable[str], measures: Mapping[str, Cal
 
 def constants_per_column(df: DataFrame, values: Mapping[str, Mapping[str, object]], schema: str) -> DataFrame:
     """A small frame from driver-side facts, one row per column name."""
-    return df.sparkSession.createDataFrame([(c, *v.values()) for c, v in values.items()], schema)
+    return constant_rows(df.sparkSession, [(c, *v.values()) for c, v in values.items()], schema)
 
 
 def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         df.select(F.explode(cells).alias("v")).where("v is not null").select("v.*").distinct()
         .groupBy("i").agg(F.count("*").alias("unique_count"))
     )
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column string")
+    names = constant_rows(df.sparkSession, list(enumerate(columns)), "i int, column string")
     return names.join(counted, "i", "left").select(
         "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 
@@ -322,8 +322,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     value = col(column).cast("double")
     low, high, mean, rows = df.agg(F.min(value), F.max(value), F.avg(value), F.count(value)).first()
     if not rows:
-        return df.sparkSession.createDataFrame(
-            [], "bin int, bin_start double, bin_end double, rows bigint, mean double, median double")
+        return constant_rows(df.sparkSession, [], "bin int, bin_start double, bin_end double, rows bigint, mean double, median double")
     median = exact_quantiles(df, [column], [0.5], rows=rows)[column][0]
     width = (high - low) / bins if high > low else 1.0
     index = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
@@ -365,8 +364,7 @@ def correlation_matrix(df: DataFrame, threshold: float = 0.0, columns: Iterable[
     by_pair = {f"{i}": p for i, p in enumerate(pairs)}
     measured = per_column(df, list(by_pair), {"r": lambda i: F.corr(
         *[F.when(col(by_pair[i][0]).isNotNull() & col(by_pair[i][1]).isNotNull(), col(c).cast("double")) for c in by_pair[i]])})
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in by_pair.items()], "column string, column_a string, column_b string")
+    names = constant_rows(df.sparkSession, [(i, a, b) for i, (a, b) in by_pair.items()], "column string, column_a string, column_b string")
     r = F.when(~F.isnan("r"), F.round("r", 6))
     return measured.join(names, "column").select(
         "column_a", "column_b", F.when(F.abs(r) >= threshold, r).alias("correlation"))
@@ -381,7 +379,7 @@ def high_correlation(df: DataFrame, above: float = 0.9) -> DataFrame:
         if len(same) > 1:
             parts.append(correlation_matrix(df, columns=same))
     if not parts:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+        return constant_rows(df.sparkSession, [], "column_a string, column_b string, correlation double")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -394,11 +392,10 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     pairs = {f"{i}": p for i, p in enumerate(
         p for p in combinations(df.columns, 2) if types[p[0]] == types[p[1]])}
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string")
+        return constant_rows(df.sparkSession, [], "column_a string, column_b string")
     measured = per_column(df, list(pairs), {
         "different": lambda i: F.count_if(~col(pairs[i][0]).eqNullSafe(col(pairs[i][1])))})
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in pairs.items()], "column string, column_a string, column_b string")
+    names = constant_rows(df.sparkSession, [(i, a, b) for i, (a, b) in pairs.items()], "column string, column_a string, column_b string")
     return measured.where("different = 0").join(names, "column").select("column_a", "column_b")
 
 

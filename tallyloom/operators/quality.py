@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    col, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
+    constant_rows, col, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
 )
 from tallyloom.operators.clean import date_string_columns
 from tallyloom.operators.profile import (
@@ -25,8 +25,7 @@ def mixed_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     """Text columns with digit-only and other values; flagged when the minority is over 5%."""
     columns = list(columns or text_columns(df))
     if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, digit_values bigint, other_values bigint, minority_ratio double, is_mixed boolean")
+        return constant_rows(df.sparkSession, [], "column string, digit_values bigint, other_values bigint, minority_ratio double, is_mixed boolean")
     counts = per_column(df, columns, {
         "digit_values": lambda c: F.count_if(is_digits(col(c))),
         "other_values": lambda c: F.count_if(~is_digits(col(c))),
@@ -42,7 +41,7 @@ def inconsistent_case(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     """Text columns where lower, upper and title case all occur."""
     columns = list(columns or text_columns(df))
     if not columns:
-        return df.sparkSession.createDataFrame([], (
+        return constant_rows(df.sparkSession, [], (
             "column string, any_lower boolean, any_upper boolean, any_title boolean, is_inconsistent boolean"))
 
     def seen(test):

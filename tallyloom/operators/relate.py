@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, kind, kinds, name_similarity, row_digest, share
+from tallyloom.functions.scalars import constant_rows, col, kind, kinds, name_similarity, row_digest, share
 
 Candidate = tuple[str, str, str, str]  # source table, target table, source column, target column
 
@@ -95,7 +95,7 @@ _NONE = (
 
 
 def _empty(tables: Mapping[str, DataFrame], schema: str = _NONE) -> DataFrame:
-    return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
+    return constant_rows(next(iter(tables.values())).sparkSession, [], schema)
 
 
 def _relationship_type(limit: float) -> Column:

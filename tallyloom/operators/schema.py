@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, kinds, normal_name, text_columns
+from tallyloom.functions.scalars import constant_rows, col, kinds, normal_name, text_columns
 from tallyloom.operators.clean import map_columns
 from tallyloom.operators.profile import constants_per_column, distinct_counts, per_column, value_frequencies
 from tallyloom.operators.quality import null_issue_rows
@@ -78,8 +78,7 @@ def suggest_schema(df: DataFrame) -> DataFrame:
         primary = _is_key_name(c) and f["null_count"] == 0 and f["unique_count"] == f["rows"]
         index = c.lower().endswith("_id") and c.lower() != "id"
         rows.append((c, sql_type, f["null_count"] > 0, f["unique_count"], primary, index))
-    return df.sparkSession.createDataFrame(
-        rows, "column string, sql_type string, nullable boolean, unique_values bigint, primary_key boolean, index boolean")
+    return constant_rows(df.sparkSession, rows, "column string, sql_type string, nullable boolean, unique_values bigint, primary_key boolean, index boolean")
 
 
 # Types that can hold each other; any other mix becomes TEXT.
@@ -94,8 +93,7 @@ def unify_schema(tables: Mapping[str, DataFrame], confidence: float = 0.9) -> Da
         (source, i, c, normal_name(c), t, confidence)
         for source, df in tables.items() for i, (c, t) in enumerate(sql_types(df).items())
     ]
-    mapping = spark.createDataFrame(
-        rows, "source_file string, position int, source_column string, target_column string, "
+    mapping = constant_rows(spark, rows, "source_file string, position int, source_column string, target_column string, "
               "data_type string, confidence double")
     found = F.sort_array(F.collect_set("data_type"))
     widest = mapping.groupBy("target_column").agg(found.alias("types"))
@@ -180,7 +178,7 @@ def _migrated_rows(mapped: Mapping[str, DataFrame], columns: Mapping[str, str])
 
 def _migration_report(mapped, failed, spark) -> DataFrame:
     schema = ("source_file string, status string, column string, rows bigint, percentage double, reason string")
-    result = spark.createDataFrame([(s, "failed", None, None, None, why) for s, why in failed.items()], schema)
+    result = constant_rows(spark, [(s, "failed", None, None, None, why) for s, why in failed.items()], schema)
     for source, df in mapped.items():
         done = df.agg(F.count("*").alias("rows")).withColumns({
             "source_file": F.lit(source), "status": F.lit("migrated")})

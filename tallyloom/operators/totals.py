@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import col, grouped_number, money, to_number
+from tallyloom.functions.scalars import constant_rows, col, grouped_number, money, to_number
 
 Tables = Mapping[str, tuple[DataFrame, str | None]]
 
@@ -29,7 +29,7 @@ def tagged_amounts(tables: Tables) -> DataFrame:
 
 def _with_empty_tables(grouped: DataFrame, tables: Tables) -> DataFrame:
     """A table without rows is still part of the answer."""
-    names = grouped.sparkSession.createDataFrame([(n,) for n in tables], "source string")
+    names = constant_rows(grouped.sparkSession, [(n,) for n in tables], "source string")
     return names.join(grouped, "source", "left")
 
 
@@ -86,8 +86,7 @@ def mean_across(tables: Tables) -> DataFrame:
 
 def dataset_overview(tables: Tables) -> DataFrame:
     """Rows, columns and amount figures per table and in total."""
-    sizes = next(iter(tables.values()))[0].sparkSession.createDataFrame(
-        [(n, len(df.columns)) for n, (df, _) in tables.items()], "source string, columns int")
+    sizes = constant_rows(next(iter(tables.values()))[0].sparkSession, [(n, len(df.columns)) for n, (df, _) in tables.items()], "source string, columns int")
     per_table = sizes.join(
         tagged_amounts(tables).groupBy("source").agg(
             F.count("*").alias("rows"), F.sum("amount").alias("total"), F.count("amount").alias("amounts"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import col, file_extension, file_name, to_number
+from tallyloom.functions.scalars import constant_rows, col, file_extension, file_name, to_number
 from tallyloom.operators.profile import type_names
 from tallyloom.sources.probe import list_files
 from tallyloom.sources.readers import BAD, SOURCE, scan_any, scan_csv
@@ -47,8 +47,8 @@ def file_catalog(spark: SparkSession, path: str | list[str], order_by: str = "na
     by_type: dict[str, list[str]] = {}
     for r in files.select("path", "file_type").collect():  # the listing, one short row per file
         by_type.setdefault(r["file_type"], []).append(r["path"])
-    facts = spark.createDataFrame([], "file string, rows bigint, columns int, types string")
-    errors = spark.createDataFrame([], "path string, error string")
+    facts = constant_rows(spark, [], "file string, rows bigint, columns int, types string")
+    errors = constant_rows(spark, [], "path string, error string")
     for suffix, paths in sorted(by_type.items()):
         if suffix in _DELIMITED:
             facts = facts.unionByName(_delimited_facts(spark, paths))

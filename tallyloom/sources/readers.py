@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, file_name, unique_names
+from tallyloom.functions.scalars import constant_rows, col, file_name, unique_names
 from tallyloom.operators.clean import retype_whole_columns
 from tallyloom.sources.probe import list_files, probe_delimited
 
@@ -44,7 +44,7 @@ def scan_csv(
         F.sort_array(F.collect_list("path")).alias("paths")).collect()
     shapes = [s for s in shapes if s["names"]]
     if not shapes:
-        return spark.createDataFrame([], f"{SOURCE} string, {BAD} string")
+        return constant_rows(spark, [], f"{SOURCE} string, {BAD} string")
     shapes.sort(key=lambda s: s["paths"][0])
     return union_all(_scan_shape(spark, s, encoding, multi_line) for s in shapes)
 
@@ -171,7 +171,7 @@ def scan_any(spark: SparkSession, paths: Iterable[str]) -> Scan:
             scan.tables[path] = READERS[suffix](spark, path)
         except PySparkException as problem:
             problems.append((path, str(problem).splitlines()[0]))
-    scan.errors = spark.createDataFrame(problems, "path string, error string")
+    scan.errors = constant_rows(spark, problems, "path string, error string")
     return scan
 
 
