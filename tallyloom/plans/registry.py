@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-_MODULES = ("reconcile", "totals", "cleaning", "profiles", "relations", "conversations")
+_MODULES = ("reconcile", "totals", "cleaning", "profiles", "relations", "conversations", "files", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import constant_rows, col, file_name, unique_names
 from tallyloom.operators.clean import retype_whole_columns
-from tallyloom.sources.probe import list_files, probe_delimited
+from tallyloom.sources.probe import SAMPLE_BYTES, list_files, probe_delimited, read_head
 
 SOURCE, BAD = "source_file", "_bad_record"
 _CORRUPT = "_corrupt_record"
@@ -53,7 +54,8 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) ->
     names, at = list(shape["names"]), shape["header_row"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     options = {"sep": shape["sep"], "quote": shape["quote"], "escape": shape["quote"], "encoding": encoding}
-    raw = spark.read.csv(
+    # Without the full record Spark does not see that a row has too many cells.
+    raw = spark.read.option("columnPruning", False).csv(
         list(shape["paths"]), schema=schema, header=at == 0, enforceSchema=True, mode="PERMISSIVE",
         columnNameOfCorruptRecord=_CORRUPT, multiLine=multi_line, **options)
     rows = raw.select(
@@ -63,11 +65,13 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) ->
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     if at > 0:
         rows = _drop_head(rows, names, shape["head"])
-    # A flagged row is bad only if it has more cells than the header.
+    # A flagged row is bad only if it has more cells than the header. The test on
+    # the first cell is always true: Spark refuses to read the raw record alone.
     wider = ", ".join(f"`_c{i}` string" for i in range(len(names) + 1))
     extra = F.from_csv(F.col(_CORRUPT), F.lit(wider), {k: v for k, v in options.items() if k != "encoding"})[f"_c{len(names)}"]
+    parsed = F.length(F.coalesce(col(names[0]), F.lit(""))) >= 0
     return rows.select(
-        *[col(n) for n in names], SOURCE, F.when(extra.isNotNull(), F.col(_CORRUPT)).alias(BAD))
+        *[col(n) for n in names], SOURCE, F.when(extra.isNotNull() & parsed, F.col(_CORRUPT)).alias(BAD))
 
 
 def _drop_head(rows: DataFrame, names: list[str], head: list[list[str]]) -> DataFrame:
@@ -105,9 +109,11 @@ def quarantine_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def promote_header(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Use the first data row as header if it reads like one; retype whole columns.
 
-    Without ``order`` the first row of the scan counts; rows of a multi-file
-    scan have no defined order, so give one there.
+    ``order`` names columns that give the row order; they are no part of the
+    table and are dropped. Without it the first row of the scan counts; rows of
+    a multi-file scan have no defined order, so give one there.
     """
+    body_columns = [c for c in df.columns if c not in (order or [])]
     numbered, keys = df, order
     if order is None:
         numbered, keys = df.withColumn("_position", F.monotonically_increasing_id()), ["_position"]
@@ -115,16 +121,16 @@ def promote_header(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     else:
         first = numbered.orderBy(*[col(k) for k in keys]).head(1)
     if not first:
-        return df
-    cells = [first[0][c] for c in df.columns]
+        return df.select(*[col(c) for c in body_columns])
+    cells = [first[0][c] for c in body_columns]
     filled = [str(c).lower() for c in cells if c is not None]
     if len(filled) <= 3 or not any(w in c for c in filled for w in fixed.HEADER_WORDS):
-        return df
+        return df.select(*[col(c) for c in body_columns])
     is_first = F.lit(True)
     for k in keys:
         is_first = is_first & col(k).eqNullSafe(F.lit(first[0][k]))
     names = unique_names(None if c is None else str(c) for c in cells)
-    body = numbered.where(~is_first).select(*[col(c) for c in df.columns]).toDF(*names)
+    body = numbered.where(~is_first).select(*[col(c) for c in body_columns]).toDF(*names)
     return retype_whole_columns(body)
 
 
@@ -142,10 +148,26 @@ def _csv_body(spark, path):
     return quarantine_rows(scan_csv(spark, path))[0]
 
 
+def _json_body(spark, path):
+    first = list_files(spark, path).select("path").first()
+    return scan_json(spark, path, multi_line=not (first and is_json_lines(read_head(first[0]))))
+
+
+def is_json_lines(head: bytes) -> bool:
+    """True if the first line of the file is a JSON object by itself."""
+    line, _, rest = head.decode("utf-8", errors="replace").lstrip().partition("\n")
+    if not line.startswith("{"):
+        return False
+    try:
+        json.loads(line)
+        return True
+    except ValueError:
+        return not rest and len(head) >= SAMPLE_BYTES  # one line longer than the sample
+
+
 READERS = {
     ".csv": _csv_body, ".tsv": _csv_body, ".txt": _csv_body,
-    ".json": lambda spark, path: scan_json(spark, path, multi_line=True),
-    ".jsonl": scan_json, ".parquet": scan_parquet, ".pq": scan_parquet,
+    ".json": _json_body, ".jsonl": scan_json, ".parquet": scan_parquet, ".pq": scan_parquet,
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import col, to_number
 from tallyloom.session import scratch_dir
+from tallyloom.sources.probe import list_files
 
 
 def incremental_scan(
@@ -16,6 +17,9 @@ def incremental_scan(
 ) -> DataFrame:
     """A streaming frame over the files; each micro-batch takes a bounded number of files."""
     schema = schema or spark.read.format(fmt).options(**options).load(path).schema
+    first = list_files(spark, path).select("path").first()
+    if first and first[0].rstrip("/").endswith(path.rstrip("/").split(":", 1)[-1]):
+        path = f"{path[:-1]}[{path[-1]}]"  # one file: the file source wants a folder or a glob
     return (
         spark.readStream.format(fmt).schema(schema).options(**options)
         .option("maxFilesPerTrigger", files_per_trigger).load(path)
