@@ -14,35 +14,32 @@ from tallyloom.operators.ordered import first_per_group, with_previous, with_row
 
 # ---- questions -------------------------------------------------------------
 
-def intent_columns(
-    question: Column, tables: int = 2, patterns: Mapping[str, list[str]] = fixed.INTENT_PATTERNS,
-) -> tuple[Column, Column]:
-    """(intent, confidence): the intent with the largest share of matching patterns.
+def classify_intent(df: DataFrame, question: str, tables: int = 2,
+                    patterns: Mapping[str, list[str]] = fixed.INTENT_PATTERNS) -> DataFrame:
+    """Add ``intent`` and ``confidence``: the intent with the largest share of matching patterns.
 
     The first intent wins a tie. A weak best with two or more tables at hand
-    means a comparison; no match at all means analysis.
+    means a comparison; no match at all means analysis. The scores are a step
+    of their own, so that every pattern runs once per question.
     """
-    text = F.lower(question)
-    scores = {
-        intent: sum((text.rlike(p).cast("int") for p in listed), F.lit(0)) / F.lit(float(len(listed)))
-        for intent, listed in patterns.items()
-    }
-    best = F.greatest(*scores.values())
-    chosen = F.lit("analysis")
-    for intent, score in reversed(scores.items()):
-        chosen = F.when((score == best) & (best > 0), F.lit(intent)).otherwise(chosen)
+    text = F.col("_text")
+    scores = F.array(*[
+        sum((text.rlike(p).cast("int") for p in listed), F.lit(0)) / F.lit(float(len(listed)))
+        for listed in patterns.values()
+    ])
+    scored = (
+        df.withColumn("_text", F.lower(F.coalesce(col(question), F.lit(""))))
+        .withColumn("_scores", scores).withColumn("_best", F.array_max("_scores"))
+    )
+    names = F.array(*[F.lit(n) for n in patterns])
+    best = F.col("_best")
+    intent = F.when(best > 0, F.element_at(names, F.array_position("_scores", best).cast("int"))).otherwise("analysis")
+    confidence = best
     if tables >= 2:
         weak = best < fixed.INTENT_FLOOR
-        chosen = F.when(weak, F.lit("comparison")).otherwise(chosen)
-        best = F.when(weak, F.lit(fixed.INTENT_FALLBACK_CONFIDENCE)).otherwise(best)
-    return chosen, best
-
-
-def classify_intent(df: DataFrame, question: str, tables: int = 2,
-                    patterns: Mapping[str, list[str]] = fixed.INTENT_PATTERNS) -> DataFrame:
-    """Add ``intent`` and ``confidence`` to a table of questions."""
-    intent, confidence = intent_columns(F.coalesce(col(question), F.lit("")), tables, patterns)
-    return df.withColumns({"intent": intent, "confidence": F.round(confidence, 6)})
+        intent = F.when(weak, F.lit("comparison")).otherwise(intent)
+        confidence = F.when(weak, F.lit(fixed.INTENT_FALLBACK_CONFIDENCE)).otherwise(best)
+    return scored.withColumns({"intent": intent, "confidence": F.round(confidence, 6)}).drop("_text", "_scores", "_best")
 
 
 def aggregation_kind(question: Column) -> Column:

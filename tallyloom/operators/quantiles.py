@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import col
@@ -36,13 +36,13 @@ class _Rank:
     value: float | None = None
 
 
-def _number(name: str):
+def _number(name: str) -> Column:
     """The column as a finite-or-NULL double; NaN counts as missing."""
     value = col(name).cast("double")
     return F.when(~F.isnan(value), value)
 
 
-def _inside(r: _Rank):
+def _inside(r: _Rank) -> Column:
     value = _number(r.column)
     keep = F.lit(True)
     if r.low is not None:
@@ -112,41 +112,63 @@ def _resolve(df: DataFrame, ranks: list[_Rank], max_inside: int, accuracy: int)
 
 
 def _narrow(df: DataFrame, ranks: list[_Rank], accuracy: int) -> None:
-    """Tighten the bracket of every rank by sketch, then count where the rank falls."""
+    """Tighten the bracket of every rank by sketch, then count where the rank falls.
+
+    Ranks in one bracket share its sketch, ranks with the same sketched bounds
+    share their counts.
+    """
     slack = 2.0 / accuracy
+    brackets: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        brackets.setdefault((r.column, r.low, r.high), []).append(r)
+    groups = list(brackets.values())
     sketched = df.agg(*[
         F.percentile_approx(
-            _inside(r),
+            _inside(g[0]),
             F.array(*[
-                F.lit(min(1.0, max(0.0, (r.rank - r.below) / (r.inside - 1) + d))) for d in (-slack, slack)
+                F.lit(min(1.0, max(0.0, (r.rank - r.below) / (r.inside - 1) + d))) for r in g for d in (-slack, slack)
             ]),
             accuracy,
         ).alias(f"b{i}")
-        for i, r in enumerate(ranks)
+        for i, g in enumerate(groups)
     ]).first()
+    bounds = {id(r): (b[2 * k], b[2 * k + 1]) for g, b in zip(groups, sketched) for k, r in enumerate(g)}
+
+    places: dict[tuple, _Rank] = {}
+    for r in ranks:
+        places.setdefault((r.column, r.low, r.high, *bounds[id(r)]), r)
     counted = df.agg(*[
-        agg
-        for i, (r, (low, high)) in enumerate(zip(ranks, sketched))
-        for agg in (
-            F.count_if(_inside(r) < low).alias(f"lt{i}"),
-            F.count_if(_inside(r) == low).alias(f"lo{i}"),
-            F.count_if((_inside(r) > low) & (_inside(r) < high)).alias(f"in{i}"),
-            F.count_if(_inside(r) == high).alias(f"hi{i}"),
-        )
+        agg.alias(f"{label}{i}")
+        for i, (place, r) in enumerate(places.items())
+        for label, agg in _counts_around(_inside(r), *place[-2:]).items()
     ]).first()
-    for i, (r, (low, high)) in enumerate(zip(ranks, sketched)):
-        under, on_low, between, on_high = (counted[f"{k}{i}"] for k in ("lt", "lo", "in", "hi"))
-        position = r.rank - r.below
-        if position < under:                      # sketch was off: keep what lies below
-            r.high, r.inside = low, under
-        elif position < under + on_low:
-            r.value = low
-        elif position < under + on_low + between:
-            r.below += under + on_low
-            r.low, r.high, r.inside = low, high, between
-        elif low != high and position < under + on_low + between + on_high:
-            r.value = high
-        else:                                     # sketch was off: keep what lies above
-            passed = under + on_low + between + (on_high if low != high else 0)
-            r.below += passed
-            r.low, r.inside = high, r.inside - passed
+    index = {place: i for i, place in enumerate(places)}
+    for r in ranks:
+        low, high = bounds[id(r)]
+        i = index[(r.column, r.low, r.high, low, high)]
+        _place(r, low, high, *(counted[f"{k}{i}"] for k in ("lt", "lo", "in", "hi")))
+
+
+def _counts_around(value: Column, low: float, high: float) -> dict[str, Column]:
+    return {
+        "lt": F.count_if(value < low), "lo": F.count_if(value == low),
+        "in": F.count_if((value > low) & (value < high)), "hi": F.count_if(value == high),
+    }
+
+
+def _place(r: _Rank, low: float, high: float, under: int, on_low: int, between: int, on_high: int) -> None:
+    """Resolve the rank or move its bracket, given the counts around the sketched bounds."""
+    position = r.rank - r.below
+    if position < under:                      # sketch was off: keep what lies below
+        r.high, r.inside = low, under
+    elif position < under + on_low:
+        r.value = low
+    elif position < under + on_low + between:
+        r.below += under + on_low
+        r.low, r.high, r.inside = low, high, between
+    elif low != high and position < under + on_low + between + on_high:
+        r.value = high
+    else:                                     # sketch was off: keep what lies above
+        passed = under + on_low + between + (on_high if low != high else 0)
+        r.below += passed
+        r.low, r.inside = high, r.inside - passed

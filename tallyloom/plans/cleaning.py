@@ -127,7 +127,7 @@ def filter_summary_rows(spark, sf):
 
 @query("filter_summary_rows_words", f"""
 SELECT * FROM ({_REPORT})
-WHERE NOT regexp_matches(lower(concat_ws(' # ', label, brand, kind)), '\\b(total|sum|balance|amount due)\\b')
+WHERE NOT regexp_matches(lower(concat_ws(' # ', label, brand, kind)), '\\b(total|sum|subtotal|summary|balance|amount due)\\b')
   AND (no IS NOT NULL)::int + (label IS NOT NULL)::int + (brand IS NOT NULL)::int + (kind IS NOT NULL)::int
     + (price IS NOT NULL)::int >= 2""")
 def filter_summary_rows_words(spark, sf):

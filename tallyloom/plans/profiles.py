@@ -270,11 +270,16 @@ _CASED = """SELECT CASE WHEN p_size < 10 THEN upper(p_name) WHEN p_size < 20 THE
   p_name AS plain, p_brand AS brand, upper(p_type) AS kind FROM part"""
 
 
-@query("inconsistent_case", f"WITH t AS ({_CASED})\nSELECT *, any_lower AND any_upper AND any_title AS is_inconsistent FROM (" + union_sql([f"""
+def _casing_sql(c, source):
+    return f"""
 SELECT '{c}' AS "column", bool_or({c} = lower({c}) AND lower({c}) <> upper({c})) AS any_lower,
   bool_or({c} = upper({c}) AND lower({c}) <> upper({c})) AS any_upper,
-  bool_or(regexp_full_match({c}, '([^a-zA-Z]*[A-Z][a-z]*)+[^a-zA-Z]*') AND NOT regexp_matches({c}, '[a-zA-Z][A-Z]')) AS any_title FROM t"""
-    for c in ("mixed", "plain", "brand", "kind")]) + ")")
+  bool_or(lower({c}) <> upper({c}) AND NOT regexp_matches({c}, '\\p{{L}}\\p{{Lu}}')
+    AND NOT regexp_matches({c}, '(^|[^\\p{{L}}])\\p{{Ll}}')) AS any_title FROM {source}"""
+
+
+@query("inconsistent_case", f"WITH p AS ({_CASED})\nSELECT *, any_lower AND any_upper AND any_title AS is_inconsistent FROM ("
+       + union_sql([_casing_sql(c, "p") for c in ("mixed", "plain", "brand", "kind")]) + ")")
 def inconsistent_case(spark, sf):
     return quality.inconsistent_case(table(spark, sf, "part").selectExpr(
         "CASE WHEN p_size < 10 THEN upper(p_name) WHEN p_size < 20 THEN 'Red Ring' ELSE p_name END AS mixed",
@@ -336,7 +341,10 @@ o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_date, CASE WHEN o_orders
 SELECT 'documents' AS "table", 'missing_values' AS type, 'lang' AS columns, CAST(1 AS bigint) AS found WHERE EXISTS (SELECT 1 FROM t WHERE lang IS NULL)
 UNION ALL SELECT 'documents', 'duplicates', '', n FROM (SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS n) WHERE n > 0
 UNION ALL SELECT 'parts', 'duplicates', '', n FROM (SELECT (SELECT count(*) FROM p) - (SELECT count(*) FROM (SELECT DISTINCT * FROM p)) AS n) WHERE n > 0
-UNION ALL SELECT 'parts', 'inconsistent_formatting', 'mixed', 1
+UNION ALL SELECT "table", 'inconsistent_formatting', "column", 1 FROM (
+""" + union_sql([f"SELECT '{t}' AS \"table\", * FROM ({_casing_sql(c, s)})" for t, s, columns in (
+    ("documents", "t", _DOC_COLUMNS), ("parts", "p", ("mixed", "plain", "brand", "kind")), ("orders", "o", ("order_date", "ship_date")))
+    for c in columns]) + """) WHERE any_lower AND any_upper AND any_title
 UNION ALL SELECT 'orders', 'duplicates', '', n FROM (SELECT (SELECT count(*) FROM o) - (SELECT count(*) FROM (SELECT DISTINCT * FROM o)) AS n) WHERE n > 0
 UNION ALL SELECT 'orders', 'incorrect_data_type', 'order_date', 1""")
 def cleaning_recommendations(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import constant_rows, col, file_extension, file_name, to_number
 from tallyloom.operators.profile import type_names
 from tallyloom.sources.probe import list_files
-from tallyloom.sources.readers import BAD, SOURCE, scan_any, scan_csv
+from tallyloom.sources.readers import BAD, SOURCE, scan_any, scan_shapes
 
 _ORDERS = {
     "size": lambda: [F.desc("bytes"), F.asc("file")],
@@ -18,9 +18,9 @@ _ORDERS = {
 _DELIMITED = (".csv", ".tsv", ".txt")
 
 
-def _delimited_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _delimited_facts(shape: DataFrame) -> DataFrame:
     """Rows, columns and types per file in one pass: a column is numeric if all its values are."""
-    df = scan_csv(spark, paths).where(F.col(BAD).isNull())
+    df = shape.where(F.col(BAD).isNull())
     names = [c for c in df.columns if c not in (SOURCE, BAD)]
     grouped = df.groupBy(SOURCE).agg(
         F.count("*").alias("rows"),
@@ -51,7 +51,8 @@ def file_catalog(spark: SparkSession, path: str | list[str], order_by: str = "na
     errors = constant_rows(spark, [], "path string, error string")
     for suffix, paths in sorted(by_type.items()):
         if suffix in _DELIMITED:
-            facts = facts.unionByName(_delimited_facts(spark, paths))
+            for shape in scan_shapes(spark, paths):
+                facts = facts.unionByName(_delimited_facts(shape))
             continue
         for one in ([paths] if suffix in (".parquet", ".pq", ".jsonl") else [[p] for p in paths]):
             scan = scan_any(spark, one[:1])

@@ -28,5 +28,6 @@ def scan_conversations(spark: SparkSession, path: str | list[str], multi_line: b
     ).select(
         "conversation_id", "title", "created_at", "updated_at", "data_files", "source_file", "turn",
         "m.role", "m.content", "m.timestamp", "m.message_id")
-    bad = documents.where("_corrupt_record is not null").select("source_file", F.lit("invalid JSON").alias("error"))
+    # Spark refuses to read the raw record alone, hence the (always true) look at the id.
+    bad = documents.where("_corrupt_record is not null and length(coalesce(conversation_id, '')) >= 0").select("source_file", F.lit("invalid JSON").alias("error"))
     return messages, bad

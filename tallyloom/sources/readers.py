@@ -40,14 +40,20 @@ def scan_csv(
     padded with NULL, and rows with too many cells keep their raw text in
     ``_bad_record`` (see :func:`quarantine_rows`).
     """
+    shapes = scan_shapes(spark, path, sep=sep, quote=quote, encoding=encoding, multi_line=multi_line)
+    return union_all(shapes) if shapes else constant_rows(spark, [], f"{SOURCE} string, {BAD} string")
+
+
+def scan_shapes(
+    spark: SparkSession, path: str | list[str], *, sep: str | None = None, quote: str | None = None,
+    encoding: str = "utf-8", multi_line: bool = False,
+) -> list[DataFrame]:
+    """The same, one frame per shape (dialect, header row and column names)."""
     probes = probe_delimited(spark, path, encoding=encoding, sep=sep, quote=quote).where("error is null")
     shapes = probes.groupBy("sep", "quote", "header_row", "names", "head").agg(
         F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    shapes = [s for s in shapes if s["names"]]
-    if not shapes:
-        return constant_rows(spark, [], f"{SOURCE} string, {BAD} string")
-    shapes.sort(key=lambda s: s["paths"][0])
-    return union_all(_scan_shape(spark, s, encoding, multi_line) for s in shapes)
+    shapes = sorted((s for s in shapes if s["names"]), key=lambda s: s["paths"][0])
+    return [_scan_shape(spark, s, encoding, multi_line) for s in shapes]
 
 
 def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) -> DataFrame:
