@@ -1,5 +1,6 @@
 """tallyloom: profile, reconcile and migrate messy tables with Spark DataFrames."""
 
+from tallyloom.ask import Answer, ask
 from tallyloom.session import build_session, scratch_dir
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["Answer", "ask", "build_session", "scratch_dir"]

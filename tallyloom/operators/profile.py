@@ -178,15 +178,16 @@ def profile_numeric(df: DataFrame, columns: Iterable[str] | None = None, **optio
 def profile_string(df: DataFrame, columns: Iterable[str] | None = None, top_below: int = 100) -> DataFrame:
     """Lengths, distinct values and, for few distinct values, the top-10 shares."""
     columns = list(columns or text_columns(df))
+    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, columns).collect()}  # one row per column
+    few = [c for c in columns if unique[c] < top_below]
+    facts = constants_per_column(df, {c: {"u": unique[c]} for c in columns}, "column string, unique_count bigint")
     stats = per_column(df, columns, {
         "missing_count": lambda c: F.count_if(col(c).isNull()),
         "count": lambda c: F.count(col(c)),
         "min_length": lambda c: F.min(F.length(col(c))),
         "max_length": lambda c: F.max(F.length(col(c))),
         "avg_length": lambda c: F.round(F.avg(F.length(col(c))), 6),
-    }).join(distinct_counts(df, columns), "column")
-    few = [r["column"] for r in distinct_counts(df, columns).where(F.col("unique_count") < top_below).collect()]
-    stats = stats.withColumn(
+    }).join(facts, "column").withColumn(
         "unique_percentage", F.round(share(F.col("unique_count") * 100, F.col("count")), 6))
     if not few:
         return stats.withColumn("top_values", F.lit(None).cast("string"))

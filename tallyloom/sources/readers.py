@@ -17,6 +17,7 @@ from tallyloom.operators.clean import retype_whole_columns
 from tallyloom.sources.probe import SAMPLE_BYTES, list_files, probe_delimited, read_head
 
 SOURCE, BAD = "source_file", "_bad_record"
+MAX_HEAD_LINES = 50
 _CORRUPT = "_corrupt_record"
 
 
@@ -50,8 +51,10 @@ def scan_shapes(
 ) -> list[DataFrame]:
     """The same, one frame per shape (dialect, header row and column names)."""
     probes = probe_delimited(spark, path, encoding=encoding, sep=sep, quote=quote).where("error is null")
-    shapes = probes.groupBy("sep", "quote", "header_row", "names", "head").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    shapes = probes.groupBy("sep", "quote", "header_row", "names").agg(
+        F.sort_array(F.collect_list("path")).alias("paths"),
+        F.array_distinct(F.flatten(F.collect_set("head"))).alias("head"),
+    ).withColumn("head", F.when(F.size("head") <= MAX_HEAD_LINES, F.col("head"))).collect()
     shapes = sorted((s for s in shapes if s["names"]), key=lambda s: s["paths"][0])
     return [_scan_shape(spark, s, encoding, multi_line) for s in shapes]
 
@@ -70,7 +73,7 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) ->
         file_name(F.col("_metadata.file_path")).alias(SOURCE),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     if at > 0:
-        rows = _drop_head(rows, names, shape["head"])
+        rows = _drop_head(rows, names, at + 1, shape["head"])
     # A flagged row is bad only if it has more cells than the header. The test on
     # the first cell is always true: Spark refuses to read the raw record alone.
     wider = ", ".join(f"`_c{i}` string" for i in range(len(names) + 1))
@@ -80,15 +83,17 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) ->
         *[col(n) for n in names], SOURCE, F.when(extra.isNotNull() & parsed, F.col(_CORRUPT)).alias(BAD))
 
 
-def _drop_head(rows: DataFrame, names: list[str], head: list[list[str]]) -> DataFrame:
-    """Drop the first rows of every file, up to and with the header.
+def _drop_head(rows: DataFrame, names: list[str], count: int, head: list[list[str]] | None) -> DataFrame:
+    """Drop the first ``count`` rows of every file, up to and with the header.
 
-    Only rows that look like one of those leading rows, in the first block of
-    a file, are numbered; they include all leading rows, which therefore come
-    first. Everything else passes without a shuffle.
+    Only rows of a file's first block that look like one of the leading rows of
+    these files are numbered. They include all leading rows, which therefore
+    come first; everything else passes without a shuffle. If the files have too
+    many different leading rows (``head`` is None), all rows of the first block
+    are numbered.
     """
-    like_head = F.lit(False)
-    for line in head:
+    like_head = F.lit(head is None)
+    for line in head or []:
         same = F.lit(True)
         for i, n in enumerate(names):
             cell = line[i] if i < len(line) and line[i] != "" else None
@@ -99,7 +104,7 @@ def _drop_head(rows: DataFrame, names: list[str], head: list[list[str]]) -> Data
     later = (
         rows.where(candidate).withColumn("_position", F.monotonically_increasing_id())
         .withColumn("_row", F.row_number().over(order))
-        .where(F.col("_row") > len(head)).drop("_position", "_row")
+        .where(F.col("_row") > count).drop("_position", "_row")
     )
     return rows.where(~candidate).unionByName(later)
 

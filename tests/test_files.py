@@ -56,6 +56,15 @@ def test_head_rows_drop_once_per_file(spark, tmp_path):
     assert {r[0]: r[1] for r in df.groupBy("source_file").count().collect()} == {"a.csv": 4, "b.csv": 5}
 
 
+def test_many_different_head_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_HEAD_LINES", 2)
+    for i in range(4):
+        (tmp_path / f"{i}.csv").write_text(f"{i},2024-01-0{i + 1}\nname,amount\nx{i},1\nname,amount\n")
+    df = readers.scan_csv(spark, str(tmp_path))
+    assert df.columns[:2] == ["name", "amount"]
+    assert sorted(tuple(r)[:2] for r in df.collect()) == sorted([(f"x{i}", "1") for i in range(4)] + [("name", "amount")] * 4)
+
+
 def test_bad_rows(spark, tmp_path, rows):
     (tmp_path / "x.csv").write_text('k,name,amount\n1,"a, b",2\n2,b,3,extra\n3,c\n')
     good, bad = readers.quarantine_rows(readers.scan_csv(spark, str(tmp_path)))
