@@ -107,6 +107,13 @@ def row_digest(columns: Iterable[Column], salt: int = 0) -> list[Column]:
     ]
 
 
+def value_digest(value: Column, data_type: T.DataType) -> list[Column]:
+    """Digest of one column. Fixed-width values need only the first hash, which is one-to-one for them."""
+    h1, h2 = row_digest([value])
+    fixed_width = isinstance(data_type, (*INTEGERS, *STAMPS, T.FloatType, T.DoubleType, T.BooleanType))
+    return [h1, F.lit(0).cast("bigint").alias("_h2") if fixed_width else h2]
+
+
 # ---- types -----------------------------------------------------------------
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

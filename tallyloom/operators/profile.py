@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    constant_rows, col, columns_of, kinds, numeric_columns, row_digest, share, text_columns,
+    constant_rows, col, columns_of, kinds, numeric_columns, row_digest, share, text_columns, value_digest,
 )
 from tallyloom.operators.quantiles import exact_quantiles
 
@@ -49,11 +49,18 @@ def constants_per_column(df: DataFrame, values: Mapping[str, Mapping[str, object
     return constant_rows(df.sparkSession, [(c, *v.values()) for c, v in values.items()], schema)
 
 
-def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """(column, unique_count) of non-null values, one shuffle of digests."""
+def distinct_counts(df: DataFrame, columns: Iterable[str], approx: bool = False) -> DataFrame:
+    """(column, unique_count) of non-null values.
+
+    Exact: one shuffle of value digests for all columns together. ``approx``:
+    sketches in one pass without a shuffle, for tables where every value of
+    many columns is different.
+    """
     columns = list(columns)
+    if approx:
+        return per_column(df, columns, {"unique_count": lambda c: F.approx_count_distinct(col(c), 0.01)})
     cells = F.array(*[
-        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *row_digest([col(c)])))
+        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *value_digest(col(c), df.schema[c].dataType)))
         for i, c in enumerate(columns)
     ])
     counted = (
@@ -81,14 +88,58 @@ def top_values(df: DataFrame, columns: Iterable[str], k: int) -> DataFrame:
     return value_frequencies(df, columns).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def most_frequent(df: DataFrame, columns: Iterable[str], short: int = 100) -> DataFrame:
+    """(column, top_value, top_count): the smallest of the most frequent values as text.
+
+    Columns of short values are counted by value, the others by digest.
+    """
+    columns = list(columns)
+    longest = dict(zip(columns, df.agg(*[F.max(F.length(col(c).cast("string"))).alias(f"n{i}") for i, c in enumerate(columns)]).first()))
+    by_value = [c for c in columns if (longest[c] or 0) <= short]
+    by_digest = [c for c in columns if c not in by_value]
+    parts = []
+    if by_value:
+        names = constant_rows(df.sparkSession, [(c,) for c in by_value], "column string")
+        top = top_values(df, by_value, 1).select("column", F.col("value").alias("top_value"), F.col("rows").alias("top_count"))
+        parts.append(names.join(top, "column", "left"))
+    if by_digest:
+        parts.append(_most_frequent_long(df, by_digest))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _most_frequent_long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count digests; look up again only the values with the highest count."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), *value_digest(col(c), df.schema[c].dataType), col(c).cast("string").alias("value"))
+        for i, c in enumerate(columns)
+    ]))).where("value is not null")
+    counts = cells.groupBy("i", "_h1", "_h2").agg(F.count("*").alias("n"))
+    highest = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.max("n").alias("n")).collect()}  # one row per column
+    facts = constant_rows(df.sparkSession, [(i, c, highest.get(i)) for i, c in enumerate(columns)], "i int, column string, top_count bigint")
+    repeated = [i for i, n in highest.items() if n > 1]
+    # Where no value repeats, all are equally frequent and the smallest one wins.
+    smallest = cells.where(~F.col("i").isin(repeated)).groupBy("i").agg(F.min("value").alias("top_value"))
+    if repeated:
+        is_top = F.lit(False)
+        for i in repeated:
+            is_top = is_top | ((F.col("i") == i) & (F.col("n") == highest[i]))
+        winners = cells.where(F.col("i").isin(repeated)).join(counts.where(is_top), ["i", "_h1", "_h2"], "left_semi")
+        smallest = smallest.unionByName(winners.groupBy("i").agg(F.min("value").alias("top_value")))
+    return facts.join(smallest, "i", "left").select("column", "top_value", F.col("top_count"))
+
+
 def type_names(df: DataFrame) -> dict[str, str]:
     names = {"integer": "int64", "decimal": "float64", "text": "object", "boolean": "bool",
              "timestamp": "datetime64[ns]", "other": "object"}
     return {c: names[k] for c, k in kinds(df).items()}
 
 
-def column_statistics(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Type, counts, numeric statistics and top-5 shares of every column."""
+def column_statistics(df: DataFrame, columns: Iterable[str] | None = None, approx_distinct: bool = False) -> DataFrame:
+    """Type, counts, numeric statistics and top-5 shares of every column.
+
+    Top values are looked for only in columns that turn out categorical, so
+    long or unique texts are never shuffled.
+    """
     columns = list(columns or df.columns)
     numeric = [c for c in numeric_columns(df) if c in columns]
     text = [c for c in text_columns(df) if c in columns]
@@ -97,6 +148,14 @@ def column_statistics(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     def number(c, agg):
         return agg(col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
 
+    rows = df.count()
+    medians = exact_quantiles(df, numeric, [0.5], rows=rows)
+    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, columns, approx_distinct).collect()}
+    categorical = [c for c in text if rows and unique[c] / rows < fixed.CATEGORICAL_RATIO]
+    facts = constants_per_column(
+        df, {c: {"t": types[c], "m": medians.get(c, [None])[0], "u": unique[c],
+                 "c": c in categorical if c in text else None} for c in columns},
+        "column string, type string, median double, unique_count bigint, appears_categorical boolean")
     base = per_column(df, columns, {
         "row_count": lambda c: F.count(F.lit(1)),
         "count": lambda c: F.count(col(c)),
@@ -106,34 +165,23 @@ def column_statistics(df: DataFrame, columns: Iterable[str] | None = None) -> Da
         "std": lambda c: F.round(number(c, F.stddev_samp), 6),
         "sum": lambda c: F.round(number(c, F.sum), 2),
     })
-    medians = exact_quantiles(df, numeric, [0.5])
-    facts = constants_per_column(
-        df, {c: {"t": types[c], "m": medians.get(c, [None])[0]} for c in columns},
-        "column string, type string, median double")
-    result = base.join(facts, "column").join(distinct_counts(df, columns), "column")
-    result = result.select(
-        "column", "type", "row_count", "count",
-        (F.col("row_count") - F.col("count")).alias("missing_count"),
-        F.round(F.coalesce(share(F.col("row_count") - F.col("count"), F.col("row_count")), F.lit(0.0)), 6).alias("missing_ratio"),
+    missing = F.col("row_count") - F.col("count")
+    result = base.join(facts, "column").select(
+        "column", "type", "row_count", "count", missing.alias("missing_count"),
+        F.round(F.coalesce(share(missing, F.col("row_count")), F.lit(0.0)), 6).alias("missing_ratio"),
         "unique_count",
         F.round(F.coalesce(share(F.col("unique_count"), F.col("row_count")), F.lit(0.0)), 6).alias("unique_ratio"),
-        "min", "max", "mean", F.round("median", 6).alias("median"), "std", "sum",
+        "min", "max", "mean", F.round("median", 6).alias("median"), "std", "sum", "appears_categorical",
     )
-    if not text:
-        return result.withColumns({
-            "appears_categorical": F.lit(None).cast("boolean"), "top_categories": F.lit(None).cast("string")})
+    if not categorical:
+        return result.withColumn("top_categories", F.lit(None).cast("string"))
     tops = (
-        top_values(df, text, 5).groupBy("column")
+        top_values(df, categorical, 5).groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "rows"))).alias("top"))
     )
-    result = result.join(tops, "column", "left")
-    categorical = F.when(
-        F.col("type") == "object",
-        F.coalesce(share(F.col("unique_count"), F.col("row_count")) < fixed.CATEGORICAL_RATIO, F.lit(False)))
     shares = F.array_join(F.transform("top", lambda t: F.concat(
         t["value"], F.lit("="), F.format_number(t["rows"] / F.col("count"), 4))), "|")
-    return result.withColumns({
-        "appears_categorical": categorical, "top_categories": F.when(categorical, shares)}).drop("top")
+    return result.join(tops, "column", "left").withColumn("top_categories", shares).drop("top")
 
 
 def _quartile_bounds(df: DataFrame, columns: list[str], **options) -> dict[str, dict[str, float | None]]:
@@ -283,7 +331,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     stats = stats.join(facts, "column")
     columns_part = stats
     if text:
-        top = top_values(df, text, 1).select("column", F.col("value").alias("top_value"), F.col("rows").alias("top_count"))
+        top = most_frequent(df, text)
         unique = distinct_counts(df, text)
         columns_part = stats.join(unique, "column", "left").join(top, "column", "left")
     else:

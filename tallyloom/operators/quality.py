@@ -51,7 +51,7 @@ def inconsistent_case(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     return flags.withColumn("is_inconsistent", F.expr("any_lower and any_upper and any_title"))
 
 
-def quality_scorecard(df: DataFrame, **options) -> DataFrame:
+def quality_scorecard(df: DataFrame, approx_distinct: bool = False, **options) -> DataFrame:
     """Scores and issues in long form: (item, column, value, severity).
 
     ``score`` rows hold completeness, validity, uniqueness, consistency and
@@ -63,7 +63,7 @@ def quality_scorecard(df: DataFrame, **options) -> DataFrame:
         "rows": lambda c: F.count(F.lit(1)),
         "values": lambda c: F.count(col(c)),
         "outliers": lambda c: F.count_if(outside(col(c), bounds[c])) if c in numeric else F.lit(None).cast("bigint"),
-    }).join(distinct_counts(df, df.columns), "column").join(
+    }).join(distinct_counts(df, df.columns, approx_distinct), "column").join(
         mixed_types(df).select("column", "digit_values", "other_values"), "column", "left")
     ratios = stats.select(
         "column",

@@ -105,14 +105,15 @@ def drop_blank_rows(spark, sf):
 
 
 # A report-like table: total rows, sparse rows, and harmless words that contain "sum".
-_REPORT = """
-  SELECT p_partkey AS no,
-    CASE WHEN p_size = 1 THEN 'Total:' WHEN p_size = 2 THEN 'Amount Due' WHEN p_size = 3 THEN 'consumer'
-         WHEN p_size > 40 THEN NULL ELSE p_name END AS label,
-    CASE WHEN p_size > 40 THEN NULL ELSE p_brand END AS brand,
-    CASE WHEN p_size > 30 THEN NULL ELSE p_type END AS kind,
-    CASE WHEN p_size BETWEEN 41 AND 45 THEN p_retailprice END AS price
-  FROM part"""
+_REPORT_COLUMNS = [
+    "p_partkey AS no",
+    "CASE WHEN p_size = 1 THEN 'Total:' WHEN p_size = 2 THEN 'Amount Due' WHEN p_size = 3 THEN 'consumer' "
+    "WHEN p_size > 40 THEN NULL ELSE p_name END AS label",
+    "CASE WHEN p_size > 40 THEN NULL ELSE p_brand END AS brand",
+    "CASE WHEN p_size > 30 THEN NULL ELSE p_type END AS kind",
+    "CASE WHEN p_size BETWEEN 41 AND 45 THEN p_retailprice END AS price",
+]
+_REPORT = f"SELECT {', '.join(_REPORT_COLUMNS)} FROM part"
 
 
 @query("filter_summary_rows", f"""
@@ -121,8 +122,7 @@ WHERE NOT regexp_matches(lower(concat_ws(' # ', label, brand, kind)), 'total|sum
   AND (no IS NOT NULL)::int + (label IS NOT NULL)::int + (brand IS NOT NULL)::int + (kind IS NOT NULL)::int
     + (price IS NOT NULL)::int >= 2""")
 def filter_summary_rows(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("part_for_report")
-    return clean.filter_summary_rows(spark.sql(_REPORT.replace("FROM part", "FROM part_for_report")))
+    return clean.filter_summary_rows(table(spark, sf, "part").selectExpr(*_REPORT_COLUMNS))
 
 
 @query("filter_summary_rows_words", f"""
@@ -131,8 +131,7 @@ WHERE NOT regexp_matches(lower(concat_ws(' # ', label, brand, kind)), '\\b(total
   AND (no IS NOT NULL)::int + (label IS NOT NULL)::int + (brand IS NOT NULL)::int + (kind IS NOT NULL)::int
     + (price IS NOT NULL)::int >= 2""")
 def filter_summary_rows_words(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("part_for_report")
-    return clean.filter_summary_rows(spark.sql(_REPORT.replace("FROM part", "FROM part_for_report")), word_boundary=True)
+    return clean.filter_summary_rows(table(spark, sf, "part").selectExpr(*_REPORT_COLUMNS), word_boundary=True)
 
 
 # Page tokens with a confidence and a box, taken from the order lines.

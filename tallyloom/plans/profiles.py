@@ -8,13 +8,13 @@ from tallyloom.operators import profile, quality
 from tallyloom.plans.registry import query, table, union_sql
 
 # Order lines with NULLs and a column of mixed content.
-_LINES_SQL = """
-  SELECT l_linenumber, l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_discount, nullif(l_tax, 0) AS l_tax,
-    l_returnflag, nullif(l_linestatus, 'O') AS l_linestatus,
-    CASE WHEN l_linenumber > 5 THEN CAST(l_partkey AS {text}) ELSE l_returnflag || '-' || l_linestatus END AS note,
-    CASE WHEN l_returnflag <> 'A' THEN l_shipdate END AS l_shipdate
-  FROM lineitem"""
-_SQL = _LINES_SQL.format(text="varchar")
+_LINES = [
+    "l_linenumber", "l_quantity", "l_extendedprice", "nullif(l_discount, 0) AS l_discount", "nullif(l_tax, 0) AS l_tax",
+    "l_returnflag", "nullif(l_linestatus, 'O') AS l_linestatus",
+    "CASE WHEN l_linenumber > 5 THEN CAST(l_partkey AS {text}) ELSE l_returnflag || '-' || l_linestatus END AS note",
+    "CASE WHEN l_returnflag <> 'A' THEN l_shipdate END AS l_shipdate",
+]
+_SQL = f"SELECT {', '.join(_LINES)} FROM lineitem".format(text="varchar")
 _WITH = f"t AS ({_SQL})"
 _NUMERIC = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _TEXT = ["l_returnflag", "l_linestatus", "note"]
@@ -23,8 +23,7 @@ _COLUMNS = [*_NUMERIC, *_TEXT, "l_shipdate"]
 
 
 def lines(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem_for_profile")
-    return spark.sql(_LINES_SQL.format(text="string").replace("FROM lineitem", "FROM lineitem_for_profile"))
+    return table(spark, sf, "lineitem").selectExpr(*[e.format(text="string") for e in _LINES])
 
 
 def _number(c, sql):

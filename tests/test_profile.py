@@ -90,3 +90,21 @@ def test_migrate_lists_failures(spark):
     assert [(r["source_file"], r["reason"]) for r in report.where("status = 'failed'").collect()] == [("c", "no column mapping")]
     assert schema.create_table_sql("t", {"id": "TEXT", "n": "DECIMAL"}, ["id"]) == "CREATE TABLE t (\n  id TEXT,\n  n DECIMAL,\n  PRIMARY KEY (id)\n);"
     assert schema.mapping_confidence(mapping).first().asDict() == {"total_mappings": 3, "high_confidence": 3, "low_confidence": 0}
+
+
+def test_distinct_counts(spark):
+    df = spark.createDataFrame(
+        [(1, 1.5, "a", True), (1, -0.5, "b", None), (None, None, None, True), (3, 1.5, "a", False)], "i int, d double, t string, b boolean")
+    exact = {r[0]: r[1] for r in profile.distinct_counts(df, df.columns).collect()}
+    assert exact == {"i": 2, "d": 2, "t": 2, "b": 2}
+    assert {r[0]: r[1] for r in profile.distinct_counts(df, df.columns, approx=True).collect()} == exact
+    big = spark.range(20000).selectExpr("id", "id * 1.25D d", "cast(id as string) t")
+    assert {r[1] for r in profile.distinct_counts(big, big.columns).collect()} == {20000}
+
+
+def test_most_frequent(spark):
+    df = spark.createDataFrame(
+        [("b", "x1", None), ("a", "x3", None), ("b", "x2", None), ("a", "x0", None), (None, "x9", None)], "t string, u string, e string")
+    for short in (-1, 1, 100):
+        got = {r["column"]: (r["top_value"], r["top_count"]) for r in profile.most_frequent(df, ["t", "u", "e"], short).collect()}
+        assert got == {"t": ("a", 2), "u": ("x0", 1), "e": (None, None)}
