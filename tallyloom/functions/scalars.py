@@ -114,6 +114,16 @@ def value_digest(value: Column, data_type: T.DataType) -> list[Column]:
     return [h1, F.lit(0).cast("bigint").alias("_h2") if fixed_width else h2]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of the left side stay."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return left.join(renamed, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 # ---- types -----------------------------------------------------------------
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import col
+from tallyloom.functions.scalars import col, null_safe_join
 from tallyloom.operators.ordered import with_last_known, with_row_number
 
 # Opening tag of a heading or paragraph and the text up to the next tag.
@@ -63,7 +63,7 @@ def text_blocks(tokens: DataFrame, block: list[str], order: list[str], *, text:
         .agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("row_no", col(text).alias("t")))), lambda e: e["t"]), " ").alias("text"))
     )
-    return figures.join(texts, block, "left").withColumns({
+    return null_safe_join(figures, texts, block).withColumns({
         "part": F.coalesce("part", F.lit(1)), "text": F.coalesce("text", F.lit(""))})
 
 

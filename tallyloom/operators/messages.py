@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, contains_any, count_contained, share
+from tallyloom.functions.scalars import col, contains_any, count_contained, null_safe_join, share
 from tallyloom.operators.ordered import first_per_group, with_previous, with_row_number
 
 
 # ---- questions -------------------------------------------------------------
 
+def needed_word(pattern: str) -> str | None:
+    """A word every match of the pattern must contain, if one is plain to see.
+
+    Only words right after a word boundary, outside of groups, count; the last
+    letter goes if it is optional.
+    """
+    plain = pattern
+    while (shorter := re.sub(r"\([^()]*\)[?*]?", "()", plain.replace("()", ""))) != plain and "(" in plain:
+        plain = shorter
+    if "|" in plain:
+        return None
+    words = [w[:-1] if optional else w for w, optional in re.findall(r"\\b([a-z]{3,})([?*{]?)", plain)]
+    return max(words, key=len, default=None)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """``rlike`` with a cheap look for the needed word first."""
+    word = needed_word(pattern)
+    return text.contains(word) & text.rlike(pattern) if word else text.rlike(pattern)
+
+
 def classify_intent(df: DataFrame, question: str, tables: int = 2,
                     patterns: Mapping[str, list[str]] = fixed.INTENT_PATTERNS) -> DataFrame:
     """Add ``intent`` and ``confidence``: the intent with the largest share of matching patterns.
@@ -24,7 +46,7 @@ def classify_intent(df: DataFrame, question: str, tables: int = 2,
     """
     text = F.col("_text")
     scores = F.array(*[
-        sum((text.rlike(p).cast("int") for p in listed), F.lit(0)) / F.lit(float(len(listed)))
+        sum((matches(text, p).cast("int") for p in listed), F.lit(0)) / F.lit(float(len(listed)))
         for listed in patterns.values()
     ])
     scored = (
@@ -202,7 +224,7 @@ def export_conversation(
     )
     last = parts.groupBy(conversation).agg(F.max("part").alias("_last"))
     is_last = F.col("part") == F.col("_last")
-    return parts.join(last, conversation).select(
+    return null_safe_join(parts, last, [conversation]).select(
         conversation, "part",
         F.concat(
             F.when(F.col("part") == 1, head).otherwise(""), F.col("_body"),

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import col
+from tallyloom.functions.scalars import col, null_safe_join
 from tallyloom.session import cut_lineage
 
 MAX_ROWS = 2_000_000
@@ -43,13 +43,7 @@ def _segments_of(group: list[str]):
 
 
 def _join_back(df: DataFrame, summary: DataFrame, group: list[str]) -> DataFrame:
-    """Left join on group and segment; NULL is a group like any other."""
-    keys = [*group, _SEG]
-    renamed = summary.withColumnsRenamed({k: f"_j_{i}" for i, k in enumerate(keys)})
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & col(k).eqNullSafe(F.col(f"_j_{i}"))
-    return df.join(renamed, same, "left").drop(*[f"_j_{i}" for i in range(len(keys))])
+    return null_safe_join(df, summary, [*group, _SEG])
 
 
 def with_row_number(df: DataFrame, group: list[str], order: list[str], name: str = "row_no", max_rows: int = MAX_ROWS) -> DataFrame:

@@ -28,3 +28,14 @@ def test_overview_and_problems(spark):
     assert ask("compare them, find the missing ones, check missing count", {"a.csv": t["a.csv"]}).method == "validation_error"
     plain = spark.createDataFrame([(True,)], "flag boolean")
     assert ask("compare", {"p": plain, "a": t["a.csv"]}).method == "column_detection_error"
+
+
+def test_needed_words():
+    from tallyloom.functions.fixed_values import INTENT_PATTERNS
+    from tallyloom.operators.messages import needed_word
+
+    words = {p: needed_word(p) for listed in INTENT_PATTERNS.values() for p in listed}
+    assert words[r"\bmissing\b.*\b(between|from)\b"] == "missing" and words[r"\binsights?\b"] == "insight"
+    assert words[r"\banalyze|analysis\b"] is None and words[r"\b(total|sum|count|average|mean)\b(?!.*\bmissing\b)"] is None
+    assert words[r"\bgrand\s+total\b(?!.*\bmissing\b)"] == "grand"
+    assert needed_word(r"(\bfoo(bar)?)?baz") is None and needed_word(r"\bfoo*") == "fo" and needed_word(r"a|\bword") is None
