@@ -107,9 +107,16 @@ def row_digest(columns: Iterable[Column], salt: int = 0) -> list[Column]:
     ]
 
 
-def value_digest(value: Column, data_type: T.DataType) -> list[Column]:
+def hashable(df: DataFrame, name: str) -> Column:
+    """The column in a form that can be hashed and compared: arrays, maps and structs as JSON."""
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(col(name)) if nested else col(name)
+
+
+def value_digest(df: DataFrame, name: str) -> list[Column]:
     """Digest of one column. Fixed-width values need only the first hash, which is one-to-one for them."""
-    h1, h2 = row_digest([value])
+    data_type = df.schema[name].dataType
+    h1, h2 = row_digest([hashable(df, name)])
     fixed_width = isinstance(data_type, (*INTEGERS, *STAMPS, T.FloatType, T.DoubleType, T.BooleanType))
     return [h1, F.lit(0).cast("bigint").alias("_h2") if fixed_width else h2]
 

@@ -186,15 +186,19 @@ def _csv_cell(value: Column) -> Column:
 
 def export_conversation(
     messages: DataFrame, fmt: str = "markdown", *, conversation: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text", per_part: int = 10_000, **options,
+    role: str = "role", text: str = "text", about: DataFrame | None = None, per_part: int = 10_000, **options,
 ) -> DataFrame:
     """One document per conversation: csv, markdown, html or json.
 
-    (conversation, part, document). Parts of a conversation with more than
+    ``about`` may bring ``title``, ``date`` and ``data_files`` (text) per
+    conversation. Result: (conversation, part, document). Parts of a conversation with more than
     ``per_part`` messages join, in order, to the whole document.
     """
     speaker = F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substring(role, 2, 1_000)))
-    title = F.concat(F.lit("Conversation "), col(conversation).cast("string"))
+    default_title = F.concat(F.lit("Conversation "), col(conversation).cast("string"))
+    title = default_title if about is None else F.coalesce(F.col("_title"), default_title)
+    date, files = (
+        (F.lit(None), F.lit(None)) if about is None else (F.col("_date").cast("string"), F.col("_files").cast("string")))
     rendered = {
         "markdown": F.concat(F.lit("**"), speaker, F.lit(":**\n\n"), col(text), F.lit("\n\n---\n\n")),
         "html": F.concat(
@@ -204,10 +208,13 @@ def export_conversation(
         "json": F.to_json(F.struct(col(turn).alias("turn"), col(role).alias("role"), col(text).alias("content"))),
     }[fmt]
     head = {
-        "markdown": F.concat(F.lit("# "), title, F.lit("\n\n## Messages\n\n")),
+        "markdown": F.concat_ws(
+            "\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("Date: "), date), F.concat(F.lit("Files: "), files),
+            F.lit("## Messages\n\n")),
         "html": F.concat(
             F.lit("<!DOCTYPE html>\n<html>\n<head><title>"), title, F.lit("</title></head>\n<body>\n<h1>"), title,
-            F.lit("</h1>\n<h2>Messages</h2>\n")),
+            F.lit("</h1>\n"), F.coalesce(F.concat(F.lit("<p>Date: "), date, F.lit("</p>\n")), F.lit("")),
+            F.coalesce(F.concat(F.lit("<p>Files: "), files, F.lit("</p>\n")), F.lit("")), F.lit("<h2>Messages</h2>\n")),
         "csv": F.lit("turn,role,content\n"),
         "json": F.concat(F.lit('{"conversation_id":'), col(conversation).cast("string"), F.lit(',"messages":[')),
     }[fmt]
@@ -224,7 +231,11 @@ def export_conversation(
     )
     last = parts.groupBy(conversation).agg(F.max("part").alias("_last"))
     is_last = F.col("part") == F.col("_last")
-    return null_safe_join(parts, last, [conversation]).select(
+    documents = null_safe_join(parts, last, [conversation])
+    if about is not None:
+        documents = null_safe_join(documents, about.select(
+            conversation, F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("data_files").alias("_files")), [conversation])
+    return documents.select(
         conversation, "part",
         F.concat(
             F.when(F.col("part") == 1, head).otherwise(""), F.col("_body"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    constant_rows, col, columns_of, kinds, numeric_columns, row_digest, share, text_columns, value_digest,
+    constant_rows, col, columns_of, hashable, kinds, numeric_columns, row_digest, share, text_columns, value_digest,
 )
 from tallyloom.operators.quantiles import exact_quantiles
 
@@ -58,9 +58,9 @@ def distinct_counts(df: DataFrame, columns: Iterable[str], approx: bool = False)
     """
     columns = list(columns)
     if approx:
-        return per_column(df, columns, {"unique_count": lambda c: F.approx_count_distinct(col(c), 0.01)})
+        return per_column(df, columns, {"unique_count": lambda c: F.approx_count_distinct(hashable(df, c), 0.01)})
     cells = F.array(*[
-        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *value_digest(col(c), df.schema[c].dataType)))
+        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *value_digest(df, c)))
         for i, c in enumerate(columns)
     ])
     counted = (
@@ -110,7 +110,7 @@ def most_frequent(df: DataFrame, columns: Iterable[str], short: int = 100) -> Da
 def _most_frequent_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count digests; look up again only the values with the highest count."""
     cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), *value_digest(col(c), df.schema[c].dataType), col(c).cast("string").alias("value"))
+        F.struct(F.lit(i).alias("i"), *value_digest(df, c), col(c).cast("string").alias("value"))
         for i, c in enumerate(columns)
     ]))).where("value is not null")
     counts = cells.groupBy("i", "_h1", "_h2").agg(F.count("*").alias("n"))
@@ -300,7 +300,7 @@ def duplicate_rows(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
     row and copies collapse before it.
     """
     columns = list(columns or df.columns)
-    groups = df.select(*row_digest([col(c) for c in columns])).groupBy("_h1", "_h2").agg(F.count("*").alias("n"))
+    groups = df.select(*row_digest([hashable(df, c) for c in columns])).groupBy("_h1", "_h2").agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"),
     ).select(
@@ -443,7 +443,7 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     if not pairs:
         return constant_rows(df.sparkSession, [], "column_a string, column_b string")
     measured = per_column(df, list(pairs), {
-        "different": lambda i: F.count_if(~col(pairs[i][0]).eqNullSafe(col(pairs[i][1])))})
+        "different": lambda i: F.count_if(~hashable(df, pairs[i][0]).eqNullSafe(hashable(df, pairs[i][1])))})
     names = constant_rows(df.sparkSession, [(i, a, b) for i, (a, b) in pairs.items()], "column string, column_a string, column_b string")
     return measured.where("different = 0").join(names, "column").select("column_a", "column_b")
 

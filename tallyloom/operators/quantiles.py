@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import col
 
 SMALL_ROWS = 1_000_000
-MAX_INSIDE = 100_000
+SMALL_CELLS = 8_000_000       # values in the buffers of one pass of the built-in
+MAX_INSIDE = 20_000           # values gathered per bracket
+COLUMNS_PER_PASS = 20
 ACCURACY = 10_000
 
 
@@ -61,6 +63,14 @@ def exact_quantiles(
     if not columns:
         return {}
     rows = df.count() if rows is None else rows
+    step = COLUMNS_PER_PASS if rows > small_rows else max(1, min(COLUMNS_PER_PASS, SMALL_CELLS // max(1, rows)))
+    if len(columns) > step:
+        result = {}
+        for start in range(0, len(columns), step):
+            result |= exact_quantiles(
+                df, columns[start:start + step], probabilities, rows=rows, small_rows=small_rows,
+                max_inside=max_inside, accuracy=accuracy)
+        return result
     if rows <= small_rows:
         row = df.agg(*[
             F.percentile(_number(c), F.array(*[F.lit(float(p)) for p in probabilities])).alias(f"q{i}")

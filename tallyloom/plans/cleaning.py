@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
+from tallyloom.functions import scalars
 from tallyloom.operators import clean, documents, pick, sampling, schema
 from tallyloom.plans.registry import query, table, union_sql
 
@@ -286,3 +287,29 @@ def extract_schema(spark, sf):
     events = table(spark, sf, "events").selectExpr(
         "event_id", "user_id", "event_type", "nullif(value, 0.02D) AS value", "CASE WHEN event_id > 2 THEN props END AS props")
     return schema.extract_schema(events, ["event_id"])
+
+
+@query("scalar_functions", """
+SELECT page_id, regexp_extract(url, '[^/]*$') AS name,
+  regexp_replace(regexp_extract(url, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1') AS stem,
+  lower(regexp_extract(regexp_extract(url, '[^/]*$'), '.(\\.[^.]*)$', 1)) AS extension,
+  try_cast(regexp_extract(url, '([0-9]+)', 1) AS double) AS number,
+  format('{:,}', length(html)) AS grouped, 'RM ' || format('{:,.2f}', length(html) / 7.0::double) AS money,
+  regexp_matches(regexp_extract(url, '[^/]*$'), '^[0-9]+$') AS digits,
+  CASE WHEN trim(regexp_extract(url, '/(en|fr|de)/', 1)) <> '' THEN regexp_extract(url, '/(en|fr|de)/', 1) END AS language,
+  contains(html, '</nav>') OR contains(html, '</table>') AS has_any,
+  contains(html, '<p>')::int + contains(html, '<h1>')::int + contains(html, '<table>')::int AS how_many,
+  page_id / nullif(page_id - 3, 0)::double AS ratio FROM pages""")
+def scalar_functions(spark, sf):
+    """The shared column helpers, side by side."""
+    name = scalars.file_name(F.col("url"))
+    return table(spark, sf, "pages").select(
+        "page_id", name.alias("name"), scalars.file_stem(F.col("url")).alias("stem"),
+        scalars.file_extension(F.col("url")).alias("extension"),
+        scalars.to_number(F.regexp_extract("url", "([0-9]+)", 1)).alias("number"),
+        scalars.grouped_number(F.length("html")).alias("grouped"), scalars.money(F.length("html") / 7).alias("money"),
+        scalars.is_digits(name).alias("digits"),
+        scalars.blank_to_null(F.regexp_extract("url", "/(en|fr|de)/", 1)).alias("language"),
+        scalars.contains_any(F.col("html"), ["</nav>", "</table>"]).alias("has_any"),
+        scalars.count_contained(F.col("html"), ["<p>", "<h1>", "<table>"]).alias("how_many"),
+        scalars.share(F.col("page_id"), F.col("page_id") - 3).alias("ratio"))

@@ -143,6 +143,14 @@ def export_conversation_csv(spark, sf):
     return messages.export_conversation(table(spark, sf, "conversations"), "csv", per_part=2)
 
 
+@query("export_conversation_json", """
+SELECT conv_id, CAST(1 AS bigint) AS part, '{"conversation_id":' || conv_id || ',"messages":['
+  || string_agg(to_json({'turn': turn, 'role': role, 'content': text}), ',' ORDER BY turn) || ']}' AS document
+FROM conversations GROUP BY conv_id""")
+def export_conversation_json(spark, sf):
+    return messages.export_conversation(table(spark, sf, "conversations"), "json")
+
+
 _PAIRED = """
   SELECT conv_id, turn, text AS response, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS query, role FROM conversations"""
 

@@ -187,7 +187,7 @@ def write_json(spark, sf):
     return spark.read.schema(documents.schema).json(path)
 
 
-@query("split_output", "SELECT count(*) AS rows, true AS all_within_limit, true AS several_files FROM orders")
+@query("split_output", "SELECT count(*) AS rows, true AS all_within_limit, true AS enough_files FROM orders")
 def split_output(spark, sf):
     path = scratch_dir(spark, "split")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
@@ -197,7 +197,7 @@ def split_output(spark, sf):
         .groupBy(file_name(F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("n"))
     )
     return sizes.agg(
-        F.sum("n").alias("rows"), (F.max("n") <= 4000).alias("all_within_limit"), (F.count("*") > 1).alias("several_files"))
+        F.sum("n").alias("rows"), (F.max("n") <= 4000).alias("all_within_limit"), (F.count("*") >= F.ceil(F.sum("n") / 4000)).alias("enough_files"))
 
 
 @query("write_table", """

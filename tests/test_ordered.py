@@ -81,6 +81,14 @@ def test_export_parts_join_to_the_document(spark):
     assert whole[2].startswith('{"conversation_id":2,"messages":[{"turn":0') and whole[2].endswith("]}")
 
 
+def test_export_with_title_and_null_conversation(spark):
+    talks = talk(spark).unionByName(spark.createDataFrame([(None, 0, "user", "lost")], talk(spark).schema))
+    about = spark.createDataFrame([(1, "Keys", "2024-01-01", "a.csv, b.csv")], "conv_id long, title string, date string, data_files string")
+    got = {r["conv_id"]: r["document"] for r in messages.export_conversation(talks, "markdown", about=about).collect()}
+    assert got[1].startswith("# Keys\n\nDate: 2024-01-01\n\nFiles: a.csv, b.csv\n\n## Messages\n\n**User:**\n\nWhich key?\n\n---\n\n")
+    assert got[2].startswith("# Conversation 2\n\n## Messages\n\n") and None in got
+
+
 def test_compact_and_recent(spark, rows):
     assert rows(messages.recent_n(talk(spark), 1), "conv_id", "turn") == [(1, 2), (2, 2), (3, 0)]
     assert rows(messages.compact_history(talk(spark), 1), "conv_id", "turn") == [(1, 0), (1, 2), (2, 0), (2, 2), (3, 0)]

@@ -108,3 +108,9 @@ def test_most_frequent(spark):
     for short in (-1, 1, 100):
         got = {r["column"]: (r["top_value"], r["top_count"]) for r in profile.most_frequent(df, ["t", "u", "e"], short).collect()}
         assert got == {"t": ("a", 2), "u": ("x0", 1), "e": (None, None)}
+
+
+def test_nested_columns_count_too(spark):
+    df = spark.createDataFrame([({"a": 1}, [1]), ({"a": 1}, [1]), ({"a": 2}, None)], "m map<string, int>, l array<int>")
+    assert {r[0]: r[1] for r in profile.distinct_counts(df, df.columns).collect()} == {"m": 2, "l": 1}
+    assert profile.duplicate_rows(df).first()["duplicates"] == 1

@@ -48,6 +48,16 @@ def test_small_path_agrees(spark):
         assert large[c] == pytest.approx(small[c])
 
 
+def test_many_columns_take_several_passes(spark, monkeypatch):
+    from tallyloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_PASS", 2)
+    df = spark.range(101).selectExpr(*[f"id * {i} as c{i}" for i in range(1, 6)])
+    for small_rows in (0, 1000):
+        got = exact_quantiles(df, df.columns, [0.5], small_rows=small_rows)
+        assert got == {f"c{i}": [50.0 * i] for i in range(1, 6)}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
 def test_any_values(spark, values):
