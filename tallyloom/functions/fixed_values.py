@@ -11,6 +11,9 @@ AMOUNT_WORDS = ["amount", "rm", "total", "sum", "payment", "gross", "net"]
 # Mean of a column that may pass for an amount when no name helps.
 AMOUNT_MEAN_LOW, AMOUNT_MEAN_HIGH = 0.01, 100000
 
+# Written before amounts in answers.
+CURRENCY = "RM"
+
 # Names tried first, in this order, when looking for the key column.
 ID_NAMES = [
     "Transaction ID", "transaction_id", "id", "ID", "reference",

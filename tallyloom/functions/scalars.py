@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.fixed_values import CURRENCY
+
 
 def col(name: str) -> Column:
     """Column by exact name, also with dots, spaces or brackets in it."""
@@ -83,7 +85,7 @@ def grouped_number(value: Column) -> Column:
 
 def money(value: Column) -> Column:
     """``RM 1,234.50``"""
-    return F.concat(F.lit("RM "), F.format_number(F.coalesce(value, F.lit(0.0)), 2))
+    return F.concat(F.lit(f"{CURRENCY} "), F.format_number(F.coalesce(value, F.lit(0.0)), 2))
 
 
 def share(part: Column, whole: Column) -> Column:

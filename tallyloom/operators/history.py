@@ -11,25 +11,31 @@ from tallyloom.functions.scalars import col
 from tallyloom.operators.ordered import first_per_group
 
 
-def conversation_history(messages: DataFrame, session: object, limit: int, *, before: object = None,
+def conversation_history(messages: DataFrame, limit: int, *, session: object = None, before: object = None,
                          session_column: str = "session_id", timestamp: str = "timestamp",
                          tie_break: str = "id") -> DataFrame:
-    """The newest ``limit`` messages of a session, optionally only before a time."""
-    chosen = messages.where(col(session_column) == session)
-    if before is not None:
-        chosen = chosen.where(col(timestamp) < before)
-    return chosen.orderBy(F.desc(timestamp), F.desc(tie_break)).limit(limit)
+    """The newest ``limit`` messages of one session, or of every session, optionally before a time."""
+    newest = [F.desc(timestamp), F.desc(tie_break)]
+    chosen = messages if before is None else messages.where(col(timestamp) < before)
+    if session is None:
+        return first_per_group(chosen, [session_column], newest, limit)
+    return chosen.where(col(session_column) == session).orderBy(*newest).limit(limit)
 
 
-def usage_history(usage: DataFrame, session: object, start: object, end: object, *,
+def usage_history(usage: DataFrame, start: object, end: object, *, session: object = None,
                   session_column: str = "session_id", timestamp: str = "timestamp") -> DataFrame:
-    """Resource rows of a session in a time range, both ends included."""
-    return usage.where((col(session_column) == session) & col(timestamp).between(start, end)).orderBy(timestamp)
-
-
-def file_history(states: DataFrame, file: object, file_column: str = "file_id", started: str = "started_at") -> DataFrame:
-    """Processing states of a file, newest first."""
-    return states.where(col(file_column) == file).orderBy(F.desc(started))
+    """Resource rows of one session, or of all, in a time range with both ends included, in time order."""
+    chosen = usage.where(col(timestamp).between(start, end))
+    if session is not None:
+        chosen = chosen.where(col(session_column) == session)
+    return chosen.orderBy(session_column, timestamp)
+
+
+def file_history(states: DataFrame, *, file: object = None, file_column: str = "file_id",
+                 started: str = "started_at") -> DataFrame:
+    """Processing states of one file, or of all, newest first per file."""
+    chosen = states if file is None else states.where(col(file_column) == file)
+    return chosen.orderBy(F.asc(file_column), F.desc(started))
 
 
 def retention_cleanup(df: DataFrame, timestamp: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:

@@ -137,7 +137,7 @@ def extract_decisions(
 
 def audit_trail(
     messages: DataFrame, conversations: DataFrame, words: Iterable[str] = tuple(fixed.DECISION_WORDS), *,
-    conversation: str = "conv_id", turn: str = "turn", per_part: int = 10_000, **options,
+    conversation: str = "conv_id", turn: str = "turn", per_part: int = 1_000, **options,
 ) -> DataFrame:
     """Per conversation the facts in ``conversations`` and its decisions as a JSON array.
 
@@ -186,7 +186,7 @@ def _csv_cell(value: Column) -> Column:
 
 def export_conversation(
     messages: DataFrame, fmt: str = "markdown", *, conversation: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text", about: DataFrame | None = None, per_part: int = 10_000, **options,
+    role: str = "role", text: str = "text", about: DataFrame | None = None, per_part: int = 1_000, **options,
 ) -> DataFrame:
     """One document per conversation: csv, markdown, html or json.
 

@@ -214,25 +214,30 @@ def heading_sections(spark, sf):
 
 # ---- histories and retention ------------------------------------------------------
 
-@query("conversation_history", """
-SELECT * FROM events WHERE user_id = 8 AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 25""")
+_LATEST = "(SELECT max(ts) - INTERVAL 5 DAY FROM events)"
+
+
+@query("conversation_history", f"""
+SELECT * FROM events WHERE ts < {_LATEST} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 25""")
 def conversation_history(spark, sf):
-    before = F.lit("2024-01-20").cast("timestamp_ntz")
+    events = table(spark, sf, "events")
+    before = events.agg(F.max("ts") - F.expr("INTERVAL 5 DAYS")).scalar()
     return history.conversation_history(
-        table(spark, sf, "events"), 8, 25, before=before, session_column="user_id", timestamp="ts", tie_break="event_id")
+        events, 25, before=before, session_column="user_id", timestamp="ts", tie_break="event_id")
 
 
-@query("usage_history", """
-SELECT * FROM events WHERE user_id = 8 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ts""")
+@query("usage_history", f"""
+SELECT * FROM events WHERE ts BETWEEN (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND {_LATEST} ORDER BY user_id, ts""")
 def usage_history(spark, sf):
-    day = lambda d: F.lit(d).cast("timestamp_ntz")
-    return history.usage_history(
-        table(spark, sf, "events"), 8, day("2024-01-05"), day("2024-01-20"), session_column="user_id", timestamp="ts")
+    events = table(spark, sf, "events")
+    start = events.agg(F.min("ts") + F.expr("INTERVAL 3 DAYS")).scalar()
+    end = events.agg(F.max("ts") - F.expr("INTERVAL 5 DAYS")).scalar()
+    return history.usage_history(events, start, end, session_column="user_id", timestamp="ts")
 
 
-@query("file_history", "SELECT * FROM orders WHERE o_custkey = 371 ORDER BY o_orderdate DESC")
+@query("file_history", "SELECT * FROM orders ORDER BY o_custkey, o_orderdate DESC")
 def file_history(spark, sf):
-    return history.file_history(table(spark, sf, "orders"), 371, "o_custkey", "o_orderdate")
+    return history.file_history(table(spark, sf, "orders"), file_column="o_custkey", started="o_orderdate")
 
 
 _CUTOFF = "(SELECT max(ts) - INTERVAL 7 DAY FROM events)"

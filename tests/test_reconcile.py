@@ -97,3 +97,20 @@ def test_keep_recent(spark, rows):
     newest, removed = history.keep_recent_items(df, 2, "at", "id")
     assert rows(newest, "id") == [(2,), (3,)] and rows(removed, "id") == [(1,), (4,)]
     assert history.keep_recent_items(df, 10, "at", "id")[1].count() == 0
+
+
+def test_histories(spark, rows):
+    df = spark.createDataFrame([(i, i % 2, i * 10) for i in range(6)], "id int, session_id int, timestamp int")
+    assert rows(history.conversation_history(df, 2, session=1, before=50), "id") == [(1,), (3,)]
+    assert rows(history.conversation_history(df, 1), "id") == [(4,), (5,)]
+    assert rows(history.usage_history(df, 10, 30, session=1), "id") == [(1,), (3,)]
+    assert rows(history.usage_history(df, 10, 30), "id") == [(1,), (2,), (3,)]
+    states = df.withColumnsRenamed({"session_id": "file_id", "timestamp": "started_at"})
+    assert [r["id"] for r in history.file_history(states, file=0).collect()] == [4, 2, 0]
+    assert [r["id"] for r in history.file_history(states).collect()] == [4, 2, 0, 5, 3, 1]
+
+
+def test_retention(spark, rows):
+    df = spark.createDataFrame([(1, 5), (2, 20), (3, None)], "id int, at int")
+    kept, figures = history.retention_cleanup(df, "at", 10)
+    assert rows(kept, "id") == [(2,), (3,)] and first(figures) == {"removed": 1, "kept": 2}
