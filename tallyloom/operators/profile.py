@@ -149,7 +149,7 @@ def column_statistics(df: DataFrame, columns: Iterable[str] | None = None, appro
         return agg(col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
 
     rows = df.count()
-    medians = exact_quantiles(df, numeric, [0.5], rows=rows)
+    medians = exact_quantiles(df, numeric, [0.5])
     unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, columns, approx_distinct).collect()}
     categorical = [c for c in text if rows and unique[c] / rows < fixed.CATEGORICAL_RATIO]
     facts = constants_per_column(
@@ -372,7 +372,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     low, high, mean, rows = df.agg(F.min(value), F.max(value), F.avg(value), F.count(value)).first()
     if not rows:
         return constant_rows(df.sparkSession, [], "bin int, bin_start double, bin_end double, rows bigint, mean double, median double")
-    median = exact_quantiles(df, [column], [0.5], rows=rows)[column][0]
+    median = exact_quantiles(df, [column], [0.5])[column][0]
     width = (high - low) / bins if high > low else 1.0
     index = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
     counts = df.where(value.isNotNull()).groupBy(index.alias("bin")).agg(F.count("*").alias("rows"))

@@ -1,11 +1,11 @@
-"""Exact quantiles that do not gather a column in one task.
-
-The built-in exact ``percentile`` keeps every distinct value of the column in
-one aggregation buffer. It is used only up to ``small_rows`` rows. Beyond that
-a mergeable sketch brackets each wanted rank, one counting pass places the rank
-exactly, and only the values strictly inside the bracket (a few 1/10,000 of
-the rows, narrowed again while there are too many) are looked at. Every pass
-is one wide aggregate over a column-pruned scan without a data shuffle.
+"""Exact quantiles that do not gather a large column in one task.
+
+Ranks are read off sorted values. Up to a bounded number of rows these are all
+values of the column. Beyond, a mergeable sketch brackets each wanted rank, one
+counting pass places the rank exactly, and only the values strictly inside the
+bracket (a few 1/10,000 of the rows, narrowed again while there are too many)
+are gathered. Every pass is one wide aggregate over a column-pruned scan
+without a data shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import col
 
-SMALL_ROWS = 1_000_000
-SMALL_CELLS = 8_000_000       # values in the buffers of one pass of the built-in
-MAX_INSIDE = 20_000           # values gathered per bracket
+SMALL_ROWS = 1_000_000        # up to here all values of a column are gathered
+GATHERED_CELLS = 8_000_000    # values gathered in one pass, over all columns
+MAX_INSIDE = 20_000           # beyond, values gathered per bracket
 COLUMNS_PER_PASS = 20
 ACCURACY = 10_000
 
@@ -55,47 +55,33 @@ def _inside(r: _Rank) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], *,
-    rows: int | None = None, small_rows: int = SMALL_ROWS,
+    df: DataFrame, columns: list[str], probabilities: list[float], *, small_rows: int = SMALL_ROWS,
     max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of the non-null values, per column."""
-    if not columns:
-        return {}
-    rows = df.count() if rows is None else rows
-    step = COLUMNS_PER_PASS if rows > small_rows else max(1, min(COLUMNS_PER_PASS, SMALL_CELLS // max(1, rows)))
-    if len(columns) > step:
-        result = {}
-        for start in range(0, len(columns), step):
-            result |= exact_quantiles(
-                df, columns[start:start + step], probabilities, rows=rows, small_rows=small_rows,
-                max_inside=max_inside, accuracy=accuracy)
-        return result
-    if rows <= small_rows:
-        row = df.agg(*[
-            F.percentile(_number(c), F.array(*[F.lit(float(p)) for p in probabilities])).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]).first()
-        return {c: list(q) if q is not None else [None] * len(probabilities) for c, q in zip(columns, row)}
-
-    counts = dict(zip(columns, df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()))
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for c in columns:
-        for p in probabilities:
-            position = p * (counts[c] - 1)
-            for rank in {math.floor(position), math.ceil(position)} if counts[c] else ():
-                ranks[(c, rank)] = _Rank(c, rank, inside=counts[c])
-    _resolve(df, list(ranks.values()), max_inside, accuracy)
-
-    def at(c, p):
-        if not counts[c]:
-            return None
-        position = p * (counts[c] - 1)
-        low = ranks[(c, math.floor(position))].value
-        high = ranks[(c, math.ceil(position))].value
-        return low + (high - low) * (position - math.floor(position))
-
-    return {c: [at(c, p) for p in probabilities] for c in columns}
+    result: dict[str, list[float | None]] = {}
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        batch = columns[start:start + COLUMNS_PER_PASS]
+        counts = dict(zip(batch, df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(batch)]).first()))
+        ranks: dict[tuple[str, int], _Rank] = {}
+        for c in batch:
+            for p in probabilities:
+                position = p * (counts[c] - 1)
+                for rank in {math.floor(position), math.ceil(position)} if counts[c] else ():
+                    ranks[(c, rank)] = _Rank(c, rank, inside=counts[c])
+        limit = max_inside if max(counts.values()) > small_rows else small_rows
+        _resolve(df, list(ranks.values()), limit, accuracy)
+        for c in batch:
+            result[c] = [_at(ranks, c, p, counts[c]) for p in probabilities]
+    return result
+
+
+def _at(ranks: dict[tuple[str, int], _Rank], column: str, probability: float, count: int) -> float | None:
+    if not count:
+        return None
+    position = probability * (count - 1)
+    low, high = (ranks[(column, r)].value for r in (math.floor(position), math.ceil(position)))
+    return low + (high - low) * (position - math.floor(position))
 
 
 def _resolve(df: DataFrame, ranks: list[_Rank], max_inside: int, accuracy: int) -> None:
@@ -109,16 +95,26 @@ def _resolve(df: DataFrame, ranks: list[_Rank], max_inside: int, accuracy: int)
     for r in ranks:
         if r.value is None:
             brackets.setdefault((r.column, r.low, r.high), []).append(r)
-    groups = list(brackets.values())
-    if groups:
-        row = df.agg(*[
-            F.sort_array(F.collect_list(_inside(g[0]))).alias(f"v{i}") for i, g in enumerate(groups)
-        ]).select(*[
-            F.array(*[F.col(f"v{i}")[r.rank - r.below] for r in g]).alias(f"r{i}") for i, g in enumerate(groups)
-        ]).first()
-        for g, values in zip(groups, row):
-            for r, value in zip(g, values):
-                r.value = value
+    pending = list(brackets.values())
+    while pending:
+        groups = [pending.pop()]
+        cells = groups[0][0].inside
+        while pending and cells + pending[-1][0].inside <= GATHERED_CELLS:
+            groups.append(pending.pop())
+            cells += groups[-1][0].inside
+        _gather(df, groups)
+
+
+def _gather(df: DataFrame, groups: list[list[_Rank]]) -> None:
+    """Read ranks off the sorted values of their brackets, all of bounded size."""
+    row = df.agg(*[
+        F.sort_array(F.collect_list(_inside(g[0]))).alias(f"v{i}") for i, g in enumerate(groups)
+    ]).select(*[
+        F.array(*[F.col(f"v{i}")[r.rank - r.below] for r in g]).alias(f"r{i}") for i, g in enumerate(groups)
+    ]).first()
+    for g, values in zip(groups, row):
+        for r, value in zip(g, values):
+            r.value = value
 
 
 def _narrow(df: DataFrame, ranks: list[_Rank], accuracy: int) -> None:
