@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    constant_rows, any_word_pattern, blank_to_null, col, columns_of, kinds, normal_name, text_columns, to_number,
+    any_word_pattern, blank_to_null, col, columns_of, constant_rows, kinds, normal_name, text_columns,
+    to_number,
 )
 
 

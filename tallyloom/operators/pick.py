@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import constant_rows, col, columns_of, to_number
+from tallyloom.functions.scalars import col, columns_of, constant_rows, to_number
 
 
 def amount_evidence(df: DataFrame) -> DataFrame:

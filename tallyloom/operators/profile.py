@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    constant_rows, col, columns_of, hashable, kinds, numeric_columns, row_digest, share, text_columns, value_digest,
+    col, columns_of, constant_rows, hashable, kinds, numeric_columns, row_digest, share, text_columns,
+    value_digest,
 )
 from tallyloom.operators.quantiles import exact_quantiles
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    constant_rows, col, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
+    col, constant_rows, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
 )
 from tallyloom.operators.clean import date_string_columns
 from tallyloom.operators.profile import (

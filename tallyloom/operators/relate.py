@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import constant_rows, col, kind, kinds, name_similarity, row_digest, share
+from tallyloom.functions.scalars import col, constant_rows, kind, kinds, name_similarity, row_digest, share
+from tallyloom.operators.profile import distinct_counts
 
+CANDIDATES_PER_PASS = 200
 Candidate = tuple[str, str, str, str]  # source table, target table, source column, target column
 
 _NUMBER = ("integer", "decimal")
@@ -37,7 +39,7 @@ def measure_candidates(tables: Mapping[str, DataFrame], candidates: Iterable[Can
     """One row per candidate pair with rows, distinct, common and included counts.
 
     ``*_rows`` count all rows of the table, ``*_values`` distinct non-null
-    values, ``common`` values on both sides, ``source_rows_found`` the source
+    values, ``*_nulls`` NULLs, ``common`` values on both sides, ``source_rows_found`` the source
     rows whose value the target has.
     """
     candidates = list(candidates)
@@ -60,15 +62,30 @@ def measure_candidates(tables: Mapping[str, DataFrame], candidates: Iterable[Can
         values = values.unionByName(part)
     per_value = values.groupBy("h1", "h2").agg(*[F.count_if(F.col("end") == i).alias(f"n{i}") for i in range(len(ends))])
 
+    # Beyond one batch each batch shuffles the columns it needs once more.
+    batches = [
+        _measure(per_value, list(enumerate(candidates))[k:k + CANDIDATES_PER_PASS], index)
+        for k in range(0, len(candidates), CANDIDATES_PER_PASS)
+    ]
+    result = batches[0]
+    for batch in batches[1:]:
+        result = result.unionByName(batch)
+    return result
+
+
+def _measure(per_value: DataFrame, candidates: list[tuple[int, Candidate]], index: Mapping[tuple[str, str], int]) -> DataFrame:
     known = F.col("h1").isNotNull()
 
     def has(i):
         return F.col(f"n{i}") > 0
 
     figures = []
-    for i in range(len(ends)):
-        figures += [F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"rows{i}"), F.count_if(known & has(i)).alias(f"values{i}")]
-    for k, (s, t, a, b) in enumerate(candidates):
+    for i in sorted({index[end] for _, (s, t, a, b) in candidates for end in ((s, a), (t, b))}):
+        figures += [
+            F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"rows{i}"), F.count_if(known & has(i)).alias(f"values{i}"),
+            F.coalesce(F.sum(F.when(~known, F.col(f"n{i}"))), F.lit(0)).alias(f"nulls{i}"),
+        ]
+    for k, (s, t, a, b) in candidates:
         x, y = index[(s, a)], index[(t, b)]
         figures += [
             F.count_if(known & has(x) & has(y)).alias(f"common{k}"),
@@ -76,14 +93,13 @@ def measure_candidates(tables: Mapping[str, DataFrame], candidates: Iterable[Can
         ]
     rows = [
         F.struct(
-            F.lit(k).alias("candidate"),
             F.lit(s).alias("source_table"), F.lit(t).alias("target_table"),
             F.lit(a).alias("source_column"), F.lit(b).alias("target_column"),
             *[F.col(f"{what}{index[end]}").alias(f"{side}_{what}")
-              for side, end in (("source", (s, a)), ("target", (t, b))) for what in ("rows", "values")],
+              for side, end in (("source", (s, a)), ("target", (t, b))) for what in ("rows", "values", "nulls")],
             F.col(f"common{k}").alias("common"), F.col(f"found{k}").alias("source_rows_found"),
         )
-        for k, (s, t, a, b) in enumerate(candidates)
+        for k, (s, t, a, b) in candidates
     ]
     return per_value.agg(*figures).select(F.inline(F.array(*rows)))
 
@@ -230,16 +246,19 @@ def id_column_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
 def foreign_keys_within(df: DataFrame) -> DataFrame:
     """Columns of one table whose values all occur in a near-unique column of it."""
     tables = {"t": df}
-    candidates = [("t", "t", x, y) for x in df.columns for y in df.columns if x != y]
+    keys = df.columns
+    if len(keys) * (len(keys) - 1) > CANDIDATES_PER_PASS:
+        # A wide table: find the near-unique columns first, so that the pairs stay few.
+        rows = df.count()
+        unique = distinct_counts(df, keys).where(F.col("unique_count") > fixed.UNIQUE_RATIO * rows)
+        keys = [r["column"] for r in unique.collect()]
+    candidates = [("t", "t", x, y) for x in keys for y in df.columns if x != y]
+    if not candidates:
+        return _empty(tables, "primary_key string, foreign_key string, confidence double")
     measured = measure_candidates(tables, candidates)
-    # The NULL share of the key follows from one extra pass over its columns.
-    nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    null_of = nulls.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("source_column"), F.col(f"c{i}").alias("key_nulls")) for i, c in enumerate(df.columns)
-    ])))
-    return measured.join(null_of, "source_column").where(
+    return measured.where(
         (share(F.col("source_values"), F.col("source_rows")) > fixed.UNIQUE_RATIO)
-        & (share(F.col("key_nulls"), F.col("source_rows")) < 0.01)
+        & (share(F.col("source_nulls"), F.col("source_rows")) < 0.01)
         & (F.col("common") == F.col("target_values"))
     ).select(
         F.col("source_column").alias("primary_key"), F.col("target_column").alias("foreign_key"),

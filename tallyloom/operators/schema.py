@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import constant_rows, col, kinds, normal_name, text_columns
+from tallyloom.functions.scalars import col, constant_rows, kinds, normal_name, text_columns
 from tallyloom.operators.clean import map_columns
 from tallyloom.operators.profile import constants_per_column, distinct_counts, per_column, value_frequencies
 from tallyloom.operators.quality import null_issue_rows

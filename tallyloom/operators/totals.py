@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import constant_rows, col, grouped_number, money, to_number
+from tallyloom.functions.scalars import col, constant_rows, grouped_number, money, to_number
 
 Tables = Mapping[str, tuple[DataFrame, str | None]]
 

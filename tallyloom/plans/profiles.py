@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tallyloom.operators import profile, quality
 from tallyloom.plans.registry import query, table, union_sql

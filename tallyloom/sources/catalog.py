@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import constant_rows, col, file_extension, file_name, to_number
+from tallyloom.functions.scalars import col, constant_rows, file_extension, file_name, to_number
 from tallyloom.operators.profile import type_names
 from tallyloom.sources.probe import list_files
 from tallyloom.sources.readers import BAD, SOURCE, scan_any, scan_shapes

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import constant_rows, col, file_name, unique_names
+from tallyloom.functions.scalars import col, constant_rows, file_name, unique_names
 from tallyloom.operators.clean import retype_whole_columns
 from tallyloom.sources.probe import SAMPLE_BYTES, list_files, probe_delimited, read_head
 

@@ -114,3 +114,17 @@ def test_nested_columns_count_too(spark):
     df = spark.createDataFrame([({"a": 1}, [1]), ({"a": 1}, [1]), ({"a": 2}, None)], "m map<string, int>, l array<int>")
     assert {r[0]: r[1] for r in profile.distinct_counts(df, df.columns).collect()} == {"m": 2, "l": 1}
     assert profile.duplicate_rows(df).first()["duplicates"] == 1
+
+
+def test_candidates_in_batches(spark, rows, monkeypatch):
+    tables = {
+        "a": spark.range(20).selectExpr("id", "id % 5 as x_id", "id % 3 as y_id"),
+        "b": spark.range(10).selectExpr("id as x_id", "id % 3 as y_id", "id as z_key"),
+    }
+    whole = rows(relate.detect_relationships(tables))
+    monkeypatch.setattr(relate, "CANDIDATES_PER_PASS", 3)
+    batched = relate.detect_relationships(tables)
+    assert rows(batched) == whole and len(whole) == 9
+    df = tables["a"].selectExpr("id", "id div 2 as parent", "x_id", "1 as one")
+    assert rows(relate.foreign_keys_within(df)) == [("id", "one", 0.05), ("id", "parent", 0.5), ("id", "x_id", 0.25)]
+    assert relate.foreign_keys_within(df.drop("id")).count() == 0
