@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import words as W
@@ -16,7 +16,7 @@ from tallyloom.llm.shared import attach, components, slices, written
 SIGNATURE, BAND_ROWS = 128, 4
 #: A pair is verified if at least so many of the 128 one-bit signatures agree: 112 are expected at 0.75, 92 is 5 sd below.
 LEAST_BITS = 92
-#: Members that one task verifies against one hub, and members per block of the last comparison.
+#: Members that one task verifies against one hub, and members per block of a posting list.
 HUB_SHARE = 256
 _DONE = np.uint32(0xFFFFFFFF)
 
@@ -126,7 +126,7 @@ def _verify(k: int, percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
+    """Those of the ``pairs`` (a, b) whose full shingle sets are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
     hubs = pairs.groupBy("b").count().select("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / HUB_SHARE))).alias("share"), "count")
     shares = hubs.select("b", F.col("share").cast("long").alias("share"))
@@ -146,6 +146,51 @@ def _likely(a: str, b: str, percent: int):
     return sizes & (bits(1) + bits(2) <= SIGNATURE - LEAST_BITS)
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = W.spaced()
+        for part, data, offsets in slices(batches, "text"):
+            _, _, hashes, bounds = W.words(data, offsets, lower)
+            sets = [s.view(np.int64) for s in W.shingles(hashes, bounds, k)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["rep", "shingles"])
+
+    return run
+
+
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs across the components of ``open_`` that can be similar enough: none of these is left out.
+
+    Each set is put in order of its shingles' numbers of documents, the rarest first. Two similar sets share a shingle
+    that stands so early in both that enough others can follow it. Shingles of one document take their places but
+    never meet, so documents that differ from all others in more than the similarity allows form no pair, however many
+    share the rest of their text. In a shingle's posting list, its most frequent component is compared with the other
+    components' documents only.
+    """
+    kind = open_.schema["rep"].dataType.simpleString()
+    rows = texts.join(open_.select(F.col("rep").alias("id")), "id").mapInArrow(_sets(k), f"rep {kind}, shingles array<long>")
+    each = written(rows.select("rep", F.explode("shingles").alias("shingle")).distinct(), "shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
+    known = attach(each, shared, ["shingle"], "documents", F.col("rep")).where("documents is not null")
+    own = Window.partitionBy("rep")
+    ranked = known.join(open_, "rep").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("documents", "shingle")) - 1)
+    early = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "prefixes")
+
+    per = early.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    main = per.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    main = main.select("shingle", F.col("top.component").alias("main"), "size")
+    listed = attach(early.drop("documents"), main, ["shingle"], "size", F.col("rep")).where("size is not null")
+    blocks = F.floor((F.col("size") - 1) / HUB_SHARE)
+    right = listed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks + 1).cast("long"))
+    minor = listed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+    left = minor.select("shingle", "block", *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "bits1", "bits2", "component", "place")])
+    once = (F.col("component") == F.col("main")) | (F.col("l_rep") < F.col("rep"))
+    follow = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place"))
+    enough = follow * (100 + percent) >= (F.col("l_n") + F.col("n")) * percent
+    met = left.join(right, ["shingle", "block"]).where((F.col("l_component") != F.col("component")) & once & enough & _likely("l_", "", percent))
+    return met.select(F.col("rep").alias("a"), F.col("l_rep").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -154,11 +199,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest id reachable.
 
     1. Signatures; documents of equal sets form a class, and only its smallest id goes on.
-    2. Bands of 4 rows. In each band's bucket all members are compared to one hub, not to each other. Pairs ruled out
-       by set sizes or one-bit signatures aside, the full sets decide. A hub of many members is verified in shares.
+    2. Bands of 4 rows. In each band's bucket all members are compared to one hub, not to each other: to the member
+       with the largest buckets in all. Pairs ruled out by set sizes or one-bit signatures aside, the full sets decide.
+       A hub of many members is verified in shares.
     3. Union-find. Buckets whose members are still in several components are compared to a second hub.
-    4. What is left in several components in a bucket is compared pair by pair across components, in blocks, each
-       pair after the size and signature test. So buckets have no cap and no link is lost but by the chances above.
+    4. Documents of buckets with several components left are compared across components, wherever ``_prefix_pairs``
+       leaves a link possible. So buckets have no cap and no link is lost but by the chances above.
 
     Null text counts as empty; documents without words have an empty set, no links and their own id. Rows with one id
     count as one document. Rows without id are linked with nothing: null component, kept. An empty table gives an
@@ -176,18 +222,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = reps.select(F.col("id").alias("rep"), "n", "bits1", "bits2", F.explode("bands").alias("key")).distinct()
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     live = written(attach(keys, buckets, ["key"], "size", F.col("rep")).where("size is not null"), "buckets")
+    live = written(live.join(live.groupBy("rep").agg(F.sum("size").alias("weight")), "rep"), "buckets")
     texts = written(docs.join(live.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
 
-    def with_hub(open_: DataFrame, salt: int) -> DataFrame:
-        """Pairs of each open bucket's members with its hub: the one of the smallest salted hash."""
-        hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "rep").alias("h"), "rep", "n", "bits1", "bits2")).alias("hub"), F.count("*").alias("size"))
+    def with_hub(open_: DataFrame, *rank) -> DataFrame:
+        """Pairs of each open bucket's members with its hub, the one of the highest rank."""
+        hub = open_.groupBy("key").agg(F.max(F.struct(*rank, "rep", "n", "bits1", "bits2")).alias("hub"), F.count("*").alias("size"))
         hub = hub.select("key", "size", F.col("hub.rep").alias("h_rep"), *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", "bits1", "bits2")])
         joined = attach(open_.drop("size"), hub, ["key"], "size", F.col("rep"))
         return joined.where((F.col("rep") != F.col("h_rep")) & _likely("", "h_", percent))
 
     several_sets = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = member.join(several_sets, "id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    first = written(with_hub(live, 1).select(F.col("rep").alias("a"), F.col("h_rep").alias("b")).distinct(), "pairs")
+    first = written(with_hub(live, "weight").select(F.col("rep").alias("a"), F.col("h_rep").alias("b")).distinct(), "pairs")
     edges = [_verified(first, texts, k, percent, "links").union(same_id)]
 
     def still_open(linked: DataFrame) -> DataFrame:
@@ -197,17 +244,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return written(attach(joined.drop("size"), several, ["key"], "size", F.col("rep")).where("size is not null").drop("low", "high"), "open")
 
     open_ = still_open(edges[0])
-    second = with_hub(open_.withColumnRenamed("component", "own"), 2).select(F.col("rep").alias("a"), F.col("h_rep").alias("b"))
+    second = with_hub(open_, F.xxhash64("rep").alias("hash")).select(F.col("rep").alias("a"), F.col("h_rep").alias("b"))
     second = written(second.subtract(first), "pairs")
     edges.append(_verified(second, texts, k, percent, "links"))
 
-    open_ = still_open(edges[0].union(edges[1]))
-    blocks = F.floor((F.col("size") - 1) / HUB_SHARE)
-    left = open_.select("key", F.pmod(F.xxhash64("rep"), blocks + 1).cast("long").alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "bits1", "bits2", "component")])
-    right = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
-    across = left.join(right, ["key", "block"]).where((F.col("l_rep") < F.col("rep")) & (F.col("l_component") != F.col("component")) & _likely("l_", "", percent))
-    last = across.select(F.col("rep").alias("a"), F.col("l_rep").alias("b"))
-    last = written(last.subtract(first).subtract(second), "pairs")
+    open_ = still_open(edges[0].union(edges[1])).select("rep", "n", "bits1", "bits2", "component").distinct()
+    last = written(_prefix_pairs(written(open_, "open"), texts, k, percent).subtract(first).subtract(second), "pairs")
     edges.append(_verified(last, texts, k, percent, "links"))
 
     component = components(edges[0].union(edges[1]).union(edges[2])).withColumnRenamed("node", "rep")
