@@ -22,7 +22,7 @@ from tallyloom.llm.shared import slices
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Part of the threshold that the terms left out of the pivot test may add to an item.
 COMMON = 0.4
-#: Part of an item's own score that a passage must reach, and of its question's and answer's word triples that it must hold.
+#: Part of an item's own score that a passage must reach, and of its question's and answer's word triples that it must hold; parts of fewer words count as one run.
 THRESHOLD, OVERLAP, TRIPLE = 0.5, 0.5, 3
 #: Items with more text than this are indexed in several parts, each sent to the tasks on its own.
 INDEX_BYTES = 16 << 20
@@ -40,8 +40,8 @@ class Index:
     rare: np.ndarray  # terms whose postings are looked at for every passage
     common_mass: np.ndarray  # the most that an item can gain from the other terms
     ids: list
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    questions: list[tuple[int, np.ndarray]]  # words per run, and the runs' hashes
+    answers: list[tuple[int, np.ndarray]]
     window: int
     postings: list[int]  # ``items`` and ``starts`` as lists, for the cursors
     starts_list: list[int]
@@ -83,12 +83,12 @@ def build_index(ids: list, texts: list[str], n_items: int, frequency: dict[int,
             common[item[own]] += impact[own]
             rare[t] = False
     halves = [split_item(t) for t in texts]
-    triples = [[_triples(h) for h in W.hash_words([x[side] for x in halves], lower)] for side in (0, 1)]
-    return Index(terms, starts, item, impact, block_max, rare, common, ids, *triples, max([len(w) for w in hashed], default=1), item.tolist(), starts.tolist())
+    runs = [[(k := max(1, min(TRIPLE, len(h))), _runs(h, k)) for h in W.hash_words([x[side] for x in halves], lower)] for side in (0, 1)]
+    return Index(terms, starts, item, impact, block_max, rare, common, ids, *runs, max([len(w) for w in hashed], default=1), item.tolist(), starts.tolist())
 
 
-def _triples(hashes: np.ndarray) -> np.ndarray:
-    return W.shingles(hashes, np.array([0, len(hashes)]), TRIPLE)[0]
+def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    return W.shingles(hashes, np.array([0, len(hashes)]), k)[0]
 
 
 def wand(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -140,8 +140,10 @@ def wand(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, f
     return out
 
 
-def _share(part: np.ndarray, of: np.ndarray) -> float:
-    return len(np.intersect1d(part, of, assume_unique=True)) / len(part) if len(part) else 1.0
+def _share(part: tuple[int, np.ndarray], passage: np.ndarray) -> float:
+    """Which part of a question's or answer's word runs the passage holds; 1 if it has no words."""
+    k, runs = part
+    return len(np.intersect1d(runs, _runs(passage, k), assume_unique=True)) / len(runs) if len(runs) else 1.0
 
 
 def _hits(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
@@ -171,7 +173,7 @@ def _hits(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float
         a, b = first + max(w, 0) * half, min(stop, first + (w + 2) * half)
         query = np.unique(at[a:b][known[a:b]])
         for item, score in wand(index, query, threshold):
-            near = _triples(hashes[max(first, a - half):min(stop, b + half)])
+            near = hashes[max(first, a - half):min(stop, b + half)]
             q, s = _share(index.questions[item], near), _share(index.answers[item], near)
             if q >= overlap and s >= overlap and score > best.get((r, item), (0, 0, -1.0))[2]:
                 best[r, item] = (a - first, b - first, score, q, s)

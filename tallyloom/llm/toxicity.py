@@ -15,6 +15,8 @@ from tallyloom.llm.shared import slices
 
 #: Labelled rows that the model is fitted on at most, those of the smallest id hashes; features; severity grades above 0.
 FIT_ROWS, FEATURES, GRADES = 20_000, 256, 3
+#: Bytes of the word beginnings that are features beside whole words.
+STEMS = range(3, 8)
 #: A word is a feature if its log odds between the classes are so many standard deviations from none, with so many documents.
 LEAST_Z, LEAST_DOCUMENTS = 4.0, 5
 
@@ -58,33 +60,42 @@ def fit_ordinal(row: np.ndarray, term: np.ndarray, value: np.ndarray, grade: np.
     return x[:n_terms], np.append(x[n_terms], x[n_terms] + np.cumsum(np.exp(x[n_terms + 1:])))
 
 
+def _text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all words and of all words' beginnings: inflected and compound words keep their stem's."""
+    lower = W.lettered()
+    starts, ends, hashes, bounds = W.words(data, offsets, lower)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    word, stem = W.prefixes(data, starts, ends, lower, STEMS)
+    return np.concatenate([row, row[word]]), np.concatenate([hashes, stem])
+
+
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, word hash) for each distinct word of each document."""
+    """(label, hash) for each distinct word or stem of each document."""
     for part, data, offsets in slices(batches, "text"):
-        _, _, hashes, bounds = W.words(data, offsets, W.lettered())
-        each = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        label = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in each])
-        flat = np.concatenate(each).view(np.int64)
+        row, hashes = _text_features(data, offsets)
+        order = np.lexsort((hashes, row))
+        row, hashes = row[order], hashes[order]
+        new = np.append(True, (np.diff(row) != 0) | (hashes[1:] != hashes[:-1]))[:len(row)]
+        label, flat = part.column(0).to_numpy(zero_copy_only=False)[row[new]], hashes[new].view(np.int64)
         for i in range(0, len(flat), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(label[i:i + (1 << 16)], pa.int32()), pa.array(flat[i:i + (1 << 16)])], ["label", "word"])
 
 
-def _features(terms: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, value) of the feature words: log of one plus their number."""
-    if not len(terms) or not len(hashes):
+def _features(terms: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of the features that a text has, in order: log of one plus their number."""
+    if not len(terms) or not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    row, hashes = _text_features(data, offsets)
     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
     hit = np.flatnonzero(terms[at] == hashes)
-    rows = np.searchsorted(bounds, hit, "right") - 1
-    cell, times = np.unique(rows * len(terms) + at[hit], return_counts=True)
+    cell, times = np.unique(row[hit] * len(terms) + at[hit], return_counts=True)
     return cell // len(terms), cell % len(terms), np.log1p(times)
 
 
 def _sparse(terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
-            _, _, hashes, bounds = W.words(data, offsets, W.lettered())
-            row, term, value = _features(terms, hashes, bounds)
+            row, term, value = _features(terms, data, offsets)
             cut = np.searchsorted(row, np.arange(len(part) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (term, value)]
             yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["label", "term", "value"])
@@ -95,8 +106,8 @@ def _sparse(terms: np.ndarray):
 def fit_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Ordinal:
     """The model from at most ``fit_rows`` labelled documents.
 
-    Spark counts in how many documents of each class a word stands; words that tell the classes apart most are the
-    features. Grade 0 are documents not labelled toxic. The label says no more about the others, so they are graded
+    Spark counts in how many documents of each class a word, or a beginning of words, stands; those that tell the
+    classes apart most are the features. Grade 0 are documents not labelled toxic. The label says no more about the others, so they are graded
     by the features that speak for toxicity: the lower, middle and upper third by how many of them they hold are
     grades 1, 2 and 3. Null labels and ids are left out; an id counts as toxic if any of its labels says so. With no
     label or one class alone the model has no words and its cuts give that class's share.
@@ -134,8 +145,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 def _predict(model: Ordinal):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
-            _, _, hashes, bounds = W.words(data, offsets, W.lettered())
-            row, term, value = _features(model.terms, hashes, bounds)
+            row, term, value = _features(model.terms, data, offsets)
             above = model.above(np.bincount(row, value * model.weights[term], len(part)))
             chances = np.column_stack([np.ones(len(part)), above]) - np.column_stack([above, np.zeros(len(part))])
             yield pa.RecordBatch.from_arrays([

@@ -75,6 +75,20 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray) -> tuple[np.
     return starts, ends, mix(hashes), np.searchsorted(starts, offsets)
 
 
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray, lengths: range) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of each longer word's beginnings of ``lengths`` bytes; they never equal a word's own hash."""
+    power, at, out = np.uint64(1), np.zeros(len(starts), np.uint64), []
+    long = ends - starts
+    for i in range(lengths.stop - 1):
+        place = np.minimum(starts + i, max(len(data) - 1, 0))
+        at = at + (lower[data[place]].astype(np.uint64) + np.uint64(1)) * power if len(starts) else at
+        power = np.uint64(int(power) * _BASE & 0xFFFFFFFFFFFFFFFF)
+        if i + 1 in lengths:
+            word = np.flatnonzero(long > i + 1)
+            out.append((word, mix(at[word], 1000 + i)))
+    return np.concatenate([w for w, _ in out]), np.concatenate([h for _, h in out])
+
+
 def hash_words(terms: list[str], lower: np.ndarray) -> list[np.ndarray]:
     """Word hashes of each given text."""
     out = []
