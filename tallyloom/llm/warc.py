@@ -41,6 +41,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
     groups = rows.where("id is not null").groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    groups = written(groups, "copies")  # its size is known then: few copies are broadcast, and the payloads stay where they are
     rows = attach(rows, groups, ["sha1"], "copies", F.col("id"))
     revisit = F.col("first").isNotNull() & (F.col("id") != F.col("first")) & (F.octet_length("payload") >= revisit_bytes)
     revisit = F.coalesce(revisit, F.lit(False))
@@ -151,12 +152,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     """
     table = verified(spark, path)
     owner = F.max(F.when(F.col("real"), F.col("offset"))).over(Window.partitionBy("file").orderBy("offset"))
-    split = table if payload else table.where("not closed or not real")
-    # Records that are closed and real end their own piece: nothing behind them is theirs.
     owned = table.select("file", "split", "at", "offset", "real", "closed").withColumn("owner", owner)
     open_owner = table.where("real" if payload else "real and not closed").select("file", F.col("offset").alias("owner"))
     wanted = owned.join(open_owner, ["file", "owner"]).select("file", "split", "at", "offset", "owner")
-    del split
     bodies = _pieces(spark, path).join(wanted, ["file", "split", "at"])
     parts = bodies.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "body"))).alias("parts"))
     joined = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1)["body"], lambda done, p: F.concat(done, F.lit(bytearray(MAGIC.encode())), p["body"]))
