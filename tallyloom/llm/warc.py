@@ -154,7 +154,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     owner = F.max(F.when(F.col("real"), F.col("offset"))).over(Window.partitionBy("file").orderBy("offset"))
     owned = table.select("file", "split", "at", "offset", "real", "closed").withColumn("owner", owner)
     open_owner = table.where("real" if payload else "real and not closed").select("file", F.col("offset").alias("owner"))
-    wanted = owned.join(open_owner, ["file", "owner"]).select("file", "split", "at", "offset", "owner")
+    wanted = written(owned.join(open_owner, ["file", "owner"]).select("file", "split", "at", "offset", "owner"), "pieces")
     bodies = _pieces(spark, path).join(wanted, ["file", "split", "at"])
     parts = bodies.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "body"))).alias("parts"))
     joined = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1)["body"], lambda done, p: F.concat(done, F.lit(bytearray(MAGIC.encode())), p["body"]))
