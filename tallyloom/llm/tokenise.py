@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct chunks whose ids a task remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Distinct chunks whose ids a worker process remembers; beyond that it starts afresh.
+REMEMBERED = 500_000
 #: A document's last id in packed sequences, and the separator of flat token files.
 END_ID, EOD_ID = 1, 50256
 
@@ -24,12 +24,17 @@ def encoder(name: str) -> Callable[[str], np.ndarray]:
 
     The tokenizer never joins letters across a place where a non-space is followed by white space. So a text is cut
     there, and the ids of each distinct chunk are taken from the tokenizer once. A text with white space other than
-    blanks and line feeds goes to the tokenizer as a whole.
+    blanks and line feeds goes to the tokenizer as a whole. The encoder stays with its worker process, so the next
+    task there knows its chunks.
     """
     import os
 
+    import tokenizers
     from tokenizers import Tokenizer
 
+    stay = tokenizers.__dict__.setdefault("_tallyloom_encoders", {})  # functions sent by value have no module of their own to keep it
+    if name in stay:
+        return stay[name]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     model = Tokenizer.from_file(tokenizer_path(name))
     chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z").findall
@@ -51,4 +56,5 @@ def encoder(name: str) -> Callable[[str], np.ndarray]:
             got = [known[p] for p in parts]
         return np.frombuffer(b"".join(got), np.uint32)
 
+    stay[name] = encode
     return encode
