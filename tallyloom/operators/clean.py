@@ -255,7 +255,7 @@ def metadata_rules(table: str) -> dict[str, Column]:
     return {
         "user_sessions": {
             "id_set": F.col("id").isNotNull(),
-            "session_data_size": F.length("session_data") <= fixed.SESSION_DATA_LIMIT,
+            "session_data_size": F.length(F.to_json("session_data")) <= fixed.SESSION_DATA_LIMIT,
         },
         "file_metadata": {
             "id_set": F.col("id").isNotNull(),

@@ -53,7 +53,7 @@ def keep_recent_items(df: DataFrame, keep: int, timestamp: str, key: str) -> tup
     position = F.struct(col(timestamp).alias("t"), col(key).alias("k"))
     newest = df.orderBy(F.desc(timestamp), F.desc(key)).limit(keep)
     oldest_kept = newest.agg(F.min(position)).scalar()
-    return newest, df.where(position < oldest_kept)
+    return newest, df.where(F.coalesce(position < oldest_kept, F.lit(True)))  # nothing stays: all go
 
 
 def cascade_delete(deleted: DataFrame, deleted_key: str,
@@ -74,6 +74,7 @@ def cascade_delete(deleted: DataFrame, deleted_key: str,
 
 
 def upsert_latest(existing: DataFrame, updates: DataFrame, key: str, updated_at: str) -> DataFrame:
-    """One row per key: the latest, and of equally late ones the update."""
+    """One row per key: the latest, of equally late ones the update, of equally late updates the largest by its other columns."""
     both = existing.withColumn("_from", F.lit(0)).unionByName(updates.withColumn("_from", F.lit(1)))
-    return first_per_group(both, [key], [F.desc(updated_at), F.desc("_from")]).drop("_from")
+    rest = F.to_json(F.struct(*[col(c) for c in existing.columns]))
+    return first_per_group(both, [key], [F.desc(updated_at), F.desc("_from"), F.desc(rest)]).drop("_from")

@@ -77,7 +77,9 @@ def missing_by_key(a: DataFrame, b: DataFrame, key_a: str, key_b: str, amount_a:
 def missing_rows(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> DataFrame:
     """The rows of A themselves. Rows with a NULL key are missing as well."""
     keys = b.select(key_b.alias("_key")).where("_key is not null").distinct()
-    return a.withColumn("_key", key_a).join(keys, "_key", "left_anti").drop("_key")
+    keyed = a.withColumn("_key", key_a)
+    missing = keyed.where("_key is not null").join(keys, "_key", "left_anti")
+    return missing.unionByName(keyed.where("_key is null")).drop("_key")  # NULL keys skip the shuffle
 
 
 def matching_rows(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> DataFrame:

@@ -34,14 +34,16 @@ def sorted_rows(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    """But for those of the training-data operators that SQL cannot express."""
+    assert set(SQL) <= set(QUERIES)
+    assert all(name == "pipeline" or name.startswith("op") for name in set(QUERIES) - set(SQL))
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, db, name):
     df = QUERIES[name](spark, str(FOLDER))
     cursor = db.execute(SQL[name])
