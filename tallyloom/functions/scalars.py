@@ -22,6 +22,11 @@ def to_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def is_integer(value: Column) -> Column:
+    """A text that is a whole number of 64 bits; NULL for NULL."""
+    return value.rlike(r"^\s*[+-]?[0-9]+\s*$") & value.try_cast("bigint").isNotNull()
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    any_word_pattern, blank_to_null, col, columns_of, constant_rows, kinds, normal_name, text_columns,
+    any_word_pattern, blank_to_null, col, columns_of, constant_rows, is_integer, kinds, normal_name, text_columns,
     to_number,
 )
 
@@ -57,24 +57,20 @@ def cast_by_schema(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     return df.select(*result)
 
 
-def count_non_numbers(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
-    """Per column, how many non-null values are no number. One pass."""
-    names = list(names)
-    if not names:
-        return {}
-    row = df.agg(*[
-        F.count_if(col(n).isNotNull() & to_number(col(n)).isNull()).alias(f"c{i}")
-        for i, n in enumerate(names)
-    ]).first()
-    return dict(zip(names, row))
-
-
 def retype_whole_columns(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Make a text column numeric only when every non-null value parses."""
-    bad = count_non_numbers(df, text_columns(df) if names is None else names)
-    return df.select(*[
-        to_number(col(n)).alias(n) if bad.get(n) == 0 else col(n) for n in df.columns
-    ])
+    """Make a text column numeric only when every non-null value parses: bigint if all are whole numbers, else double."""
+    names = list(text_columns(df) if names is None else names)
+    if not names:
+        return df
+    text = {n: col(n).cast("string") for n in names}
+    facts = df.agg(*[agg for i, n in enumerate(names) for agg in (
+        F.count_if(text[n].isNotNull() & to_number(text[n]).isNull()).alias(f"t{i}"),
+        F.count_if(text[n].isNotNull() & ~is_integer(text[n])).alias(f"f{i}"), F.count(text[n]).alias(f"n{i}"))]).first()
+    typed = {
+        n: text[n].try_cast("bigint") if facts[f"n{i}"] and facts[f"f{i}"] == 0 else to_number(text[n])
+        for i, n in enumerate(names) if facts[f"t{i}"] == 0
+    }
+    return df.select(*[typed[n].alias(n) if n in typed else col(n) for n in df.columns])
 
 
 def to_numeric_coerce(df: DataFrame, names: Iterable[str]) -> DataFrame:

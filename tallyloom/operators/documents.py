@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import col, null_safe_join
 from tallyloom.operators.ordered import with_last_known, with_row_number
 
-# Opening tag of a heading or paragraph and the text up to the next tag.
-_ELEMENT = r"<(?:h[1-6]|p)>[^<]*"
+# A heading or paragraph up to its closing tag, or to the next one's opening tag where none closes it.
+_ELEMENT = r"(?is)<(h[1-6]|p)(?:\s[^>]*)?>.*?(?=</\1\s*>|<(?:h[1-6]|p)[\s>]|\z)"
+_UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
 def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, position, level, text) of the headings (level 1-6) and paragraphs (level NULL)."""
-    elements = F.regexp_extract_all(col(html), F.lit(_ELEMENT), F.lit(0))
+    """(key, position, level, text) of the headings (level 1-6) and paragraphs (level NULL), without inner tags, comments and scripts."""
+    elements = F.regexp_extract_all(F.regexp_replace(col(html), _UNSEEN, ""), F.lit(_ELEMENT), F.lit(0))
     return (
         pages.select(key, F.posexplode(elements).alias("position", "element"))
         .select(
             key, "position",
-            F.regexp_extract("element", r"^<h([1-6])>", 1).try_cast("int").alias("level"),
-            F.trim(F.regexp_replace("element", r"^<[^>]*>", "")).alias("text"))
+            F.regexp_extract("element", r"^<[hH]([1-6])", 1).try_cast("int").alias("level"),
+            F.trim(F.regexp_replace("element", r"<[^>]*>", "")).alias("text"))
         .where("text <> ''")
     )
 

@@ -184,6 +184,13 @@ def _csv_cell(value: Column) -> Column:
     return F.when(value.rlike('[",\r\n]'), quoted).otherwise(value)
 
 
+def _escaped(value: Column) -> Column:
+    """Text as HTML shows it."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(mark), F.lit(name))
+    return value
+
+
 def export_conversation(
     messages: DataFrame, fmt: str = "markdown", *, conversation: str = "conv_id", turn: str = "turn",
     role: str = "role", text: str = "text", about: DataFrame | None = None, per_part: int = 1_000, **options,
@@ -202,8 +209,8 @@ def export_conversation(
     rendered = {
         "markdown": F.concat(F.lit("**"), speaker, F.lit(":**\n\n"), col(text), F.lit("\n\n---\n\n")),
         "html": F.concat(
-            F.lit('<div class="message '), col(role), F.lit('"><strong>'), speaker, F.lit(":</strong><br>"),
-            F.replace(col(text), F.lit("\n"), F.lit("<br>")), F.lit("</div>\n")),
+            F.lit('<div class="message '), _escaped(col(role)), F.lit('"><strong>'), _escaped(speaker), F.lit(":</strong><br>"),
+            F.replace(_escaped(col(text)), F.lit("\n"), F.lit("<br>")), F.lit("</div>\n")),
         "csv": F.concat_ws(",", col(turn).cast("string"), _csv_cell(col(role)), _csv_cell(col(text))),
         "json": F.to_json(F.struct(col(turn).alias("turn"), col(role).alias("role"), col(text).alias("content"))),
     }[fmt]
@@ -212,11 +219,13 @@ def export_conversation(
             "\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("Date: "), date), F.concat(F.lit("Files: "), files),
             F.lit("## Messages\n\n")),
         "html": F.concat(
-            F.lit("<!DOCTYPE html>\n<html>\n<head><title>"), title, F.lit("</title></head>\n<body>\n<h1>"), title,
-            F.lit("</h1>\n"), F.coalesce(F.concat(F.lit("<p>Date: "), date, F.lit("</p>\n")), F.lit("")),
-            F.coalesce(F.concat(F.lit("<p>Files: "), files, F.lit("</p>\n")), F.lit("")), F.lit("<h2>Messages</h2>\n")),
+            F.lit("<!DOCTYPE html>\n<html>\n<head><title>"), _escaped(title), F.lit("</title></head>\n<body>\n<h1>"), _escaped(title),
+            F.lit("</h1>\n"), F.coalesce(F.concat(F.lit("<p>Date: "), _escaped(date), F.lit("</p>\n")), F.lit("")),
+            F.coalesce(F.concat(F.lit("<p>Files: "), _escaped(files), F.lit("</p>\n")), F.lit("")), F.lit("<h2>Messages</h2>\n")),
         "csv": F.lit("turn,role,content\n"),
-        "json": F.concat(F.lit('{"conversation_id":'), col(conversation).cast("string"), F.lit(',"messages":[')),
+        "json": F.concat(
+            F.lit('{"conversation_id":'), F.coalesce(F.regexp_replace(F.to_json(F.array(col(conversation))), r"^\[|\]$", ""), F.lit("null")),
+            F.lit(',"messages":[')),
     }[fmt]
     tail = {"markdown": "", "html": "</body>\n</html>\n", "csv": "\n", "json": "]}"}[fmt]
     glue = {"markdown": "", "html": "", "csv": "\n", "json": ","}[fmt]

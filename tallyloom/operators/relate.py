@@ -185,16 +185,16 @@ def obvious_candidates(a: DataFrame, b: DataFrame) -> list[tuple[str, str]]:
             pairs.append((c, names_b[key]))
     if len(pairs) < 2:
         keyed_a, keyed_b = (
-            [c for c in d.columns[:5] if any(w in c.lower() for w in fixed.OBVIOUS_JOIN_WORDS)] for d in (a, b))
+            [c for c in d.columns if any(w in c.lower() for w in fixed.OBVIOUS_JOIN_WORDS)] for d in (a, b))
         pairs += [
             (x, y) for x in keyed_a for y in keyed_b
             if x != y and name_similarity(x, y) > fixed.NAME_SIMILARITY
         ]
-    return pairs[:3]
+    return pairs
 
 
-def key_relationships(tables: Mapping[str, DataFrame], max_pairs: int = 3, columns_per_pair: int = 2) -> DataFrame:
-    """Only confident relationships of the obvious candidates of the first table pairs."""
+def key_relationships(tables: Mapping[str, DataFrame], max_pairs: int | None = None, columns_per_pair: int | None = None) -> DataFrame:
+    """Only confident relationships of the obvious candidates of all table pairs, or of as many as named."""
     candidates = [
         (s, t, x, y)
         for s, t in list(combinations(tables, 2))[:max_pairs]

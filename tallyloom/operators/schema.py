@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
@@ -19,25 +19,27 @@ def sql_types(df: DataFrame) -> dict[str, str]:
     return {c: fixed.SQL_TYPES.get(k, "TEXT") for c, k in kinds(df).items()}
 
 
-def extract_schema(df: DataFrame, order_by: Iterable[str], sample_rows: int = 1000, samples: int = 5) -> DataFrame:
+def extract_schema(df: DataFrame, order_by: Iterable[str], samples: int = 5) -> DataFrame:
     """SQL type, nulls, distinct values (full data) and the first sample values per column.
 
-    Samples are the first non-null values of the first ``sample_rows`` rows in
-    the given order.
+    Samples are the first non-null values in the given order.
     """
     stats = per_column(df, df.columns, {"null_count": lambda c: F.count_if(col(c).isNull())})
     types = constants_per_column(df, {c: {"t": t} for c, t in sql_types(df).items()}, "column string, data_type string")
     order = list(order_by)
-    head = df.orderBy(*[col(c) for c in order]).limit(sample_rows)
-    firsts = per_column(head, df.columns, {
-        "listed": lambda c: F.sort_array(F.collect_list(F.when(
-            col(c).isNotNull(), F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order)], col(c).cast("string").alias("v")))))
-        ["v"],
-    })
-    sampled = firsts.select("column", F.array_join(F.slice("listed", 1, samples), "|").alias("sample_values"))
+    keys = [col(o).alias(f"o{i}") for i, o in enumerate(order)]
+    cells = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("v")) for c in df.columns])).alias("cell"))
+    cells = cells.select(*[f"o{i}" for i in range(len(order))], "cell.column", "cell.v").where("v is not null")
+    first = Window.partitionBy("column").orderBy(*[f"o{i}" for i in range(len(order))], "v")
+    listed = (
+        cells.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= samples)  # Spark keeps so many per task and column
+        .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("nth", "v")))["v"].alias("listed"))
+    )
+    sampled = listed.select("column", F.array_join("listed", "|").alias("sample_values"))
     return (
-        stats.join(types, "column").join(distinct_counts(df, df.columns), "column").join(sampled, "column")
-        .select("column", "data_type", "null_count", "unique_count", "sample_values")
+        stats.join(types, "column").join(distinct_counts(df, df.columns), "column").join(sampled, "column", "left")
+        .select("column", "data_type", "null_count", "unique_count", F.coalesce("sample_values", F.lit("")).alias("sample_values"))
     )
 
 

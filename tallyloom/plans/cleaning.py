@@ -49,9 +49,10 @@ def cast_by_schema(spark, sf):
     return clean.cast_by_schema(_mixed(spark, sf), {"price_text": "float", "mixed": "int"})
 
 
-@query("retype_whole_column", _MIXED_SQL)
+@query("retype_whole_column", f"SELECT *, p_partkey + 9007199254740992 AS id_text FROM ({_MIXED_SQL})")
 def retype_whole_column(spark, sf):
-    return clean.retype_whole_columns(_mixed(spark, sf))
+    ids = (F.col("p_partkey") + F.lit(2**53)).cast("string")
+    return clean.retype_whole_columns(_mixed(spark, sf).withColumn("id_text", ids))
 
 
 @query("to_numeric_coerce", f"SELECT p_partkey, price_text, try_cast(mixed AS double) AS mixed FROM ({_MIXED_SQL})")
@@ -274,18 +275,18 @@ def batch_numbers(spark, sf):
 
 
 @query("extract_schema", """
-WITH e AS (SELECT event_id, ts, user_id, event_type, nullif(value, 0.02) AS value, CASE WHEN event_id > 2 THEN props END AS props FROM events),
-h AS (SELECT * FROM e ORDER BY event_id LIMIT 1000)
+WITH e AS (SELECT event_id, ts, user_id, event_type, nullif(value, 0.02) AS value, CASE WHEN event_id > 1100 THEN props END AS props FROM events),
+h AS (SELECT * FROM e)
 """ + union_sql([
     f"""SELECT '{c}' AS "column", '{t}' AS data_type, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS unique_count,
-  (SELECT string_agg(v, '|' ORDER BY event_id) FROM (
+  (SELECT coalesce(string_agg(v, '|' ORDER BY event_id), '') FROM (
      SELECT event_id, {text} AS v FROM h WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 5)) AS sample_values FROM e"""
     for c, t, text in (
         ("event_id", "INTEGER", "CAST(event_id AS varchar)"), ("user_id", "INTEGER", "CAST(user_id AS varchar)"),
         ("event_type", "TEXT", "event_type"), ("value", "DECIMAL", "CAST(value AS varchar)"), ("props", "TEXT", "props"))]))
 def extract_schema(spark, sf):
     events = table(spark, sf, "events").selectExpr(
-        "event_id", "user_id", "event_type", "nullif(value, 0.02D) AS value", "CASE WHEN event_id > 2 THEN props END AS props")
+        "event_id", "user_id", "event_type", "nullif(value, 0.02D) AS value", "CASE WHEN event_id > 1100 THEN props END AS props")
     return schema.extract_schema(events, ["event_id"])
 
 

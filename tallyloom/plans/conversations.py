@@ -190,20 +190,24 @@ def score_responses(spark, sf):
     return messages.score_responses(answers, "response", "query").drop("role", "response", "query")
 
 
-@query("heading_counts", """
-SELECT CAST(regexp_extract(e, '<h([1-6])>', 1) AS int) AS level, count(*) AS headings
-FROM (SELECT unnest(regexp_extract_all(html, '<(?:h[1-6]|p)>[^<]*')) AS e FROM pages)
-WHERE trim(regexp_replace(e, '^<[^>]*>', '')) <> '' AND e LIKE '<h%' GROUP BY 1""")
+# Opening tags marked by chr(1), closing ones by chr(2), in pages without comments, scripts and styles; an element is what follows a chr(1).
+_ELEMENTS = r"""regexp_extract_all(regexp_replace(regexp_replace(
+  regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
+  '(?i)(<(?:h[1-6]|p)(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), '(?i)</(?:h[1-6]|p)\s*>', chr(2), 'g'), '\x01([^\x01\x02]*)', 1)"""
+
+
+@query("heading_counts", f"""
+SELECT CAST(substr(e, 3, 1) AS int) AS level, count(*) AS headings FROM (SELECT unnest({_ELEMENTS}) AS e FROM pages)
+WHERE trim(regexp_replace(e, '<[^>]*>', '', 'g')) <> '' AND lower(e) LIKE '<h%' GROUP BY 1""")
 def heading_counts(spark, sf):
     return documents.heading_counts(documents.html_elements(table(spark, sf, "pages"), "page_id", "html"))
 
 
-@query("heading_sections", """
-WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:h[1-6]|p)>[^<]*')) AS e,
-             generate_subscripts(regexp_extract_all(html, '<(?:h[1-6]|p)>[^<]*'), 1) - 1 AS position FROM pages),
-y AS (SELECT page_id, CAST(position AS int) AS position, trim(regexp_replace(e, '^<[^>]*>', ''), ' ') AS text,
-        TRY_CAST(regexp_extract(e, '^<h([1-6])>', 1) AS int) AS level FROM x),
-z AS (SELECT *, last_value(CASE WHEN level IS NOT NULL THEN {'t': text, 'l': level, 'p': position} END IGNORE NULLS)
+@query("heading_sections", f"""
+WITH x AS (SELECT page_id, unnest({_ELEMENTS}) AS e, generate_subscripts({_ELEMENTS}, 1) - 1 AS position FROM pages),
+y AS (SELECT page_id, CAST(position AS int) AS position, trim(regexp_replace(e, '<[^>]*>', '', 'g'), ' ') AS text,
+        TRY_CAST(substr(e, 3, 1) AS int) AS level FROM x),
+z AS (SELECT *, last_value(CASE WHEN level IS NOT NULL THEN {{'t': text, 'l': level, 'p': position}} END IGNORE NULLS)
         OVER (PARTITION BY page_id ORDER BY position) AS s FROM y WHERE text <> '')
 SELECT page_id, position, coalesce(s.t, '') AS heading, coalesce(s.l, 0) AS heading_level, coalesce(s.p, -1) AS heading_position, text
 FROM z WHERE level IS NULL""")

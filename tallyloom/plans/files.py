@@ -72,8 +72,8 @@ def sniff_dialect(spark, sf):
     return readers.union_all(found)
 
 
-@query("promote_header", "SELECT p_partkey AS no, p_name AS type, p_brand AS brand, CAST(p_size AS double) AS size, p_retailprice AS amount FROM part"
-       .replace("p_partkey AS no", "CAST(p_partkey AS double) AS no"))
+@query("promote_header", """
+SELECT CAST(p_partkey AS bigint) AS no, p_name AS type, p_brand AS brand, CAST(p_size AS bigint) AS size, p_retailprice AS amount FROM part""")
 def promote_header(spark, sf):
     part = table(spark, sf, "part")
     body = part.select(
@@ -131,7 +131,7 @@ def scan_multi(spark, sf):
 
 @query("file_catalog", """
 SELECT '.csv' AS file_type, count(*) AS rows, 5 AS columns,
-  'c_custkey:float64,c_name:object,c_nationkey:float64,c_acctbal:float64,c_mktsegment:object' AS types FROM customer
+  'c_custkey:int64,c_name:object,c_nationkey:int64,c_acctbal:float64,c_mktsegment:object' AS types FROM customer
 UNION ALL SELECT '.json', count(*), 2, 's_name:object,s_suppkey:int64' FROM supplier
 UNION ALL SELECT '.parquet', count(*), 2, 'p_partkey:int64,p_name:object' FROM part""")
 def file_catalog(spark, sf):

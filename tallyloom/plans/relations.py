@@ -89,10 +89,11 @@ def detect_relationships(spark, sf):
 @query("key_relationships", _relationships_sql(
     [("nations", "suppliers", "nation_id", "nation_id"), ("nations", "suppliers", "name", "name"),
      ("nations", "customers", "nation_id", "nation_id"), ("nations", "customers", "name", "name"),
-     ("suppliers", "customers", "id", "id"), ("suppliers", "customers", "name", "name")],
+     ("suppliers", "customers", "id", "id"), ("suppliers", "customers", "name", "name"), ("suppliers", "customers", "nation_id", "nation_id"),
+     ("orders_in", "customers", "customer_id", "id")],
     where="(so >= 0.1 OR tg >= 0.1) AND " + _CONFIDENCE + " > 0.7"))
 def key_relationships(spark, sf):
-    return relate.key_relationships(named_tables(spark, sf, "nations", "suppliers", "customers"))
+    return relate.key_relationships(named_tables(spark, sf, "nations", "suppliers", "orders_in", "customers"))
 
 
 _SHARED = [("customers", "nations", "nation_id", "nation_id"), ("customers", "suppliers", "nation_id", "nation_id"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import col, constant_rows, file_extension, file_name, to_number
+from tallyloom.functions.scalars import col, constant_rows, file_extension, file_name, is_integer, to_number
 from tallyloom.operators.profile import type_names
 from tallyloom.sources.probe import list_files
-from tallyloom.sources.readers import BAD, SOURCE, scan_any, scan_shapes
+from tallyloom.sources.readers import BAD, SOURCE, READERS, first_line, scan_shapes, unreadable_files
 
 _ORDERS = {
     "size": lambda: [F.desc("bytes"), F.asc("file")],
@@ -19,49 +21,57 @@ _DELIMITED = (".csv", ".tsv", ".txt")
 
 
 def _delimited_facts(shape: DataFrame) -> DataFrame:
-    """Rows, columns and types per file in one pass: a column is numeric if all its values are."""
-    df = shape.where(F.col(BAD).isNull())
+    """Rows, columns and types per file in one pass: a column is numeric if all its values are. Rows with too many cells count."""
+    df = shape
     names = [c for c in df.columns if c not in (SOURCE, BAD)]
     grouped = df.groupBy(SOURCE).agg(
         F.count("*").alias("rows"),
         *[agg for i, c in enumerate(names) for agg in (
-            F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).isNotNull() & to_number(col(c)).isNull()).alias(f"t{i}"))])
+            F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).isNotNull() & to_number(col(c)).isNull()).alias(f"t{i}"),
+            F.count_if(col(c).isNotNull() & ~is_integer(col(c))).alias(f"f{i}"))])
     kinds = [
-        F.concat(F.lit(f"{c}:"), F.when((F.col(f"n{i}") > 0) & (F.col(f"t{i}") == 0), "float64").otherwise("object"))
+        F.concat(F.lit(f"{c}:"), F.when((F.col(f"n{i}") > 0) & (F.col(f"f{i}") == 0), "int64")
+                 .when((F.col(f"n{i}") > 0) & (F.col(f"t{i}") == 0), "float64").otherwise("object"))
         for i, c in enumerate(names)
     ]
-    return grouped.select(F.col(SOURCE).alias("file"), "rows", F.lit(len(names)).alias("columns"), F.concat_ws(",", *kinds).alias("types"))
+    return grouped.select(F.col(SOURCE).alias("file_path"), "rows", F.lit(len(names)).alias("columns"), F.concat_ws(",", *kinds).alias("types"))
 
 
 def _typed_facts(df: DataFrame) -> DataFrame:
     listed = ",".join(f"{c}:{t}" for c, t in type_names(df).items())
-    return df.groupBy(file_name(F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("rows")).select(
-        "file", "rows", F.lit(len(df.columns)).alias("columns"), F.lit(listed).alias("types"))
+    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("rows")).select(
+        "file_path", "rows", F.lit(len(df.columns)).alias("columns"), F.lit(listed).alias("types"))
 
 
 def file_catalog(spark: SparkSession, path: str | list[str], order_by: str = "name") -> tuple[DataFrame, DataFrame]:
-    """(name, type, bytes, rows, columns and types per file; files that could not be read)."""
+    """(name, type, bytes, rows, columns and types per file; files that could not be read).
+
+    Every file is listed, under its full path too: one without rows with 0, one that could not be read with NULL.
+    """
     files = list_files(spark, path).select(
-        "path", file_name(F.col("path")).alias("file"), file_extension(F.col("path")).alias("file_type"),
+        "path", "file_path", file_name(F.col("path")).alias("file"), file_extension(F.col("path")).alias("file_type"),
         F.col("length").alias("bytes"), "modified")
     by_type: dict[str, list[str]] = {}
     for r in files.select("path", "file_type").collect():  # the listing, one short row per file
         by_type.setdefault(r["file_type"], []).append(r["path"])
-    facts = constant_rows(spark, [], "file string, rows bigint, columns int, types string")
+    facts = constant_rows(spark, [], "file_path string, rows bigint, columns int, types string")
     errors = constant_rows(spark, [], "path string, error string")
     for suffix, paths in sorted(by_type.items()):
         if suffix in _DELIMITED:
-            for shape in scan_shapes(spark, paths):
+            for shape in scan_shapes(spark, paths, on_error="skip", full_path=True):
                 facts = facts.unionByName(_delimited_facts(shape))
+            errors = errors.unionByName(unreadable_files(spark, paths))
+            continue
+        if suffix not in READERS:
+            errors = errors.unionByName(constant_rows(spark, [(p, f"unsupported file type: {suffix}") for p in paths], "path string, error string"))
             continue
-        for one in ([paths] if suffix in (".parquet", ".pq", ".jsonl") else [[p] for p in paths]):
-            scan = scan_any(spark, one[:1])
-            if scan.tables:
-                reader = scan.tables[one[0]]
-                if len(one) > 1:
-                    fmt = "json" if suffix == ".jsonl" else "parquet"
-                    reader = spark.read.schema(reader.schema).format(fmt).load(one)
-                facts = facts.unionByName(_typed_facts(reader))
-            errors = errors.unionByName(scan.errors)
-    catalog = files.join(facts, "file").select("file", "file_type", "bytes", "modified", "rows", "columns", "types")
+        for one in paths:  # files of one type may differ in their columns
+            try:
+                facts = facts.unionByName(_typed_facts(READERS[suffix](spark, [one])))
+            except (PySparkException, Py4JJavaError) as problem:
+                errors = errors.unionByName(constant_rows(spark, [(one, first_line(problem))], "path string, error string"))
+    failed = errors.select("path", F.lit(True).alias("failed")).distinct()
+    catalog = files.join(facts, "file_path", "left").join(failed, "path", "left").select(
+        "file", "file_path", "file_type", "bytes", "modified",
+        F.coalesce("rows", F.when(F.col("failed").isNull(), F.lit(0).cast("bigint"))).alias("rows"), "columns", "types")
     return catalog.orderBy(*_ORDERS[order_by]()), errors

@@ -1,7 +1,8 @@
 """Look at the head of delimited files: separator, quote, header row.
 
-The file list is a DataFrame; each task opens its files and reads only the
-first bytes, so probing costs the same for a file of any size.
+The head is a file's first whole lines, however long they are. Tasks read it
+off local files directly; files of any other store come through Spark's own
+text reader, with its file systems and credentials, which costs one scan.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import unique_names
 
-SAMPLE_BYTES = 10_240
+#: Lines of a head, and how much of it the dialect is judged by.
+HEAD_LINES = 200
+SAMPLE_CHARS = 10_240
 HEADER_ROWS = 10
 SEPARATORS = ",;\t|"
 
@@ -25,22 +28,40 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length, modified) of the files, without reading their content."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
+        .select("path", "length", F.col("modificationTime").alias("modified"), F.col("_metadata.file_path").alias("file_path"))
     )
 
 
-def read_head(path: str, size: int = SAMPLE_BYTES) -> bytes:
-    """First bytes of a file on a local or remote file system."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    if "://" not in path:
-        with open(path, "rb") as f:
-            return f.read(size)
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(inner) as stream:
-        return stream.read(size)
+def _local_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            try:
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+                    out.append((path, b"".join(line for _, line in zip(range(HEAD_LINES), f)), None))
+            except OSError as problem:  # an unreadable file is a row, not a failure
+                out.append((path, None, f"{type(problem).__name__}: {problem}"))
+        yield pd.DataFrame(out, columns=["path", "head", "error"])
+
+
+def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, head, error) per file: its first ``HEAD_LINES`` lines as bytes."""
+    files = list_files(spark, path).select("path", "file_path")
+    local = F.col("path").rlike("^(file:|/)")
+    heads = files.where(local).select("path").mapInPandas(_local_heads, "path string, head binary, error string")
+    if files.where(~local).isEmpty():
+        return heads
+    first = Window.partitionBy("file_path").orderBy("at")
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").text(path)
+        .select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"))
+        .where("start = 0").withColumn("at", F.monotonically_increasing_id())
+        .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= HEAD_LINES)
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda e: F.concat(e["line"], F.lit(bytearray(b"\n"))))
+    joined = lines.groupBy("file_path").agg(F.aggregate(ordered, F.lit(bytearray()), lambda done, line: F.concat(done, line)).alias("head"))
+    read = files.where(~local).join(joined, "file_path", "left")
+    return heads.unionByName(read.select("path", F.coalesce("head", F.lit(bytearray())).alias("head"), F.lit(None).cast("string").alias("error")))
 
 
 def sniff_dialect(sample: str) -> tuple[str, str]:
@@ -66,7 +87,10 @@ def find_header_row(rows: list[list[str]]) -> int:
 
 
 def probe_text(sample: str, sep: str | None = None, quote: str | None = None) -> dict:
-    found_sep, found_quote = sniff_dialect(sample)
+    short = sample[:SAMPLE_CHARS]
+    if len(sample) > SAMPLE_CHARS and "\n" in short:
+        short = short[:short.rindex("\n") + 1]
+    found_sep, found_quote = sniff_dialect(short)
     sep, quote = sep or found_sep, quote or found_quote
     lines = csv.reader(io.StringIO(sample), delimiter=sep, quotechar=quote)
     rows = []
@@ -95,18 +119,16 @@ def probe_delimited(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for file in batch["path"]:
+            for file, raw, error in zip(batch["path"], batch["head"], batch["error"], strict=True):
+                if error is not None:
+                    out.append((file, None, None, None, None, None, error))
+                    continue
                 try:
-                    raw = read_head(file)
-                    text = raw.decode(encoding, errors="replace").lstrip("﻿")
-                    if len(raw) >= SAMPLE_BYTES and "\n" in text:
-                        text = text[:text.rindex("\n") + 1]
-                    p = probe_text(text, sep, quote)
+                    p = probe_text(raw.decode(encoding, errors="replace").lstrip("﻿"), sep, quote)
                     out.append((file, p["sep"], p["quote"], p["header_row"], p["names"], p["head"], None))
                 except Exception as problem:  # an unreadable file is a row, not a failure
                     out.append((file, None, None, None, None, None, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(out, columns=["path", "sep", "quote", "header_row", "names", "head", "error"])
 
-    files = list_files(spark, path).select("path")
-    return files.mapInPandas(run, (
+    return file_heads(spark, path).mapInPandas(run, (
         "path string, sep string, quote string, header_row int, names array<string>, head array<array<string>>, error string"))

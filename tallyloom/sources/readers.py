@@ -6,15 +6,16 @@ import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed_values as fixed
-from tallyloom.functions.scalars import col, constant_rows, file_name, unique_names
+from tallyloom.functions.scalars import col, constant_rows, file_extension, file_name, unique_names
 from tallyloom.operators.clean import retype_whole_columns
-from tallyloom.sources.probe import SAMPLE_BYTES, list_files, probe_delimited, read_head
+from tallyloom.sources.probe import file_heads, list_files, probe_delimited
 
 SOURCE, BAD = "source_file", "_bad_record"
 MAX_HEAD_LINES = 50
@@ -32,34 +33,45 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 def scan_csv(
     spark: SparkSession, path: str | list[str], *, sep: str | None = None, quote: str | None = None,
-    encoding: str = "utf-8", multi_line: bool = False,
+    encoding: str = "utf-8", multi_line: bool = False, on_error: str = "raise",
 ) -> DataFrame:
     """Delimited files as text columns, with ``source_file`` and ``_bad_record``.
 
     Dialect and header row are found per file from its head. Files of one
     shape are read together. Rows above the header are dropped, short rows are
     padded with NULL, and rows with too many cells keep their raw text in
-    ``_bad_record`` (see :func:`quarantine_rows`).
+    ``_bad_record`` (see :func:`quarantine_rows`). A file that cannot be read
+    raises; with ``on_error="skip"`` it is left to :func:`unreadable_files`.
     """
-    shapes = scan_shapes(spark, path, sep=sep, quote=quote, encoding=encoding, multi_line=multi_line)
+    shapes = scan_shapes(spark, path, sep=sep, quote=quote, encoding=encoding, multi_line=multi_line, on_error=on_error)
     return union_all(shapes) if shapes else constant_rows(spark, [], f"{SOURCE} string, {BAD} string")
 
 
 def scan_shapes(
     spark: SparkSession, path: str | list[str], *, sep: str | None = None, quote: str | None = None,
-    encoding: str = "utf-8", multi_line: bool = False,
+    encoding: str = "utf-8", multi_line: bool = False, on_error: str = "raise", full_path: bool = False,
 ) -> list[DataFrame]:
     """The same, one frame per shape (dialect, header row and column names)."""
-    probes = probe_delimited(spark, path, encoding=encoding, sep=sep, quote=quote).where("error is null")
-    shapes = probes.groupBy("sep", "quote", "header_row", "names").agg(
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"on_error is raise or skip, not {on_error!r}")
+    probes = probe_delimited(spark, path, encoding=encoding, sep=sep, quote=quote)
+    shapes = probes.groupBy("error", "sep", "quote", "header_row", "names").agg(
         F.sort_array(F.collect_list("path")).alias("paths"),
         F.array_distinct(F.flatten(F.collect_set("head"))).alias("head"),
     ).withColumn("head", F.when(F.size("head") <= MAX_HEAD_LINES, F.col("head"))).collect()
-    shapes = sorted((s for s in shapes if s["names"]), key=lambda s: s["paths"][0])
-    return [_scan_shape(spark, s, encoding, multi_line) for s in shapes]
+    failed = [s for s in shapes if s["error"] is not None]
+    if failed and on_error == "raise":
+        raise OSError(f"{sum(len(s['paths']) for s in failed)} unreadable files, such as {failed[0]['paths'][0]}: {failed[0]['error']}")
+    shapes = sorted((s for s in shapes if s["error"] is None and s["names"]), key=lambda s: s["paths"][0])
+    return [_scan_shape(spark, s, encoding, multi_line, full_path) for s in shapes]
 
 
-def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) -> DataFrame:
+def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, error) of the delimited files that cannot be opened or decoded."""
+    return probe_delimited(spark, path).where("error is not null").select("path", "error")
+
+
+def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool, full_path: bool = False) -> DataFrame:
     names, at = list(shape["names"]), shape["header_row"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     options = {"sep": shape["sep"], "quote": shape["quote"], "escape": shape["quote"], "encoding": encoding}
@@ -70,7 +82,7 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool) ->
     rows = raw.select(
         *[F.when(col(n) != "", col(n)).alias(n) for n in names],
         F.col(_CORRUPT),
-        file_name(F.col("_metadata.file_path")).alias(SOURCE),
+        (F.col("_metadata.file_path") if full_path else file_name(F.col("_metadata.file_path"))).alias(SOURCE),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     if at > 0:
         rows = _drop_head(rows, names, at + 1, shape["head"])
@@ -155,59 +167,82 @@ def scan_json(spark: SparkSession, path: str | list[str], *, multi_line: bool =
     return reader.json(path, multiLine=multi_line)
 
 
-def _csv_body(spark, path):
-    return quarantine_rows(scan_csv(spark, path))[0]
-
-
 def _json_body(spark, path):
-    first = list_files(spark, path).select("path").first()
-    return scan_json(spark, path, multi_line=not (first and is_json_lines(read_head(first[0]))))
+    """Files of JSON lines and whole documents side by side, each read its own way."""
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(lines=[h is not None and is_json_lines(h) for h in batch["head"]])[["path", "lines", "error"]]
+
+    layouts = file_heads(spark, path).mapInPandas(run, "path string, lines boolean, error string")
+    found = {r["lines"]: sorted(r["paths"]) for r in layouts.groupBy("lines").agg(F.collect_list("path").alias("paths")).collect()}
+    return union_all(scan_json(spark, paths, multi_line=not lines) for lines, paths in sorted(found.items(), key=lambda x: x[1]))
 
 
 def is_json_lines(head: bytes) -> bool:
     """True if the first line of the file is a JSON object by itself."""
-    line, _, rest = head.decode("utf-8", errors="replace").lstrip().partition("\n")
+    line = head.decode("utf-8", errors="replace").lstrip().partition("\n")[0]
     if not line.startswith("{"):
         return False
     try:
         json.loads(line)
         return True
     except ValueError:
-        return not rest and len(head) >= SAMPLE_BYTES  # one line longer than the sample
+        return False
 
 
 READERS = {
-    ".csv": _csv_body, ".tsv": _csv_body, ".txt": _csv_body,
+    ".csv": scan_csv, ".tsv": scan_csv, ".txt": scan_csv,
     ".json": _json_body, ".jsonl": scan_json, ".parquet": scan_parquet, ".pq": scan_parquet,
 }
 
 
 @dataclass
 class Scan:
-    """Tables by path, and an error row per path that could not be read."""
+    """Tables by path, an error row per path that could not be read, and rows with too many cells with their origin."""
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     errors: DataFrame | None = None
+    bad_rows: DataFrame | None = None
 
 
 def scan_any(spark: SparkSession, paths: Iterable[str]) -> Scan:
-    """Read each path with the reader for its extension. Problems are rows, not exceptions."""
-    scan, problems = Scan(), []
+    """Read each path with the readers for its extensions. Problems are rows, not exceptions.
+
+    A folder with files of several types gives a table per type, under the path followed by the extension.
+    """
+    scan, problems, bad = Scan(), [], []
     for path in paths:
         try:
-            first = list_files(spark, path).select("path").first()
-            name = (first[0] if first else path).rsplit("/", 1)[-1]
-            suffix = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+            suffix = file_extension(F.col("path"))
+            listed = list_files(spark, path).groupBy(suffix.alias("suffix")).agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
+        except (PySparkException, Py4JJavaError) as problem:
+            problems.append((path, first_line(problem)))
+            continue
+        if not listed:
+            problems.append((path, "no files"))
+        for suffix, files in sorted(listed):
+            name = path if len(listed) == 1 else f"{path}{suffix}"
             if suffix not in READERS:
-                problems.append((path, f"unsupported file type: {suffix or name}"))
+                problems.append((name, f"unsupported file type: {suffix or files[0].rsplit('/', 1)[-1]}"))
+                continue
+            try:
+                df = READERS[suffix](spark, files)
+            except (PySparkException, Py4JJavaError, OSError) as problem:
+                problems.append((name, first_line(problem)))
                 continue
-            scan.tables[path] = READERS[suffix](spark, path)
-        except PySparkException as problem:
-            problems.append((path, str(problem).splitlines()[0]))
+            if READERS[suffix] is scan_csv:
+                df, surplus = quarantine_rows(df)
+                bad.append(surplus)
+            scan.tables[name] = df
     scan.errors = constant_rows(spark, problems, "path string, error string")
+    scan.bad_rows = union_all(bad) if bad else constant_rows(spark, [], f"{SOURCE} string, raw string, error string")
     return scan
 
 
+def first_line(problem: Exception) -> str:
+    return (str(problem).splitlines() or [type(problem).__name__])[0]
+
+
 def scan_multi(tables: Mapping[str, DataFrame], only: Iterable[str] | None = None, label: str = SOURCE) -> DataFrame:
     """Several files, or sheets handed over as tables, as one table with provenance columns."""
     wanted = list(tables) if only is None else list(only)

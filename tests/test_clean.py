@@ -20,7 +20,7 @@ def test_blank_rows(spark, rows):
 
 def test_retype_needs_every_value(spark):
     df = spark.createDataFrame([("1", " 2 ", "x"), (None, "3.5", "1")], "a string, b string, c string")
-    assert dict(clean.retype_whole_columns(df).dtypes) == {"a": "double", "b": "double", "c": "string"}
+    assert dict(clean.retype_whole_columns(df).dtypes) == {"a": "bigint", "b": "double", "c": "string"}
 
 
 def test_cast_keeps_what_fails(spark, rows):

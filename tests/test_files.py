@@ -93,7 +93,7 @@ def test_promote_header(spark):
         "pos int, a string, b string, c string, d string, e string")
     got = readers.promote_header(df, order=["pos"])
     assert got.columns == ["No", "Payment type", "Column_2", "Amount", "No_1"]
-    assert dict(got.dtypes)["Amount"] == "double" and got.count() == 2
+    assert dict(got.dtypes)["Amount"] == "double" and dict(got.dtypes)["No"] == "bigint" and got.count() == 2
     plain = spark.createDataFrame([("x", "y", "z", "w")], "a string, b string, c string, d string")
     assert readers.promote_header(plain).columns == ["a", "b", "c", "d"]
     head = spark.createDataFrame([("No", "Date", "Type", "Ref"), ("1", "2", "3", "4")], "a string, b string, c string, d string").coalesce(1)
@@ -115,12 +115,62 @@ def test_catalog(spark, folder):
     listed, errors = catalog.file_catalog(spark, str(folder), order_by="size")
     got = listed.collect()
     assert [r["bytes"] for r in got] == sorted((r["bytes"] for r in got), reverse=True)
-    assert {r["file"]: (r["rows"], r["columns"]) for r in got} == {"settled.csv": (7, 8), "orders.csv": (7, 5)}
+    assert {r["file"]: (r["rows"], r["columns"]) for r in got} == {"settled.csv": (7, 8), "orders.csv": (7, 5), "book.xlsx": (None, None)}
     types = {r["file"]: r["types"] for r in got}
-    assert types["orders.csv"] == "Day:object,Transaction ID:float64,Order name:object,Gateway:object,Gross payments:float64"
+    assert types["orders.csv"] == "Day:object,Transaction ID:int64,Order name:object,Gateway:object,Gross payments:float64"
     assert errors.count() == 1
 
 
+def test_catalog_by_full_path(spark, tmp_path):
+    for place, text in {
+        "one/data.csv": "k,name\n1,a\n2,b\n3,c\n", "two/data.csv": "k,name\n" + "1,a\n" * 5, "two/empty.csv": "k,name\n",
+        "two/data.json": '{"k": 1}\n{"k": 2}\n', "two/other.json": '[{"z": 1}]', "two/broken.parquet": "no such format",
+        "two/surplus.csv": "k,name\n1,a,b\n",
+    }.items():
+        (tmp_path / place).parent.mkdir(exist_ok=True)
+        (tmp_path / place).write_text(text)
+    listed, errors = catalog.file_catalog(spark, str(tmp_path))
+    got = {"/".join(r["file_path"].split("/")[-2:]): (r["rows"], r["types"]) for r in listed.collect()}
+    assert got == {
+        "one/data.csv": (3, "k:int64,name:object"), "two/data.csv": (5, "k:int64,name:object"), "two/empty.csv": (0, None),
+        "two/data.json": (2, "k:int64"), "two/other.json": (1, "z:int64"), "two/broken.parquet": (None, None), "two/surplus.csv": (1, "k:int64,name:object")}
+    assert [r["path"].rsplit("/", 1)[-1] for r in errors.collect()] == ["broken.parquet"]
+
+
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,name\n1,a\n2,b,c\n")
+    (tmp_path / "b.json").write_text('{"k": 1}\n{"k": 2}\n')
+    (tmp_path / "c.json").write_text('[{"k": 3},\n{"k": 4}]')
+    scan = readers.scan_any(spark, [str(tmp_path)])
+    assert {p.rsplit(".", 1)[-1]: t.count() for p, t in scan.tables.items()} == {"csv": 1, "json": 4}
+    assert [(r["source_file"], r["raw"]) for r in scan.bad_rows.collect()] == [("a.csv", "2,b,c")] and scan.errors.isEmpty()
+
+
+def test_header_of_any_length(spark, tmp_path):
+    names = [f"a_rather_long_column_name_{i}" for i in range(1200)]
+    (tmp_path / "wide.csv").write_text("\n".join([",".join(names), ",".join(map(str, range(1200)))]) + "\n")
+    good, bad = readers.quarantine_rows(readers.scan_csv(spark, str(tmp_path)))
+    assert good.columns[:-1] == names and bad.isEmpty() and good.first()[names[-1]] == "1199"
+
+
+def test_unreadable_files_do_not_vanish(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,name\n1,a\n")
+    probe_bad = spark.createDataFrame([(f"file:{tmp_path}/gone.csv",)], "path string").mapInPandas(probe._local_heads, "path string, head binary, error string")
+    assert probe_bad.first()["error"].startswith("FileNotFoundError")
+    with pytest.raises(OSError, match="1 unreadable"):
+        readers.scan_csv(spark, str(tmp_path), encoding="no-such-encoding")
+    assert readers.scan_csv(spark, str(tmp_path), encoding="no-such-encoding", on_error="skip").isEmpty()
+    assert readers.unreadable_files(spark, str(tmp_path)).isEmpty()
+
+
+def test_heads_by_spark_equal_local_ones(spark, tmp_path):
+    """A path that only Spark's file systems know."""
+    (tmp_path / "a.csv").write_text(report(300))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shop.link./in", f"file://{tmp_path}")
+    got = readers.scan_csv(spark, "viewfs://shop/in/a.csv").drop("source_file")
+    assert got.count() == 301 and got.exceptAll(readers.scan_csv(spark, str(tmp_path)).drop("source_file")).isEmpty()
+
+
 def test_conversations(spark, tmp_path):
     talk = {"conversation_id": "c1", "title": "T", "messages": [{"role": "user", "content": "hi", "timestamp": 1.0}, {"role": "assistant", "content": "yo"}], "data_files": ["a.csv"]}
     (tmp_path / "good.json").write_text(json.dumps(talk, indent=2))

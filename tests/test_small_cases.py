@@ -28,3 +28,41 @@ def test_session_data_is_a_map(spark):
 def test_null_keys_are_missing(spark, rows):
     a, b = spark.createDataFrame([(1,), (None,), (2,)], "k int"), spark.createDataFrame([(2,), (None,)], "k int")
     assert rows(reconcile.missing_rows(a, b, F.col("k"), F.col("k"))) == [(1,), (None,)]
+
+
+def test_paragraphs_are_whole(spark):
+    from tallyloom.operators import documents
+
+    html = '<!-- <p>no</p> --><h2 class="t">A <i>b</i></h2><p>foo <b>bar</b> baz</p><p class="c">kept</p><pre>x</pre><P>open<p>next</p>'
+    got = documents.html_elements(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").orderBy("position")
+    assert [(r["level"], r["text"]) for r in got.collect()] == [(2, "A b"), (None, "foo bar baz"), (None, "kept"), (None, "open"), (None, "next")]
+
+
+def test_all_tables_and_rows_count(spark):
+    from tallyloom.operators import relate, schema
+
+    tables = {f"t{i}": spark.range(50).withColumnRenamed("id", "user_id") for i in range(5)}
+    assert relate.key_relationships(tables).count() == 10 and relate.key_relationships(tables, max_pairs=3).count() == 3
+    late = spark.range(3000).selectExpr("id", "if(id >= 2000, 'v' || id, null) as late", "cast(null as string) as never")
+    got = {r["column"]: r["sample_values"] for r in schema.extract_schema(late, ["id"]).collect()}
+    assert got == {"id": "0|1|2|3|4", "late": "v2000|v2001|v2002|v2003|v2004", "never": ""}
+
+
+def test_whole_numbers_stay_whole(spark):
+    from tallyloom.operators import clean
+
+    df = spark.createDataFrame([("9007199254740993", "1", "99999999999999999999"), (None, "2.5", "1")], "a string, b string, c string")
+    got = clean.retype_whole_columns(df)
+    assert dict(got.dtypes) == {"a": "bigint", "b": "double", "c": "double"} and got.first()["a"] == 9007199254740993
+
+
+def test_exported_texts_are_valid(spark):
+    import json
+
+    from tallyloom.operators import messages
+
+    talk = spark.createDataFrame([('a"1', 0, "user", 'x < y & "z"'), (None, 0, "user", "n")], "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: json.loads(r["document"]) for r in messages.export_conversation(talk, "json").collect()}
+    assert got['a"1']["conversation_id"] == 'a"1' and got[None]["conversation_id"] is None
+    page = messages.export_conversation(talk, "html").where("conv_id is not null").first()["document"]
+    assert "x &lt; y &amp; &quot;z&quot;" in page and 'Conversation a&quot;1' in page
