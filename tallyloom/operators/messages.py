@@ -122,17 +122,18 @@ def best_response(df: DataFrame, query_key: str, success: str, score: str, tie_b
 
 def extract_decisions(
     messages: DataFrame, words: Iterable[str] = tuple(fixed.DECISION_WORDS), *, conversation: str = "conv_id",
-    turn: str = "turn", role: str = "role", text: str = "text", **options,
+    turn: str = "turn", role: str = "role", text: str = "text", timestamp: str | None = None, **options,
 ) -> DataFrame:
-    """Assistant messages with an indicator word and the user question right before them."""
+    """Assistant messages with an indicator word, the user question right before them, and their own ``timestamp`` where named."""
+    when = [] if timestamp is None else [timestamp]
     paired = with_previous(
-        messages.select(conversation, turn, role, text), [conversation], [turn],
+        messages.select(conversation, turn, role, text, *when), [conversation], [turn],
         {"_role": col(role), "_text": col(text)}, **options)
     decided = (col(role) == "assistant") & contains_any(F.lower(col(text)), words)
     return paired.where(decided).select(
         conversation, turn, F.lit("recommendation").alias("type"),
         F.when(F.col("_role") == "user", F.col("_text")).otherwise("").alias("question"),
-        col(text).alias("decision"))
+        col(text).alias("decision"), *when)
 
 
 def audit_trail(
@@ -170,13 +171,15 @@ def compact_history(messages: DataFrame, keep_last: int = 20, conversation: str
     return first.unionByName(last).dropDuplicates([conversation, turn])
 
 
-def conversation_summary(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Messages and estimated tokens (a quarter of the characters) per conversation."""
+def conversation_summary(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text",
+                         updated_at: str | None = None) -> DataFrame:
+    """Messages and estimated tokens (a quarter of the characters) per conversation, the last updated first where ``updated_at`` is named."""
+    latest = [] if updated_at is None else [F.max(updated_at).alias("updated_at")]
     return messages.groupBy(conversation).agg(
         F.count("*").alias("messages"),
         F.floor(F.sum(F.coalesce(F.length(text), F.lit(0))) / 4).alias("estimated_tokens"),
-        F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"),
-    ).orderBy(F.desc(conversation))
+        F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"), *latest,
+    ).orderBy(*[F.desc_nulls_last("updated_at") for _ in latest], F.desc(conversation))
 
 
 def _csv_cell(value: Column) -> Column:

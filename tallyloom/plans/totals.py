@@ -114,7 +114,7 @@ def best_response(spark, sf):
 
 
 def _chunk_totals(batch):
-    grouped = batch.groupby("l_returnflag", as_index=False).agg(total=("l_extendedprice", "sum"), rows=("l_extendedprice", "size"))
+    grouped = batch.groupby("l_returnflag", as_index=False, dropna=False).agg(total=("l_extendedprice", "sum"), rows=("l_extendedprice", "size"))
     return grouped
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def drain(stream: DataFrame, path: str, checkpoint: str | None = None) -> DataFr
 
 
 def stream_totals(sources: Mapping[str, tuple[DataFrame, str]], path: str, checkpoint: str | None = None) -> DataFrame:
-    """Running count and sum per source over streaming frames; the state after all input."""
+    """Running count and sum per source over streaming frames; the state after all input, no rows if there never was any."""
     parts = [
         df.select(F.lit(name).alias("source"), to_number(col(amount)).alias("amount"))
         for name, (df, amount) in sources.items()
@@ -63,4 +64,10 @@ def stream_totals(sources: Mapping[str, tuple[DataFrame, str]], path: str, check
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(path).select("source", F.round("total", 2).alias("total"), "rows")
+    try:
+        stored = spark.read.schema(totals.schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], totals.schema)  # without input no batch ran
+    return stored.select("source", F.round("total", 2).alias("total"), "rows")

@@ -66,3 +66,31 @@ def test_exported_texts_are_valid(spark):
     assert got['a"1']["conversation_id"] == 'a"1' and got[None]["conversation_id"] is None
     page = messages.export_conversation(talk, "html").where("conv_id is not null").first()["document"]
     assert "x &lt; y &amp; &quot;z&quot;" in page and 'Conversation a&quot;1' in page
+
+
+def test_times_of_conversations(spark):
+    from tallyloom.operators import messages
+
+    talk = spark.createDataFrame(
+        [(1, 0, "user", "which?", 5), (1, 1, "assistant", "I recommend an index", 9), (2, 0, "user", "hi", 3), (3, 0, "user", "yo", 7)],
+        "conv_id int, turn int, role string, text string, at int")
+    assert [r["at"] for r in messages.extract_decisions(talk, timestamp="at").collect()] == [9]
+    assert [r["conv_id"] for r in messages.conversation_summary(talk, updated_at="at").collect()] == [1, 3, 2]
+    assert [r["conv_id"] for r in messages.conversation_summary(talk).collect()] == [3, 2, 1]
+
+
+def test_totals_of_an_empty_stream(spark, tmp_path):
+    from tallyloom.streaming import incremental
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id int, amount double").parquet(str(tmp_path / "in"))
+    assert incremental.stream_totals({"in": (stream, "amount")}, str(tmp_path / "totals")).collect() == []
+
+
+def test_chunk_totals_keep_null_keys(spark):
+    import pandas as pd
+
+    from tallyloom.plans.totals import _chunk_totals
+
+    got = _chunk_totals(pd.DataFrame({"l_returnflag": ["A", None], "l_extendedprice": [1.0, 2.0]}))
+    assert got["total"].sum() == 3.0
