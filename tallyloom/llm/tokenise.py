@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct chunks whose ids a worker process remembers; beyond that it starts afresh.
-REMEMBERED = 500_000
 #: A document's last id in packed sequences, and the separator of flat token files.
 END_ID, EOD_ID = 1, 50256
+#: Every run of 1,000 white-space characters shows as ten in a row among every hundredth character.
+STRIDE, BLANKS = 100, re.compile(r"\s{10}")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,39 +22,41 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def encoder(name: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (uint32), equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer never joins letters across a place where a non-space is followed by white space. So a text is cut
-    there, and the ids of each distinct chunk are taken from the tokenizer once. A text with white space other than
-    blanks and line feeds goes to the tokenizer as a whole. The encoder stays with its worker process, so the next
-    task there knows its chunks.
+    Where the vocabulary also lies there as ranks (``.tiktoken``), texts are encoded from these, which gives the same
+    ids in a third of the time. Texts that hold a special token's string, or that may hold a run of 1,000 white-space
+    characters or more, too deep for that encoder's pattern, go to the tokenizer itself. The encoder stays with its
+    worker process.
     """
+    import base64
     import os
 
+    import tiktoken
     import tokenizers
-    from tokenizers import Tokenizer
 
     stay = tokenizers.__dict__.setdefault("_tallyloom_encoders", {})  # functions sent by value have no module of their own to keep it
     if name in stay:
         return stay[name]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    model = Tokenizer.from_file(tokenizer_path(name))
-    chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z").findall
-    odd = re.compile(r"[^\S \n]").search
-    known: dict[str, bytes] = {}
+    model = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+    special = [t.content for t in model.get_added_tokens_decoder().values()]
+    ranks_path = tokenizer_path(os.path.splitext(name)[0] + ".tiktoken")
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(model.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not os.path.exists(ranks_path):
+        stay[name] = whole
+        return whole
+    import public_tokenizers
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    by_rank = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if odd(text):
-            return np.array(model.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = chunks(text)
-        got = list(map(known.get, parts))
-        if None in got:
-            if len(known) > REMEMBERED:
-                known.clear()
-                got = [None] * len(parts)
-            new = list(dict.fromkeys(p for p, x in zip(parts, got, strict=True) if x is None))
-            for p, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-            got = [known[p] for p in parts]
-        return np.frombuffer(b"".join(got), np.uint32)
+        if any(s in text for s in special) or BLANKS.search(text[::STRIDE]):
+            return whole(text)
+        return by_rank.encode_to_numpy(text, disallowed_special=())
 
     stay[name] = encode
     return encode

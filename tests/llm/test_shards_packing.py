@@ -51,6 +51,13 @@ def test_shards_are_exact_and_uniform(docs, empty, spark):
     assert sorted(r["shard"] for r in shards.shuffle_into_shards(odd, 2, ["doc_id"]).collect()) == [0, 0, 1]
 
 
+def test_encoder_gives_the_tokenizers_ids(model, docs):
+    encode = tokenise.encoder("byte_bpe_50k.json")
+    texts = ["", " " * 999 + "x", " \n" * 700, "a" * 5000, " " * 50_000 + "b", "x<|endoftext|>y", "\u3000\u4e2d\u6587 na\u00efve \U0001f600\r\n\t!"]
+    texts += [r["text"] for r in docs.where("text is not null").select("text").collect()]
+    assert all(encode(t).tolist() == model.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_sharding_query(spark):
     rows = op3_sharding(spark, "/root/testdata/sf0.001").collect()
     text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
