@@ -1,9 +1,9 @@
 """How tables relate: overlaps, join candidates, keys.
 
 All candidate pairs of all tables are measured together: the candidate
-columns are unpivoted to value digests, counted per value in one shuffle, and
-one wide aggregate reads off distinct, common and included counts. Values are
-never paired with each other.
+columns are unpivoted to value digests and counted per value and column; then
+each value lists the columns that hold it, at most all of them, and only the
+candidate pairs in its list are counted. Values are never paired with each other.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import col, constant_rows, kind, kinds, name_similarity, row_digest, share
 from tallyloom.operators.profile import distinct_counts
 
-CANDIDATES_PER_PASS = 200
 Candidate = tuple[str, str, str, str]  # source table, target table, source column, target column
 
 _NUMBER = ("integer", "decimal")
@@ -60,48 +59,32 @@ def measure_candidates(tables: Mapping[str, DataFrame], candidates: Iterable[Can
     values = parts[0]
     for part in parts[1:]:
         values = values.unionByName(part)
-    per_value = values.groupBy("h1", "h2").agg(*[F.count_if(F.col("end") == i).alias(f"n{i}") for i in range(len(ends))])
-
-    # Beyond one batch each batch shuffles the columns it needs once more.
-    batches = [
-        _measure(per_value, list(enumerate(candidates))[k:k + CANDIDATES_PER_PASS], index)
-        for k in range(0, len(candidates), CANDIDATES_PER_PASS)
-    ]
-    result = batches[0]
-    for batch in batches[1:]:
-        result = result.unionByName(batch)
-    return result
-
-
-def _measure(per_value: DataFrame, candidates: list[tuple[int, Candidate]], index: Mapping[tuple[str, str], int]) -> DataFrame:
+    tally = values.groupBy("h1", "h2", "end").agg(F.count("*").alias("n"))
     known = F.col("h1").isNotNull()
-
-    def has(i):
-        return F.col(f"n{i}") > 0
-
-    figures = []
-    for i in sorted({index[end] for _, (s, t, a, b) in candidates for end in ((s, a), (t, b))}):
-        figures += [
-            F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"rows{i}"), F.count_if(known & has(i)).alias(f"values{i}"),
-            F.coalesce(F.sum(F.when(~known, F.col(f"n{i}"))), F.lit(0)).alias(f"nulls{i}"),
-        ]
-    for k, (s, t, a, b) in candidates:
-        x, y = index[(s, a)], index[(t, b)]
-        figures += [
-            F.count_if(known & has(x) & has(y)).alias(f"common{k}"),
-            F.coalesce(F.sum(F.when(known & has(y), F.col(f"n{x}"))), F.lit(0)).alias(f"found{k}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(s).alias("source_table"), F.lit(t).alias("target_table"),
-            F.lit(a).alias("source_column"), F.lit(b).alias("target_column"),
-            *[F.col(f"{what}{index[end]}").alias(f"{side}_{what}")
-              for side, end in (("source", (s, a)), ("target", (t, b))) for what in ("rows", "values", "nulls")],
-            F.col(f"common{k}").alias("common"), F.col(f"found{k}").alias("source_rows_found"),
-        )
-        for k, (s, t, a, b) in candidates
-    ]
-    return per_value.agg(*figures).select(F.inline(F.array(*rows)))
+    per_end = tally.groupBy("end").agg(
+        F.sum("n").alias("rows"), F.count_if(known).alias("values"), F.sum(F.when(~known, F.col("n")).otherwise(0)).alias("nulls"))
+
+    pairs = [(index[(s, a)], index[(t, b)]) for s, t, a, b in candidates]
+    targets = [set() for _ in ends]
+    for x, y in pairs:
+        targets[x].add(y)
+    # One literal per column, however many candidates it has.
+    wanted = F.array(*[F.from_json(F.lit(str(sorted(ys))), "array<int>") for ys in targets])
+    least = 1 if any(x == y for x, y in pairs) else 2
+    # NULLs are left out inside the aggregate: a filter would be pushed below the tally and part its two readers.
+    per_value = tally.groupBy("h1", "h2").agg(F.collect_list(F.when(known, F.struct("end", "n"))).alias("ends")).where(F.size("ends") >= least)
+    own = per_value.select(F.explode("ends").alias("own"), F.col("ends.end").alias("all"))
+    met = own.select(F.col("own.end").alias("x"), F.col("own.n").alias("n"), F.explode(F.array_intersect("all", wanted[F.col("own.end")])).alias("y"))
+    shared = met.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum("n").alias("source_rows_found"))
+
+    named = values.sparkSession.createDataFrame(
+        [(*c, *xy) for c, xy in zip(candidates, pairs, strict=True)],
+        "source_table string, target_table string, source_column string, target_column string, x int, y int")
+    result = named.join(shared, ["x", "y"], "left")
+    for side, at in (("source", "x"), ("target", "y")):
+        result = result.join(per_end.select(F.col("end").alias(at), *[F.col(c).alias(f"{side}_{c}") for c in ("rows", "values", "nulls")]), at, "left")
+    figures = [*[f"{side}_{c}" for side in ("source", "target") for c in ("rows", "values", "nulls")], "common", "source_rows_found"]
+    return result.select("source_table", "target_table", "source_column", "target_column", *[F.coalesce(c, F.lit(0)).alias(c) for c in figures])
 
 
 _NONE = (
@@ -246,12 +229,9 @@ def id_column_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
 def foreign_keys_within(df: DataFrame) -> DataFrame:
     """Columns of one table whose values all occur in a near-unique column of it."""
     tables = {"t": df}
-    keys = df.columns
-    if len(keys) * (len(keys) - 1) > CANDIDATES_PER_PASS:
-        # A wide table: find the near-unique columns first, so that the pairs stay few.
-        rows = df.count()
-        unique = distinct_counts(df, keys).where(F.col("unique_count") > fixed.UNIQUE_RATIO * rows)
-        keys = [r["column"] for r in unique.collect()]
+    # The near-unique columns come first, so that the pairs stay few in wide tables.
+    unique = distinct_counts(df, df.columns).where(F.col("unique_count") > fixed.UNIQUE_RATIO * df.count())
+    keys = [r["column"] for r in unique.collect()]
     candidates = [("t", "t", x, y) for x in keys for y in df.columns if x != y]
     if not candidates:
         return _empty(tables, "primary_key string, foreign_key string, confidence double")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import profile, quality, relate, schema
 
@@ -116,15 +117,26 @@ def test_nested_columns_count_too(spark):
     assert profile.duplicate_rows(df).first()["duplicates"] == 1
 
 
-def test_candidates_in_batches(spark, rows, monkeypatch):
+def test_candidates_of_all_tables(spark, rows):
     tables = {
         "a": spark.range(20).selectExpr("id", "id % 5 as x_id", "id % 3 as y_id"),
         "b": spark.range(10).selectExpr("id as x_id", "id % 3 as y_id", "id as z_key"),
     }
-    whole = rows(relate.detect_relationships(tables))
-    monkeypatch.setattr(relate, "CANDIDATES_PER_PASS", 3)
-    batched = relate.detect_relationships(tables)
-    assert rows(batched) == whole and len(whole) == 9
+    assert len(rows(relate.detect_relationships(tables))) == 9
     df = tables["a"].selectExpr("id", "id div 2 as parent", "x_id", "1 as one")
     assert rows(relate.foreign_keys_within(df)) == [("id", "one", 0.05), ("id", "parent", 0.5), ("id", "x_id", 0.25)]
     assert relate.foreign_keys_within(df.drop("id")).count() == 0
+
+
+def test_counts_of_candidates(spark, rows):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
+    b = spark.createDataFrame([(1,), (3,), (None,), (None,)], "y long")
+    pairs = [("a", "b", "x", "y"), ("b", "a", "y", "x"), ("a", "a", "x", "x"), ("a", "e", "x", "z")]
+    got = relate.measure_candidates({"a": a, "b": b, "e": spark.createDataFrame([], "z int")}, pairs)
+    assert sorted(tuple(r)[:2] + tuple(r)[4:] for r in got.collect()) == sorted([
+        ("a", "b", 4, 2, 1, 4, 2, 2, 1, 2), ("b", "a", 4, 2, 2, 4, 2, 1, 1, 1), ("a", "a", 4, 2, 1, 4, 2, 1, 2, 3), ("a", "e", 4, 2, 1, 0, 0, 0, 0, 0)])
+
+
+def test_candidates_of_a_wide_table(spark):
+    wide = spark.range(40).select(*[(F.col("id") + 1000 * i).alias(f"c{i}") for i in range(299)], (F.col("id") % 4).alias("d"))
+    assert [tuple(r) for r in relate.foreign_keys_within(wide).collect()] == [("c0", "d", 0.1)]
