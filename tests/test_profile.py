@@ -140,3 +140,11 @@ def test_counts_of_candidates(spark, rows):
 def test_candidates_of_a_wide_table(spark):
     wide = spark.range(40).select(*[(F.col("id") + 1000 * i).alias(f"c{i}") for i in range(299)], (F.col("id") % 4).alias("d"))
     assert [tuple(r) for r in relate.foreign_keys_within(wide).collect()] == [("c0", "d", 0.1)]
+
+
+def test_equal_columns_of_a_wide_table(spark, rows):
+    wide = spark.range(30).select(*[F.when(F.col("id") != i, F.col("id")).alias(f"c{i}") for i in range(60)])
+    assert rows(profile.duplicate_columns(wide)) == sorted((f"c{i}", f"c{j}") for i in range(30, 60) for j in range(i + 1, 60))
+    odd = spark.createDataFrame([(None, None, 0.0, -0.0, [1], [1], 0)] * 2 + [(1, 1, 1.0, 1.0, None, None, 0)], "a int, b int, x double, y double, l array<int>, m array<int>, z int")
+    assert rows(profile.duplicate_columns(odd)) == [("a", "b"), ("l", "m"), ("x", "y")]
+    assert profile.duplicate_columns(odd.where("false").select("a", "b")).count() == 1
