@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -15,31 +16,8 @@ from tallyloom.llm.shared import slices
 # Phrases that name a licence wherever their words stand together, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Openings and notices of common licences, by label.
-TEMPLATES = {
-    "mit": (
-        "Released under the MIT License. "
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "gpl": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        "This work is licensed under the GNU General Public License, version 3."
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License. CC BY 4.0.",
-    "reserved": "Copyright. All rights reserved.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+# The whole texts and the usual notices of common licences, by label. Several texts of one label stand in one file.
+TEMPLATES = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 #: Matches of so many words at least are chained; words that a chain may leave out between two matches of a template.
 MIN_MATCH, MAX_GAP = 4, 6
@@ -155,11 +133,13 @@ def chains(matches: list[tuple[int, int, frozenset]], gap: int = MAX_GAP) -> lis
 
 
 def _scan(automaton: Automaton, vocabulary: np.ndarray, min_match: int, min_cover: int, full_cover: int):
+    shortest = min([min_match, *(size for ends in automaton.phrases for size, _ in ends)])  # shorter runs hold neither phrase nor match
+
     def one(codes: np.ndarray) -> tuple:
         known = np.flatnonzero(codes >= 0)
         places, matches = [], []
         for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1) if len(known) else []:
-            if len(run) < 2:
+            if len(run) < shortest:
                 continue
             first = int(run[0])
             found = automaton.statistics(codes[run].tolist())

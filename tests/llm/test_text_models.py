@@ -207,6 +207,58 @@ def test_templates_give_their_label(spark):
     assert span["first_word"] == 3 and span["end_word"] - 3 == span["covered"] == len(re.findall(r"[a-z0-9]+", licenses.TEMPLATES["mit"].lower()))
 
 
+CLAUSES = {
+    "mit": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "bsd": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "apache-2.0": [
+        "You must cause any modified files to carry prominent notices stating that You changed the files",
+        "See the License for the specific language governing permissions and limitations under the License."],
+    "gpl": [
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice",
+        "If the disclaimer of warranty and limitation of liability provided above cannot be given local legal effect according to their terms, reviewing courts shall apply local law that most closely approximates an absolute waiver of all civil liability"],
+    "cc-by": [
+        "Every recipient of the Licensed Material automatically receives an offer from the Licensor to exercise the Licensed Rights under the terms and conditions of this Public License.",
+        "Nothing in this Public License constitutes or may be interpreted as a limitation upon, or waiver of, any privileges and immunities that apply to the Licensor or You"],
+    "mpl-2.0": [
+        "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License.",
+        "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0."],
+    "lgpl": ["You may convey a covered work under sections 3 and 4 of this License without being bound by section 3 of the GNU GPL."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"],
+    "zlib": ["This notice may not be removed or altered from any source distribution."],
+    "unlicense": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"],
+    "cc0": ["No trademark or patent rights held by Affirmer are waived, abandoned, surrendered, licensed or otherwise affected by this document."],
+}
+
+
+def test_middle_and_last_clauses_give_label_and_span(spark):
+    rows = [(f"{label}/{i}", f"Qwx zvb. {clause} Qwx zvb.") for label, own in CLAUSES.items() for i, clause in enumerate(own)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for key, text in rows:
+        label, n = key.split("/")[0], len(re.findall("[a-z0-9]+", text.lower()))
+        assert label in got[key]["labels"].split(",") and got[key]["score"] > 0, key
+        assert any((s["label"], s["first_word"], s["end_word"]) == (label, 2, n - 2) for s in got[key]["spans"]), key
+
+
+def test_a_whole_file_is_one_span_to_its_end(spark):
+    notice = "Copyright (c) 2019 Qwx Zvb\n\n"
+    mit = licenses.TEMPLATES["mit"].split("----")[0].split("Released under the MIT License. ")[1]
+    bsd = licenses.TEMPLATES["bsd"].split("----")[0]
+    rows = [("mit", notice + mit), ("bsd", notice + bsd)]
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        assert ("OTHER DEALINGS" in mit and "POSSIBILITY OF" in bsd) and r["labels"] == r["doc_id"]
+        assert max(s["end_word"] for s in r["spans"]) == r["n_words"]
+
+
+def test_phrase_of_one_word(spark):
+    df = spark.createDataFrame([(1, "qwx proprietary zvb"), (2, "qwx zvb"), (3, "Proprietary")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df, phrases={"proprietary": "closed"}).collect()}
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["labels"]) for i in (1, 2, 3)] == [(1, 1, "closed"), (0, None, ""), (1, 0, "closed")]
+
+
 def test_matching_statistics_are_longest_matches():
     rng = random.Random(6)
     sequences = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(6)]
