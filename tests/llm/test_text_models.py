@@ -259,6 +259,29 @@ def test_phrase_of_one_word(spark):
     assert [(got[i]["n_base"], got[i]["first_word"], got[i]["labels"]) for i in (1, 2, 3)] == [(1, 1, "closed"), (0, None, ""), (1, 0, "closed")]
 
 
+def test_everyday_phrases_give_no_label(spark):
+    clean = [
+        "Please bring a copy of the letter with you.", "You may not use the lift.", "The house was built in compliance with the rules.",
+        "The rent is paid under the terms of the lease.", "The car is sold as is without warranty of any kind.",
+        "You may not use a copy of the key in compliance with the rules under the terms of the lease, unless required by applicable law or agreed to in writing.",
+        "A bonus is paid provided that the following conditions are met, free of charge to any person, with or without modification, at your option.",
+        "To the extent permitted by applicable law, parking is free. All of the terms and conditions of this offer apply.",
+    ]
+    named = {
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0": "apache-2.0", "Licensed under the BSD License": "bsd",
+        "Subject to the terms of the Mozilla Public License": "mpl-2.0", "licensed under a Creative Commons Attribution 4.0 International License": "cc-by"}
+    rows = [*[(t, t) for t in clean], *[(t, t) for t in named]]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {t: got[t]["labels"] for t in clean if got[t]["labels"] or got[t]["score"] or got[t]["spans"]} == {}
+    assert all(label in got[t]["labels"].split(",") for t, label in named.items())
+
+
+def test_short_templates_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "qwx these notes belong to zvb"), (2, "qwx these notes belong zvb")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, templates={"notes": "These notes belong to"}, phrases={}).collect()}
+    assert got == {1: "notes", 2: ""}
+
+
 def test_matching_statistics_are_longest_matches():
     rng = random.Random(6)
     sequences = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(6)]
