@@ -9,8 +9,9 @@ _SEGMENT = 1 << 20
 
 
 def table(separators: bytes) -> np.ndarray:
-    """Byte to its lower-case byte, 0 for separators."""
-    out = np.arange(256, dtype=np.uint8)
+    """Byte to its lower-case byte, 0 for separators. A NUL that is none is 256, so it stands in words."""
+    out = np.arange(256, dtype=np.uint16)
+    out[0] = 256
     out[65:91] += 32
     out[list(separators)] = 0
     return out

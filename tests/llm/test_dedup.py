@@ -104,6 +104,16 @@ def test_near_nulls_repeats_and_empty(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_with_nul_bytes(spark):
+    """NUL is no white space: it stands in words, and a word of NULs is one."""
+    plain = [f"w{i}" for i in range(60)]
+    joined = " ".join(f"w{i}\0w{i + 1}" for i in range(0, 60, 2))
+    rows = list(enumerate([" ".join(plain), joined, joined + " x", "a\0b c", "\0", "\0 \0", "a\0 b c d e f", "a b c d e f", " ".join(plain) + " \0"]))
+    want = brute(rows)
+    assert {i: n for i, n, *_ in want}[1] == 26
+    assert {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_super_minhash_is_unbiased_and_a_permutation():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)
