@@ -21,7 +21,7 @@ _TERMINATOR = "\n\n"
 
 def _streams(tokenizer: str, file_ids: int, eod: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, stream, block = encoder(tokenizer), [], 0, None, 0
+        encode, held, size, stream, block = encoder(tokenizer, special=False), [], 0, None, 0
 
         def row(ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{stream:08d}-{block:08d}"]), pa.array([ids.astype("<u2").tobytes()], pa.binary())], ["block", "ids"])
@@ -50,9 +50,9 @@ def write_token_files(df: DataFrame, path: str, text_col: str = "text", tokenize
     """Flat files below ``path``: the ids of all texts as little-endian 16-bit numbers, each text's followed by ``eod``.
 
     One stream per partition of ``df`` in row order, cut into files ``block=<stream>-<number>`` of ``file_ids`` ids.
-    A text whose ids hold ``eod`` themselves (its special string) would count as two, so that string is written as text.
+    The string of ``eod`` inside a text is encoded as the text it is, so no text's ids hold ``eod`` itself.
     """
-    text = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"<\|endoftext\|>", "<| endoftext |>")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.monotonically_increasing_id().alias("row"), text.alias("text"))
     blocks = docs.mapInArrow(_streams(tokenizer, file_ids, eod), "block string, ids binary")
     # A binary cast to string keeps its bytes, and the text sink writes them as they are.

@@ -123,3 +123,18 @@ def test_document_tokens(spark, docs, empty, model):
     assert counts.document_tokens(empty).count() == 0
     odd = spark.createDataFrame([(None, None), (1, "x"), (1, "x"), (2, "<|endoftext|>")], "doc_id long, text string")
     assert len(counts.document_tokens(odd).collect()) == 4
+
+
+def test_separator_strings_count_as_the_text_they_are(spark, tmp_path):
+    texts = ["<|endoftext|>", "x<|endoftext|>y", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>" + " " * 50_000 + "b"]
+    plain = Tokenizer.from_file(tokenise.tokenizer_path())
+    plain.encode_special_tokens = True
+    want = {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert all(tokenise.EOD_ID not in ids and plain.decode(ids) == t for (_, ids), t in zip(want.items(), texts, strict=True))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.document_tokens(df).collect()} == {i: len(ids) for i, ids in want.items()}
+    path = tmp_path / "tokens"
+    counts.write_token_files(df.coalesce(1), str(path))
+    ids = np.concatenate([np.frombuffer(f.read_bytes(), "<u2")[:-1] for f in sorted(path.rglob("part-*"))])
+    parts = np.split(ids, np.flatnonzero(ids == tokenise.EOD_ID) + 1)
+    assert sorted(plain.decode(p[:-1].tolist()) for p in parts if len(p)) == sorted(texts)
