@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import counts, decontaminate, exact, licenses, neardup, packing, quality, shards, toxicity, warc
+from tallyloom.llm import counts, decontaminate, exact, licenses, merkle, neardup, packing, quality, shards, sql, toxicity, warc
 
 SHARDS = 24
 GOOD = 0.7
@@ -68,8 +68,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = F.translate("text", sql.A_TO_Z, sql.A_TO_Z.lower())
+    given = merkle.leaf_digest([F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, altered).otherwise(F.col("text")) if c == "text" else F.col(c) for c in fields])
+    proven = merkle.manifest(_table(spark, sf_dir, "documents"), "doc_id", "source", fields, {"given": given})
+    folded = proven.withColumn("folded_root", merkle.fold(F.col("given"), F.col("witness")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings_text(F.col("witness")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_exact_dedup, op3_sharding, op4_quality, op5_warc, op6_toxicity, op7_packing, op8_near_dedup, op9_token_counts, op10_licenses)}
+    op1_decontamination, op2_exact_dedup, op3_sharding, op4_quality, op5_warc, op6_toxicity, op7_packing, op8_near_dedup, op9_token_counts, op10_licenses,
+    op13_merkle_manifest)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -88,4 +100,5 @@ SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM hashed""",
+    "op13_merkle_manifest": sql.merkle_manifest(),
 }

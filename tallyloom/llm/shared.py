@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,22 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, sprea
     return joined.select(*[F.col(c) for c in rows.columns if c not in values], *[picked[v].alias(v) for v in values])
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], at: str, total: str) -> DataFrame:
+    """``rows`` with their place in the group, from 0, and the group's number of rows, whatever a group's share.
+
+    Rows are sorted by ranges of (group, order), nulls first, and the ranges fixed in a written table; a group counts
+    on from range to range. Columns of ``group`` have no nulls.
+    """
+    keys = [F.col(c) for c in (*group, *order)]
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    runs = placed.groupBy(*group, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*group, "_range", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias(total))
+    return placed.join(runs, [*group, "_range"]).withColumn(at, F.col("_place") + F.col("_shift")).drop("_place", "_range", "_shift")
+
+
 # ---- connected components ------------------------------------------------------
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
