@@ -120,4 +120,4 @@ def test_crc_of_the_sql():
     from tallyloom.llm import sql
 
     for i in (0, 7, -3, 1234567890123):
-        assert duckdb.sql(f"SELECT {sql.crc32(repr(str(i)))}").fetchone()[0] == zlib.crc32(str(i).encode())
+        assert duckdb.sql(f"SELECT {sql.crc32(repr(str(i)))}").fetchall()[0][0] == zlib.crc32(str(i).encode())
