@@ -54,3 +54,20 @@ def merkle_manifest(levels: int = 7, arity: int = 16) -> str:
     climb("t")
     return "WITH " + ",\n    ".join(parts) + f"""
     SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM t_w{levels}, t_n{levels}"""
+
+
+def ngram_join(k: int = 5, percent: int = 80) -> str:
+    """All pairs of documents that share an n-gram, then the smallest id reachable. Words hold no blanks, so joined words are as good as lists."""
+    return f"""WITH RECURSIVE worded AS (
+        SELECT doc_id, coalesce(regexp_extract_all({lowered('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+    grams AS (
+        SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) END)) AS g
+        FROM worded),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT doc_id, CASE WHEN other = x THEN y ELSE x END FROM reach JOIN links ON other = x OR other = y)
+    SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id"""
