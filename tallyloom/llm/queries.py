@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import counts, decontaminate, exact, jaccard, licenses, merkle, neardup, packing, quality, shards, sql, toxicity, warc
+from tallyloom.llm import counts, decontaminate, exact, jaccard, licenses, merkle, neardup, packing, quality, shards, sql, toxicity, trie, warc
 
 SHARDS = 24
 GOOD = 0.7
@@ -68,6 +68,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -85,7 +89,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_exact_dedup, op3_sharding, op4_quality, op5_warc, op6_toxicity, op7_packing, op8_near_dedup, op9_token_counts, op10_licenses,
-    op12_ngram_join, op13_merkle_manifest)}
+    op11_conversation_trie, op12_ngram_join, op13_merkle_manifest)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -104,6 +108,7 @@ SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM hashed""",
+    "op11_conversation_trie": sql.conversation_trie(),
     "op12_ngram_join": sql.ngram_join(),
     "op13_merkle_manifest": sql.merkle_manifest(),
 }

@@ -71,3 +71,31 @@ def ngram_join(k: int = 5, percent: int = 80) -> str:
         SELECT doc_id, doc_id FROM documents
         UNION SELECT doc_id, CASE WHEN other = x THEN y ELSE x END FROM reach JOIN links ON other = x OR other = y)
     SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id"""
+
+
+def conversation_trie() -> str:
+    """Prefixes by the digests of their turns; a subtree's sums by way of each node's smallest member."""
+    return f"""WITH turns AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, c - c % 100 AS base, {crc32('CAST(c AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+    lent AS (SELECT v.c, b.pos AS d, b.role, b.text FROM convs v JOIN turns b ON b.c = v.base AND b.pos <= v.h),
+    heads AS (SELECT c, count(*) AS n FROM lent GROUP BY c),
+    rebuilt AS (
+        SELECT * FROM lent
+        UNION ALL SELECT t.c, pos - h + coalesce(n, 0), role, text FROM turns t JOIN convs v ON t.c = v.c LEFT JOIN heads s ON t.c = s.c WHERE pos > h),
+    hashed AS (SELECT *, string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS chain FROM rebuilt),
+    prefixes AS (
+        SELECT c, d, md5(chain) AS k, coalesce(lag(md5(chain)) OVER (PARTITION BY c ORDER BY d), '') AS p, length(text) AS chars FROM hashed
+        UNION ALL SELECT c, 0, '', NULL, 0 FROM convs),
+    nodes AS (SELECT d, k, any_value(p) AS p, min(c) AS low, count(*) AS n, any_value(chars) AS chars FROM prefixes GROUP BY d, k),
+    kids AS (SELECT p AS k, count(*) AS n FROM nodes WHERE p IS NOT NULL GROUP BY p),
+    facts AS (SELECT x.*, coalesce(y.n, 0) AS kids FROM nodes x LEFT JOIN kids y USING (k)),
+    sums AS (
+        SELECT a.k, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * x.chars) AS saved
+        FROM facts x JOIN prefixes a ON a.c = x.low AND a.d <= x.d GROUP BY a.k),
+    ends AS (
+        SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+        FROM (SELECT c, arg_max(k, d) AS k FROM prefixes GROUP BY c) GROUP BY k)
+    SELECT x.low AS conv_id, x.d AS depth, u.low AS parent_conv_id, x.n AS n_convs, kids AS n_children, leaves AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM facts x JOIN sums s ON x.k = s.k LEFT JOIN nodes u ON x.p = u.k LEFT JOIN ends e ON x.k = e.k"""
