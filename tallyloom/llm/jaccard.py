@@ -16,8 +16,16 @@ from tallyloom.llm.shared import attach, components, slices, written
 FREQUENT = 1 << 18
 #: N-grams that one count of repeats covers, and repeats in it that make an n-gram a candidate for the end of the order.
 COUNTED, REPEATS = 1 << 22, 4
-#: Entries of an index block, and entries of a list that a task holds against the probes.
-SKIP, SHARE = 32, 256
+#: Entries of an index block, entries of a list that a task holds against the probes, members of a family that it holds.
+SKIP, SHARE, FAMILY = 32, 256, 1024
+#: Bucket keys of a set: sets of 80 % similarity share none of them with a chance of 6 in 100,000.
+KEYS = 6
+#: Leaders that a bucket's sets are compared with, one after the other, as long as they are in several components.
+HUBS = 3
+#: Words of the bitmap that tells which n-grams can be shared: 2 MB for every task, and as many rows.
+BITMAP = 1 << 18
+#: Pairs that a task forms at a time.
+PAIRS = 1 << 20
 #: Bits of a set's parity map.
 PARITY = 256
 
@@ -91,7 +99,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketch(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """Per document: set size, set key, parity map, two bucket keys and the first n-grams in the common order."""
+    """Per document: set size, set key, parity map, bucket keys (smallest n-grams by other hashes) and the first n-grams in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = W.spaced()
@@ -108,21 +116,22 @@ def _sketch(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
             if len(frequent) and len(every):
                 at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
                 late = np.where(frequent[at] == every, rank[at], -1)
-            early, first, other, keys = [], [], [], []
-            begin = 0
+            filled = sizes > 0
+            buckets = np.zeros((len(sets), KEYS), np.uint64)
+            heads = (np.cumsum(sizes) - sizes)[filled]
+            for i in range(KEYS if len(heads) else 0):
+                buckets[filled, i] = W.mix(np.minimum.reduceat(W.mix(every, i + 20), heads), i)
+            early, keys, begin = [], [], 0
             for n, grams in zip(sizes.tolist(), sets, strict=True):
                 mine, begin = late[begin:begin + n], begin + n
                 if n and mine.max() >= 0:
                     grams = grams[np.lexsort((grams, mine))]
                 early.append(grams[:n - int(least_overlap(n, percent)) + 1] if n else grams)
-                rare = grams[:max(1, int((mine < 0).sum()))]
-                first.append(int(grams[0].view(np.int64)) if n else None)
-                other.append(int(W.mix(rare, 7).min().view(np.int64)) if n else None)
                 keys.append(_set_key(grams) if n else (None, None))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array(sizes, pa.int64()), *[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)],
-                *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)], pa.array(first, pa.int64()), pa.array(other, pa.int64()), _lists(early),
-            ], ["id", "n", "key1", "key2", "p0", "p1", "p2", "p3", "first", "other", "early"])
+                *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)], _lists([b if n else b[:0] for b, n in zip(buckets, sizes, strict=True)]), _lists(early),
+            ], ["id", "n", "key1", "key2", "p0", "p1", "p2", "p3", "buckets", "early"])
 
     return run
 
@@ -206,117 +215,157 @@ def _families(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _derived(percent: int):
-    """Rows sorted by (probe, share, leader, kind): the probe's set, then for each leader its set and its family.
+    """Rows sorted by (leader, part, share, kind): the leader's set, the differences of its family, then the probes.
 
     A member's answer comes from its leader's: the overlap with the leader, less what the member lacks of it and the
-    probe has, plus what the member has besides and the probe has too.
+    probe has, plus what the member has besides and the probe has too. A probe with one link to the family is linked
+    with its leader's component, which is all that is asked.
     """
 
+    def within(parts: list[np.ndarray], probe: np.ndarray) -> np.ndarray:
+        """How many n-grams of each part the probe has."""
+        flat = np.concatenate([*parts, np.empty(0, np.uint64)])
+        at = np.minimum(np.searchsorted(probe, flat), len(probe) - 1)
+        return np.diff(np.concatenate([[0], np.cumsum(probe[at] == flat)])[np.cumsum([0, *map(len, parts)])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = leader = np.empty(0, np.uint64)
-        overlap = 0
+        leader, lack, besides = np.empty(0, np.uint64), [], []
         for batch in batches:
             found = []
-            grams, lack, besides = batch.column("grams"), batch.column("lack"), batch.column("besides")
-            for i, (a, kind, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("kind").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                if kind == 0:
-                    probe = _array(grams[i])
+            grams, less, more = batch.column("grams"), batch.column("lack"), batch.column("besides")
+            for i, (key, kind, a) in enumerate(zip(batch.column("leader").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), strict=True)):
+                if kind == 0:  # the leader is the member of its family that differs in nothing
+                    leader, lack, besides = _array(grams[i]), [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
                 elif kind == 1:
-                    leader = _array(grams[i])
-                    overlap = _common(probe, leader)
+                    lack.append(_array(less[i]))
+                    besides.append(_array(more[i]))
                 else:
-                    less, more = _array(lack[i]), _array(besides[i])
-                    both = overlap - _common(probe, less) + _common(probe, more)
-                    if 100 * both >= percent * (len(probe) + len(leader) - len(less) + len(more) - both):
-                        found.append((a, b))
+                    probe = _array(grams[i])
+                    both = _common(probe, leader) - within(lack, probe) + within(besides, probe)
+                    sizes = len(leader) - np.array([len(x) for x in lack]) + np.array([len(x) for x in besides])
+                    if (100 * both >= percent * (len(probe) + sizes - both)).any():
+                        found.append((a, key))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _answers(pairs: DataFrame, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (a: probe, b) that are links."""
-    led = pairs.join(families.select(F.col("a").alias("b"), F.col("b").alias("leader"), "lack", "besides"), "b", "left").withColumn("leader", F.coalesce("leader", "b"))
-    dealt, probes = _shared_out(led, "a", "leader", F.col("leader"))
-    dealt = written(dealt.select("a", "share", "leader", "b", "lack", "besides"), "asked")
-    none = F.lit(None).cast("array<long>")
-    of = lambda key: sets.withColumnRenamed("rep", key)
+    """Those of the ``pairs`` (a: probe, leader) where the probe is linked with one of the leader's family, as (a, b: leader)."""
+    probes = pairs.groupBy("leader").agg(F.count("*").alias("probes"))
+    sizes = families.groupBy("leader").agg(F.count("*").alias("size"))
+    facts = probes.join(sizes, "leader", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    steps = lambda n, step: F.floor((F.greatest(n, F.lit(1)) - 1) / step) + 1
+    facts = written(facts.withColumns({"shares": steps(F.col("probes"), SHARE), "parts": steps(F.col("size"), FAMILY)}), "facts")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    number, none = F.lit(None).cast("long"), F.lit(None).cast("array<long>")
+    asked = attach(pairs, facts.select("leader", "probes", "shares", "parts"), ["leader"], "probes", F.col("a"))
+    asked = asked.withColumns({"share": F.pmod(F.xxhash64("a"), F.col("shares")), "part": upto("parts")}).join(sets.withColumnRenamed("rep", "a"), "a")
+    family = attach(families, facts.where("size > 0").select("leader", "size", "shares", "parts"), ["leader"], "size", F.col("a")).where("size is not null")
+    family = family.withColumns({"part": F.pmod(F.xxhash64("a"), F.col("parts")), "share": upto("shares")})
+    heads = facts.withColumn("part", upto("parts")).withColumn("share", upto("shares")).join(sets.withColumnRenamed("rep", "leader"), "leader")
+    place = ["leader", "part", "share"]
     rows = (
-        probes.join(of("a"), "a").select("a", "share", F.lit(None).cast("long").alias("leader"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "grams", none.alias("lack"), none.alias("besides"))
-        .union(dealt.select("a", "share", "leader").distinct().join(of("leader"), "leader").select("a", "share", "leader", F.lit(1), F.lit(None).cast("long"), "grams", none, none))
-        .union(dealt.select("a", "share", "leader", F.lit(2), "b", none, "lack", "besides")))
-    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("leader"), "kind")
-    return written(rows.mapInArrow(_derived(percent), "a long, b long"), "links")
+        heads.select(*place, F.lit(0).alias("kind"), number.alias("a"), "grams", none.alias("lack"), none.alias("besides"))
+        .union(family.select(*place, F.lit(1), number, none, "lack", "besides"))
+        .union(asked.select(*place, F.lit(2), "a", "grams", none, none)))
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "kind")
+    return written(rows.mapInArrow(_derived(percent), "a long, b long").distinct(), "links")
 
 
 # ---- index lists ---------------------------------------------------------------
 
 def _skipping(percent: int):
-    """Rows sorted by (gram, block, entries first, place): pairs of probe and entry that can be similar enough.
+    """Rows sorted by (gram, block, entries first, place): pairs of a probe and an entry's leader that can be similar enough.
 
     Entries of a list come by the n-gram's place in their set and stand in blocks of 32. After the place of a match only
     the rest of either set can match. So a whole block is skipped if not even its largest set would match enough from
-    the block's first place on, or if all its sets are too small or too large.
+    the block's first place on, or if all its sets are too small or too large. All lists of a batch pass at once.
     """
     t = percent / 100
 
-    def pairs(e: dict, q: dict):
-        heads = np.arange(0, len(e["rep"]), SKIP)
-        low, high, first = np.minimum.reduceat(e["n"], heads), np.maximum.reduceat(e["n"], heads), e["place"][heads]
-        n = q["n"][:, None]
-        room = (high / (1 + t) - t / (1 + t) * n + 1e-6 >= first) & (high >= t * n - 1e-6) & (low * t <= n + 1e-6)
-        i, block = np.nonzero(room)
-        i = np.repeat(i, SKIP)
-        j = (block[:, None] * SKIP + np.arange(SKIP)).ravel()
-        inside = j < len(e["rep"])
-        i, j = i[inside], j[inside]
-        need = (q["n"][i] + e["n"][j]) * percent
-        ok = np.minimum(q["n"][i] - q["place"][i], e["n"][j] - e["place"][j]) * (100 + percent) >= need
-        ok &= (q["component"][i] != e["component"][j]) & ((e["component"][j] == e["main"][j]) | (q["rep"][i] < e["rep"][j]))
-        i, j = i[ok], j[ok]
-        differ = sum(np.bitwise_count((q[f"p{x}"][i] ^ e[f"p{x}"][j]).view(np.uint64)).astype(np.int64) for x in range(4))
-        ok = differ * (100 + percent) <= (q["n"][i] + e["n"][j]) * (100 - percent)
-        return q["rep"][i[ok]], e["rep"][j[ok]]
+    def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which range, and which number in it, for all numbers of the ranges."""
+        n = end - begin
+        which = np.repeat(np.arange(len(n)), n)
+        return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+
+    def met(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = np.arange(len(c["gram"]))
+        key = np.cumsum(np.concatenate([[True], (np.diff(c["gram"]) != 0) | (np.diff(c["block"]) != 0)])) - 1
+        entry, probe = rows[c["probe"] == 0], rows[c["probe"] == 1]
+        if not len(entry) or not len(probe):
+            return
+        of = key[entry]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+        inner = np.arange(len(entry)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(entry)]])))
+        heads = np.flatnonzero(inner % SKIP == 0)
+        tails = np.concatenate([heads[1:], [len(entry)]])
+        sizes = c["n"][entry]
+        low, high, first = np.minimum.reduceat(sizes, heads), np.maximum.reduceat(sizes, heads), c["place"][entry][heads]
+        begin, end = (np.searchsorted(of[heads], key[probe], side) for side in ("left", "right"))
+        cost = np.cumsum((end - begin) * SKIP)
+        for a in range(0, int(cost[-1]) + 1, PAIRS):  # probes of about as many pairs at a time
+            some = np.flatnonzero((cost > a) & (cost <= a + PAIRS))
+            i, block = ranges(begin[some], end[some])
+            i = probe[some][i]
+            n = c["n"][i]
+            room = (high[block] / (1 + t) - t / (1 + t) * n + 1e-6 >= first[block]) & (high[block] >= t * n - 1e-6) & (low[block] * t <= n + 1e-6)
+            i, block = i[room], block[room]
+            which, j = ranges(heads[block], tails[block])
+            i, j = i[which], entry[j]
+            total = c["n"][i] + c["n"][j]
+            ok = np.minimum(c["n"][i] - c["place"][i], c["n"][j] - c["place"][j]) * (100 + percent) >= total * percent
+            ok &= (c["component"][i] != c["component"][j]) & ((c["component"][j] == c["main"][j]) | (c["rep"][i] < c["rep"][j]))
+            i, j, total = i[ok], j[ok], total[ok]
+            differ = sum(np.bitwise_count((c[f"p{x}"][i] ^ c[f"p{x}"][j]).view(np.uint64)).astype(np.int64) for x in range(4))
+            ok = differ * (100 + percent) <= total * (100 - percent)
+            yield c["rep"][i[ok]], c["leader"][j[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, entries = None, None
+        kept = None
         for batch in batches:
             c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
-            new = np.flatnonzero((np.diff(c["gram"]) != 0) | (np.diff(c["block"]) != 0) | (np.diff(c["probe"]) != 0)) + 1
-            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                part, key = {name: v[a:b] for name, v in c.items()}, (int(c["gram"][a]), int(c["block"][a]))
-                if c["probe"][a] == 0:
-                    entries = {name: np.concatenate([entries[name], v]) for name, v in part.items()} if key == at else part
-                    at = key
-                elif key == at:
-                    for x in range(0, b - a, 4096):
-                        probe, entry = pairs(entries, {name: v[x:x + 4096] for name, v in part.items()})
-                        yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(entry, pa.int64())], ["a", "b"])
+            if kept:
+                c = {name: np.concatenate([kept[name], v]) for name, v in c.items()}
+            if not len(c["gram"]):
+                continue
+            for a, b in met(c):
+                pairs = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "leader"])
+            # The last list may go on in the next batch: its entries stay.
+            last = (c["gram"] == c["gram"][-1]) & (c["block"] == c["block"][-1]) & (c["probe"] == 0)
+            kept = {name: v[last] for name, v in c.items()}
 
     return run
 
 
-def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share one of their first n-grams; no link is left out.
+def _candidates(reps: DataFrame, early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, leader): a set, and the leader of another component's set that shares one of its first n-grams.
 
-    The first n-grams of two similar sets, all but 80 % in the common order, have one in common. Of a list, the
-    most frequent component is met by the others' sets only: its own ones need no further link.
+    The first n-grams of two similar sets, all but 80 % in the common order, have one in common, so no link is left
+    out. Of a list, the most frequent component is met by the others' sets only: its own ones need no further link.
+    Lists of one component are the most by far; a bitmap of the n-grams of the others keeps most of them from the join.
     """
-    early = written(reps.select("rep", "component", F.posexplode("early").alias("place", "gram")), "early")
-    shared = written(early.groupBy("gram").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram", "size"), "shared")
-    listed = written(attach(early, shared, ["gram"], "size", F.col("rep")).where("size is not null"), "listed")
-    per = listed.groupBy("gram", "component").agg(F.count("*").alias("m"))
-    main = written(per.groupBy("gram").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size")).select("gram", F.col("top.component").alias("main"), "size"), "main")
-    facts = reps.select("rep", "n", "p0", "p1", "p2", "p3")
-    rows = attach(listed.drop("size"), main, ["gram"], "size", F.col("rep")).join(facts, "rep")
-    rows = rows.withColumn("blocks", F.floor((F.col("size") - 1) / SHARE) + 1)
-    kept = ["gram", "block", "probe", "place", "rep", "component", "main", "n", "p0", "p1", "p2", "p3"]
-    entries = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "probe": F.lit(0)}).select(*kept)
-    probes = rows.where("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "probe": F.lit(1)}).select(*kept)
+    rows = early.join(reps.select("rep", "component"), "rep").select("rep", "component", F.posexplode("early").alias("place", "gram"))
+    rows = written(rows, "early")
+    shared = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+    shared = written(shared, "shared")
+    word = F.pmod(F.xxhash64("gram"), F.lit(BITMAP))
+    one = F.expr("shiftleft(1L, cast(shiftrightunsigned(gram, 58) as int))")
+    bitmap = shared.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    likely = rows.withColumns({"word": word, "one": one}).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(F.col("one")) != 0).select(*rows.columns)
+    counted = written(likely.groupBy("gram", "component").agg(F.count("*").alias("m")).join(shared, "gram"), "counted")
+    main = counted.groupBy("gram").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"))
+    main = written(main.select("gram", F.col("top.component").alias("main"), "size"), "main")
+    listed = attach(likely, main, ["gram"], "size", F.col("rep")).where("size is not null")
+    facts = reps.select("rep", "n", "leader", "p0", "p1", "p2", "p3")
+    listed = written(listed.join(facts, "rep").withColumn("blocks", F.floor((F.col("size") - 1) / SHARE) + 1), "listed")
+    kept = ["gram", "block", "probe", "place", "rep", "leader", "component", "main", "n", "p0", "p1", "p2", "p3"]
+    entries = listed.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "probe": F.lit(0)}).select(*kept)
+    probes = listed.where("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "probe": F.lit(1)}).select(*kept)
     dealt = entries.union(probes).repartition("gram", "block").sortWithinPartitions("gram", "block", "probe", "place")
-    return written(dealt.mapInArrow(_skipping(percent), "a long, b long").distinct(), "candidates")
+    return written(dealt.mapInArrow(_skipping(percent), "a long, leader long").distinct(), "candidates")
 
 
 # ---- the join ------------------------------------------------------------------
@@ -329,8 +378,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     smallest id reachable over links. The join is exact but for collisions of 64-bit hashes of n-grams and words.
 
     1. All n-grams have one order, by hash, the most repeated ones last. Documents of equal sets are one set.
-    2. Highly similar sets: those with the same first n-gram, or the same one by a second order, are compared with one
-       leader of them. Linked ones are its family, each kept as its difference from the leader.
+    2. Highly similar sets: those with an equal smallest n-gram by one of six other hashes are compared with one of
+       them, the leader. Linked ones are its family, each kept as its difference from the leader.
     3. Index lists of the sets' first n-grams, with the place of the n-gram in the set. Sets meet if they are in
        different components, blocks that no probe can match are skipped (:func:`_skipping`).
     4. A probe is compared in full with a family's leader only; the answers of the others follow from that one
@@ -345,37 +394,53 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     frequent, rank = frequent_grams(docs.select("text"), k)
-    schema = f"id {kind}, n long, key1 long, key2 long, p0 long, p1 long, p2 long, p3 long, first long, other long, early array<long>"
+    schema = f"id {kind}, n long, key1 long, key2 long, p0 long, p1 long, p2 long, p3 long, buckets array<long>, early array<long>"
     sketch = written(docs.mapInArrow(_sketch(k, percent, frequent, rank), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
 
-    own = ["key1", "key2", "n"]
+    own, parity = ["key1", "key2", "n"], ["p0", "p1", "p2", "p3"]
     valid = sketch.where("n > 0")
     classes = written(valid.groupBy(*own).agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")), "classes")
-    reps = written(sketch.withColumnRenamed("row", "rep").join(classes.select("rep"), "rep"), "sets")
-
-    keys = reps.select("rep", "n", "p0", "p1", "p2", "p3", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("first").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("other").alias("key")))).alias("bucket"))
-    keys = keys.select(F.col("bucket.kind").alias("kind"), F.col("bucket.key").alias("key"), "rep", "n", "p0", "p1", "p2", "p3")
-    hub = keys.groupBy("kind", "key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "p0", "p1", "p2", "p3")).alias("hub")).where("size > 1")
-    hub = written(hub.select("kind", "key", "size", F.col("hub.rep").alias("h_rep"), *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", "p0", "p1", "p2", "p3")]), "hubs")
-    met = attach(keys, hub, ["kind", "key"], "size", F.col("rep")).where((F.col("rep") != F.col("h_rep")) & _near("", "h_", percent))
-    first = written(met.select(F.col("rep").alias("a"), F.col("h_rep").alias("b")).distinct(), "pairs")
+    reps = written(sketch.withColumnRenamed("row", "rep").select("rep", "id", *own, *parity, "buckets").join(classes.select("rep"), "rep"), "sets")
 
+    keys = reps.select("rep", F.posexplode("buckets").alias("kind", "key"))
+    buckets = written(keys.groupBy("kind", "key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    inside = attach(keys, buckets, ["kind", "key"], "size", F.col("rep")).where("size is not null")
+    weight = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
+    inside = written(inside.join(weight, "rep").join(reps.select("rep", "n", *parity), "rep"), "inside")
     def whole_sets(needed: DataFrame) -> DataFrame:
-        asked = reps.join(needed, "rep").select("rep", "id", "key1", "key2")
+        asked = reps.join(needed.distinct(), "rep").select("rep", "id", "key1", "key2")
         texts = asked.join(docs.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("rep", "key1", "key2", "text")
         return written(texts.mapInArrow(_whole_sets(k), "rep long, grams array<long>").dropDuplicates(["rep"]), "grams")
 
-    def both_ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-
-    linked = _families(first, whole_sets(both_ends(first)), percent)
-    component = components(linked.select("a", "b"))
-    held = reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    pairs = _candidates(written(held.select("rep", "n", "p0", "p1", "p2", "p3", "early", "component"), "held"), percent)
-
-    families = linked.groupBy("a").agg(F.min(F.struct("b", "lack", "besides")).alias("led")).select("a", "led.*")
-    led = pairs.join(families.select(F.col("a").alias("b"), F.col("b").alias("leader")), "b", "left").select("a", F.coalesce("leader", "b").alias("b"))
-    links = _answers(pairs, families, whole_sets(both_ends(led)), percent)
+    def with_hub(members: DataFrame, *rank: Column) -> DataFrame:
+        """Pairs (a, b) of the members of each bucket with its hub, the one of the highest rank, if their components differ."""
+        facts = ["rep", "component", "n", *parity]
+        hub = members.groupBy("kind", "key").agg(F.count("*").alias("size"), F.max(F.struct(*rank, *facts)).alias("hub"))
+        hub = written(hub.select("kind", "key", "size", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in facts]), "hubs")
+        met = attach(members.drop("size"), hub, ["kind", "key"], "size", F.col("rep")).where((F.col("component") != F.col("h_component")) & _near("", "h_", percent))
+        return written(met.select(F.col("rep").alias("a"), F.col("h_rep").alias("b")).distinct(), "pairs")
+
+    def still_open(members: DataFrame, component: DataFrame) -> DataFrame:
+        """The buckets whose members are in several components."""
+        placed = members.drop("component", "size").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = placed.groupBy("kind", "key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return written(attach(placed, written(several.select("kind", "key", "size"), "several"), ["kind", "key"], "size", F.col("rep")).where("size is not null"), "open")
+
+    members, linked = inside.withColumn("component", F.col("rep")), None
+    for i in range(HUBS):
+        pairs = with_hub(members, *([F.xxhash64("rep", F.lit(i)).alias("rank")] if i else [F.col("weight")]))
+        found = _families(pairs, whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), percent)
+        linked = linked.union(found) if linked else found
+        component = components(linked.select("a", "b"))
+        members = still_open(members, component) if i + 1 < HUBS else members
+    # A leader of others stays with its own family; every other member goes to the leader of the most members.
+    leads = linked.groupBy("b").agg(F.count("*").alias("led"))
+    ranked = linked.select("a", "b").join(leads, "b").groupBy("a").agg(F.max(F.struct("led", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    families = written(linked.join(ranked, ["a", "b"]).select("a", F.col("b").alias("leader"), "lack", "besides"), "families")
+    held = reps.select("rep", "n", *parity).join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = held.join(families.select(F.col("a").alias("rep"), "leader"), "rep", "left").withColumn("leader", F.coalesce("leader", "rep"))
+    pairs = _candidates(written(held, "held"), sketch.select(F.col("row").alias("rep"), "early"), percent)
+    links = _answers(pairs, families, whole_sets(pairs.select(F.explode(F.array("a", "leader")).alias("rep"))), percent)
 
     component = components(linked.select("a", "b").union(links)).withColumnRenamed("node", "rep")
     classes = classes.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

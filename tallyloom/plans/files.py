@@ -54,6 +54,19 @@ def scan_csv(spark, sf):
         F.col("Transaction Type").alias("kind"), F.col("`Transaction Amount (RM)`").alias("amount"))
 
 
+@query("scan_csv_quoted_breaks", """
+SELECT p_partkey AS no, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', chr(10)) ELSE p_name || ', "' || p_brand || '"' END AS note,
+  round(p_retailprice, 2) AS price
+FROM part""")
+def scan_csv_quoted_breaks(spark, sf):
+    """Cells with line breaks, separators and quotes, read back in splits."""
+    note = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("\n"))).otherwise(F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')))
+    path = scratch_dir(spark, "breaks")
+    table(spark, sf, "part").select(F.col("p_partkey").alias("no"), note.alias("note"), F.round("p_retailprice", 2).alias("price")).write.csv(path, header=True, escape='"')
+    good, _ = readers.quarantine_rows(readers.scan_csv(spark, path, multi_line=True))
+    return good.select(F.col("no").cast("bigint").alias("no"), "note", F.col("price").cast("double").alias("price"))
+
+
 @query("detect_header_row", """
 SELECT 1 AS header_row, 'Order No|Settlement Date|Transaction Type|Transaction Amount (RM)' AS names, ',' AS sep""")
 def detect_header_row(spark, sf):

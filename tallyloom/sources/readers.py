@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import col, constant_rows, file_extension, file_name, unique_names
 from tallyloom.operators.clean import retype_whole_columns
+from tallyloom.sources import quoted
 from tallyloom.sources.probe import file_heads, list_files, probe_delimited
 
 SOURCE, BAD = "source_file", "_bad_record"
@@ -42,6 +43,11 @@ def scan_csv(
     padded with NULL, and rows with too many cells keep their raw text in
     ``_bad_record`` (see :func:`quarantine_rows`). A file that cannot be read
     raises; with ``on_error="skip"`` it is left to :func:`unreadable_files`.
+
+    ``multi_line``: quoted cells may hold line breaks. UTF-8 files are still
+    read in splits (see :mod:`tallyloom.sources.quoted`), each line from a
+    quote that never closes on being a bad record; files of other encodings
+    are read whole by one task each.
     """
     shapes = scan_shapes(spark, path, sep=sep, quote=quote, encoding=encoding, multi_line=multi_line, on_error=on_error)
     return union_all(shapes) if shapes else constant_rows(spark, [], f"{SOURCE} string, {BAD} string")
@@ -73,6 +79,8 @@ def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool, full_path: bool = False) -> DataFrame:
     names, at = list(shape["names"]), shape["header_row"]
+    if multi_line and encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        return _scan_records(spark, shape, full_path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     options = {"sep": shape["sep"], "quote": shape["quote"], "escape": shape["quote"], "encoding": encoding}
     # Without the full record Spark does not see that a row has too many cells.
@@ -95,6 +103,19 @@ def _scan_shape(spark: SparkSession, shape, encoding: str, multi_line: bool, ful
         *[col(n) for n in names], SOURCE, F.when(extra.isNotNull() & parsed, F.col(_CORRUPT)).alias(BAD))
 
 
+def _scan_records(spark: SparkSession, shape, full_path: bool) -> DataFrame:
+    """The same for files with line breaks in quoted cells, a row per record."""
+    names = list(shape["names"])
+    found = quoted.records(spark, list(shape["paths"]), shape["quote"]).where(F.col("record_no") > shape["header_row"])
+    cells = [f"_c{i}" for i in range(len(names) + 1)]  # one more than the header has
+    row = F.from_csv("text", ", ".join(f"{c} string" for c in cells), {"sep": shape["sep"], "quote": shape["quote"], "escape": shape["quote"], "multiLine": "true"})
+    rows = found.withColumn("_row", F.when(~F.col("unclosed"), row))
+    return rows.select(
+        *[F.when(F.col("_row")[c] != "", F.col("_row")[c]).alias(n) for c, n in zip(cells, names)],
+        (F.col("file") if full_path else file_name(F.col("file"))).alias(SOURCE),
+        F.when(F.col("unclosed") | F.col("_row")[cells[-1]].isNotNull(), F.col("text")).alias(BAD))
+
+
 def _drop_head(rows: DataFrame, names: list[str], count: int, head: list[list[str]] | None) -> DataFrame:
     """Drop the first ``count`` rows of every file, up to and with the header.
 

@@ -71,6 +71,9 @@ def test_families_and_any_order(spark, family, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "SHARE", 5)
     monkeypatch.setattr(jaccard, "SKIP", 3)
+    monkeypatch.setattr(jaccard, "FAMILY", 4)
+    monkeypatch.setattr(jaccard, "BITMAP", 64)
+    monkeypatch.setattr(jaccard, "HUBS", 1 + (frequent == 40))
     monkeypatch.setattr(jaccard, "COUNTED", 5000)
     df = spark.createDataFrame(family, "doc_id long, text string").repartition(4)
     assert joined(df) == brute(family)
@@ -90,48 +93,51 @@ def test_repeats_nulls_and_empty(spark, empty):
     assert joined(named, id_col="rep", text_col="grams") == [("a", 1, "a"), ("b", 1, "a")]
 
 
-def test_skipped_blocks_hold_no_partner():
-    """Pairs that the index lists leave out can't reach the similarity: on random lists against the bound itself."""
+def test_skipped_blocks_hold_no_partner(monkeypatch):
+    """The pairs of the index lists are those within the bounds, over many lists, blocks and batches."""
     import pyarrow as pa
 
+    monkeypatch.setattr(jaccard, "PAIRS", 5000)
     rng = np.random.default_rng(5)
-    n_entries, n_probes = 300, 40
-    sizes = rng.integers(1, 400, n_entries + n_probes)
-    place = (rng.random(n_entries + n_probes) * sizes * 0.21).astype(np.int64)
+    rows = 3000
+    sizes = rng.integers(1, 400, rows)
+    place = (rng.random(rows) * sizes * 0.21).astype(np.int64)
     cells = {
-        "gram": np.ones(len(sizes), np.int64), "block": np.zeros(len(sizes), np.int64), "probe": np.repeat([0, 1], [n_entries, n_probes]), "place": place,
-        "rep": np.arange(len(sizes)), "component": np.arange(len(sizes)), "main": np.full(len(sizes), -1), "n": sizes}
-    order = np.lexsort((place, cells["probe"]))
-    cells = {k: v[order] for k, v in cells.items()} | {f"p{i}": np.zeros(len(sizes), np.int64) for i in range(4)}
+        "gram": np.sort(rng.choice([3, 5, 6, 9, 1 << 40], rows, p=[0.1, 0.6, 0.1, 0.1, 0.1])), "block": np.zeros(rows, np.int64), "probe": rng.integers(0, 2, rows), "place": place,
+        "rep": np.arange(rows), "component": np.arange(rows) % 900, "main": np.full(rows, 7), "n": sizes}
+    order = np.lexsort((place, cells["probe"], cells["gram"]))
+    cells = {k: v[order] for k, v in cells.items()} | {f"p{i}": np.zeros(rows, np.int64) for i in range(4)}
+    cells["leader"] = cells["rep"] // 3
     table = pa.RecordBatch.from_arrays([pa.array(v) for v in cells.values()], list(cells))
-    got = {(a, b) for batch in jaccard._skipping(80)(iter([table.slice(0, 100), table.slice(100)])) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)}
-    rest = dict(zip(cells["rep"].tolist(), (cells["n"] - cells["place"]).tolist(), strict=True))
     want = set()
-    for p in range(n_entries, n_entries + n_probes):
-        for e in range(n_entries):
-            if 180 * min(rest[p], rest[e]) >= 80 * (sizes[p] + sizes[e]) and p < e:
-                want.add((p, e))
-    assert want == set() == got  # probes have the larger numbers here: no pair twice
-    cells["main"] = cells["component"].copy()
-    table = pa.RecordBatch.from_arrays([pa.array(v) for v in cells.values()], list(cells))
-    got = {(a, b) for batch in jaccard._skipping(80)(iter([table])) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)}
-    assert got == {(p, e) for p in range(n_entries, n_entries + n_probes) for e in range(n_entries) if 180 * min(rest[p], rest[e]) >= 80 * (sizes[p] + sizes[e])} != set()
-
-
-def test_derived_answers(spark):
-    """Links found by way of a family's leader are those of the whole sets."""
+    for g in np.unique(cells["gram"]):
+        e, q = (np.flatnonzero((cells["gram"] == g) & (cells["probe"] == x)) for x in (0, 1))
+        for i in q:
+            rest = np.minimum(cells["n"][i] - cells["place"][i], cells["n"][e] - cells["place"][e])
+            ok = (180 * rest >= 80 * (cells["n"][i] + cells["n"][e])) & (cells["component"][e] != cells["component"][i])
+            ok &= (cells["component"][e] == 7) | (cells["rep"][i] < cells["rep"][e])
+            want |= {(int(cells["rep"][i]), int(x)) for x in cells["leader"][e[ok]]}
+    for step in (rows, 700, 37):
+        parts = iter([table.slice(x, step) for x in range(0, rows, step)])
+        got = {(a, b) for batch in jaccard._skipping(80)(parts) for a, b in zip(batch["a"].to_pylist(), batch["leader"].to_pylist(), strict=True)}
+        assert got == want and len(want) > 1000
+
+
+def test_derived_answers():
+    """A probe is linked with a family if one of its whole sets is similar enough, the leader's too."""
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    universe = rng.integers(0, 1 << 62, 400).astype(np.uint64)
-    probe, leader = (np.unique(rng.choice(universe, 300, replace=False)) for _ in range(2))
-    members = [np.unique(np.concatenate([rng.choice(leader, len(leader) - 10, replace=False), rng.choice(universe, 12)])) for _ in range(60)]
-    none = None
-    rows = [(1, 0, none, probe, none, none), (1, 1, none, leader, none, none)]
-    rows += [(1, 2, i, none, np.setdiff1d(leader, m), np.setdiff1d(m, leader)) for i, m in enumerate(members)]
+    universe = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    leader = np.unique(rng.choice(universe, 300, replace=False))
+    members = [np.unique(np.concatenate([rng.choice(leader, len(leader) - 10, replace=False), rng.choice(universe, 12)])) for _ in range(9)]
+    probes = [np.unique(rng.choice(universe, n, replace=False)) for n in range(150, 400, 5)] + [leader, members[3], universe[:1]]
+    rows = [(7, 0, None, leader, None, None)] + [(7, 1, None, None, np.setdiff1d(leader, m), np.setdiff1d(m, leader)) for m in members]
+    rows += [(7, 2, i, p, None, None) for i, p in enumerate(probes)] + [(8, 0, None, probes[0], None, None), (8, 2, 0, probes[0], None, None), (8, 2, 1, universe, None, None)]
     lists = lambda at: pa.array([None if r[at] is None else r[at].view(np.int64) for r in rows], pa.list_(pa.int64()))
-    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [lists(i) for i in (3, 4, 5)], ["a", "kind", "b", "grams", "lack", "besides"])
-    for percent in (50, 58, 60, 62):
-        got = [b for out in jaccard._derived(percent)(iter([batch.slice(0, 7), batch.slice(7)])) for b in out["b"].to_pylist()]
-        shared = [len(np.intersect1d(probe, m)) for m in members]
-        assert got == [i for i, (c, m) in enumerate(zip(shared, members, strict=True)) if 100 * c >= percent * (len(probe) + len(m) - c)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [lists(i) for i in (3, 4, 5)], ["leader", "kind", "a", "grams", "lack", "besides"])
+    for percent in (50, 60, 70, 80):
+        got = [(a, b) for out in jaccard._derived(percent)(iter([batch.slice(0, 7), batch.slice(7)])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+        near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))  # noqa: B023, E731
+        want = [(i, 7) for i, p in enumerate(probes) if any(near(p, m) for m in [leader, *members])] + [(0, 8)]
+        assert got == want and 0 < len(want) < len(probes)
