@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import history, reconcile
+from tallyloom.functions.scalars import constant_rows
+from tallyloom.operators import history, keys, reconcile
 from tallyloom.plans.registry import query, sql_grouped, sql_money, table
 from tallyloom.sources.readers import union_all
 
@@ -66,6 +67,29 @@ def missing_by_key(spark, sf):
     return reconcile.missing_by_key(table(spark, sf, "customer"), urgent, "c_custkey", "o_custkey", "c_acctbal")
 
 
+@query("missing_by_found_key", """
+WITH a AS (SELECT l_orderkey, l_partkey, sum(l_extendedprice) AS amount, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey, l_partkey)
+SELECT count(*) AS missing_count, round(coalesce(sum(amount), 0), 2) AS missing_amount, 'l_orderkey, l_partkey' AS key_a, 'order_ref, item_ref' AS key_b
+FROM a WHERE NOT (month(last) % 3 <> 0)""")
+def missing_by_found_key(spark, sf):
+    """A key of two columns, named otherwise in the other table."""
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_extendedprice").alias("amount"), F.max("l_shipdate").alias("last"))
+    booked = items.where(F.month("last") % 3 != 0).selectExpr("string(l_partkey) AS item_ref", "amount AS booked", "string(l_orderkey) AS order_ref")
+    return keys.missing_by_found_key(items.select("l_orderkey", "l_partkey", "amount"), booked, "amount")
+
+
+@query("unique_column_sets", """
+SELECT 'customer' AS name, 'c_custkey' AS columns UNION ALL SELECT 'customer', 'c_name'
+UNION ALL SELECT 'totals', 'l_partkey, l_orderkey' UNION ALL SELECT 'doubled', NULL""")
+def unique_column_sets(spark, sf):
+    """One and two columns; a table whose rows all occur twice has no key."""
+    customers = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", "c_mktsegment")
+    totals = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    doubled = customers.select("c_custkey", "c_nationkey").union(customers.select("c_custkey", "c_nationkey"))
+    found = [(n, ", ".join(s)) for n, df in (("customer", customers), ("totals", totals), ("doubled", doubled)) for s in keys.unique_column_sets(df) or [()]]
+    return constant_rows(spark, [(n, s or None) for n, s in found], "name string, columns string")
+
+
 @query("missing_rows_by_amount", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM (
   SELECT *, nullif(o_totalprice, (SELECT max(o_totalprice) FROM orders)) AS p FROM orders)
