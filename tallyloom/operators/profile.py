@@ -1,8 +1,9 @@
 """Column and table statistics over the full data.
 
-Most figures come from one wide aggregate turned into one row per column.
-Distinct values are counted through 16-byte digests, one shuffle for all
-columns together.
+Most figures come from one wide aggregate turned into one row per column,
+the survey, which also sketches ranks and distinct counts. A second scan
+places the exact quantiles, a third one counts values through 16-byte digests,
+one shuffle for all columns together.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
@@ -18,10 +19,14 @@ from tallyloom.functions.scalars import (
     col, columns_of, constant_rows, hashable, kinds, numeric_columns, row_digest, share, text_columns,
     value_digest,
 )
-from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.operators.quantiles import ACCURACY, exact_quantiles, placed_quantiles, rank_measures, with_points
 
 # Aggregates per pass; beyond this a wide table takes several passes.
 WIDE_LIMIT = 600
+# Relative deviation of the sketched distinct counts.
+DISTINCT_DEVIATION = 0.01
+# Texts up to here are shuffled to find the most frequent one.
+SHORT = 100
 
 
 def per_column(df: DataFrame, columns: Iterable[str], measures: Mapping[str, Callable[[str], Column]]) -> DataFrame:
@@ -50,6 +55,45 @@ def constants_per_column(df: DataFrame, values: Mapping[str, Mapping[str, object
     return constant_rows(df.sparkSession, [(c, *v.values()) for c, v in values.items()], schema)
 
 
+def survey(
+    df: DataFrame, columns: Iterable[str], measures: Mapping[str, Callable[[str], Column]], numeric: Iterable[str] = (),
+    probabilities: Iterable[float] = (0.5,), accuracy: int = ACCURACY,
+) -> dict[str, Row]:
+    """The first scan: per column the measures and, for the numeric ones, where their quantiles lie."""
+    wide = per_column(df, columns, {**measures, **rank_measures(numeric, accuracy)})
+    return {r["column"]: r for r in with_points(wide, list(probabilities), accuracy).collect()}  # one row per column
+
+
+def value_tally(df: DataFrame, marks: Mapping[str, Column | None], rows: bool = False) -> DataFrame:
+    """(i, mark, n) per distinct non-null value of the i-th column: one scan and one shuffle for all columns.
+
+    ``mark`` is something that follows from the value, such as its text. With ``rows`` whole rows are values too, of
+    number -1.
+    """
+    none = F.lit(None).cast("string")
+    cells = [
+        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *value_digest(df, c), (none if mark is None else mark.cast("string")).alias("mark")))
+        for i, (c, mark) in enumerate(marks.items())]
+    if rows:
+        cells.append(F.struct(F.lit(-1).alias("i"), *row_digest([hashable(df, c) for c in df.columns]), none.alias("mark")))
+    if not cells:
+        return constant_rows(df.sparkSession, [], "i int, mark string, n bigint")
+    found = df.select(F.inline(F.array_compact(F.array(*cells)))).where("i is not null")
+    return found.groupBy("i", "_h1", "_h2", "mark").agg(F.count("*").alias("n")).select("i", "mark", "n")
+
+
+def tally_figures(tally: DataFrame, k: int) -> DataFrame:
+    """(i, unique, values, top): distinct values, their rows, and the ``k`` most frequent marks as (rank, value, rows), equal ones by value.
+
+    Both halves use the whole tally, so they share its scan and shuffle.
+    """
+    order = Window.partitionBy("i").orderBy(F.col("mark").isNull(), F.desc("n"), "mark")
+    best = tally.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    marked = F.when(F.col("mark").isNotNull(), F.struct("rank", F.col("mark").alias("value"), F.col("n").alias("rows")))
+    tops = best.groupBy("i").agg(F.sort_array(F.collect_list(marked)).alias("top"))
+    return tally.groupBy("i").agg(F.count("*").alias("unique"), F.sum("n").alias("values")).join(tops, "i")
+
+
 def distinct_counts(df: DataFrame, columns: Iterable[str], approx: bool = False) -> DataFrame:
     """(column, unique_count) of non-null values.
 
@@ -149,44 +193,44 @@ def column_statistics(df: DataFrame, columns: Iterable[str] | None = None, appro
     def number(c, agg):
         return agg(col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
 
-    rows = df.count()
-    medians = exact_quantiles(df, numeric, [0.5])
-    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, columns, approx_distinct).collect()}
-    categorical = [c for c in text if rows and unique[c] / rows < fixed.CATEGORICAL_RATIO]
-    facts = constants_per_column(
-        df, {c: {"t": types[c], "m": medians.get(c, [None])[0], "u": unique[c],
-                 "c": c in categorical if c in text else None} for c in columns},
-        "column string, type string, median double, unique_count bigint, appears_categorical boolean")
-    base = per_column(df, columns, {
+    found = survey(df, columns, {
         "row_count": lambda c: F.count(F.lit(1)),
         "count": lambda c: F.count(col(c)),
         "min": lambda c: number(c, F.min),
         "max": lambda c: number(c, F.max),
-        "mean": lambda c: F.round(number(c, F.avg), 6),
-        "std": lambda c: F.round(number(c, F.stddev_samp), 6),
-        "sum": lambda c: F.round(number(c, F.sum), 2),
-    })
+        "mean": lambda c: number(c, F.avg),
+        "std": lambda c: number(c, F.stddev_samp),
+        "sum": lambda c: number(c, F.sum),
+        "distinct": lambda c: F.approx_count_distinct(hashable(df, c), DISTINCT_DEVIATION),
+    }, numeric)
+    medians = placed_quantiles(df, {c: found[c] for c in numeric}, [0.5])
+    # The sketch is within a few percent, so a column beyond the margin can't be categorical.
+    margin = 1 + 10 * DISTINCT_DEVIATION
+    likely = [c for c in text if found[c]["distinct"] < found[c]["row_count"] * fixed.CATEGORICAL_RATIO * margin]
+    facts = constant_rows(df.sparkSession, [(
+        i, c, types[c], *[r[k] for k in ("row_count", "count", "min", "max", "mean", "std", "sum", "distinct")], medians.get(c, [None])[0], c in text, c in likely)
+        for i, c in enumerate(columns) for r in [found[c]]],
+        "i int, column string, type string, row_count bigint, count bigint, min double, max double, mean double, std double, sum double, "
+        "distinct bigint, median double, is_text boolean, is_likely boolean")
+    tally = value_tally(df, {c: col(c) if c in likely else None for c in columns if c in likely or not approx_distinct})
+    if approx_distinct:  # only the likely columns are tallied, so they are numbered anew
+        tally = tally.replace({i: columns.index(c) for i, c in enumerate(c for c in columns if c in likely)}, subset=["i"]) if likely else tally
+    unique = F.col("distinct") if approx_distinct else F.coalesce("unique", F.lit(0))
     missing = F.col("row_count") - F.col("count")
-    result = base.join(facts, "column").select(
+    ratio = share(F.col("unique_count"), F.col("row_count"))
+    shares = F.array_join(F.transform("top", lambda t: F.concat(t["value"], F.lit("="), F.format_number(t["rows"] / F.col("values"), 4))), "|")
+    categorical = F.coalesce(ratio < fixed.CATEGORICAL_RATIO, F.lit(False))
+    return facts.join(tally_figures(tally, 5), "i", "left").withColumn("unique_count", unique).select(
         "column", "type", "row_count", "count", missing.alias("missing_count"),
         F.round(F.coalesce(share(missing, F.col("row_count")), F.lit(0.0)), 6).alias("missing_ratio"),
-        "unique_count",
-        F.round(F.coalesce(share(F.col("unique_count"), F.col("row_count")), F.lit(0.0)), 6).alias("unique_ratio"),
-        "min", "max", "mean", F.round("median", 6).alias("median"), "std", "sum", "appears_categorical",
-    )
-    if not categorical:
-        return result.withColumn("top_categories", F.lit(None).cast("string"))
-    tops = (
-        top_values(df, categorical, 5).groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "rows"))).alias("top"))
-    )
-    shares = F.array_join(F.transform("top", lambda t: F.concat(
-        t["value"], F.lit("="), F.format_number(t["rows"] / F.col("count"), 4))), "|")
-    return result.join(tops, "column", "left").withColumn("top_categories", shares).drop("top")
+        "unique_count", F.round(F.coalesce(ratio, F.lit(0.0)), 6).alias("unique_ratio"),
+        "min", "max", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("std", 6).alias("std"), F.round("sum", 2).alias("sum"),
+        F.when(F.col("is_text"), categorical).alias("appears_categorical"),
+        F.when(F.col("is_text") & categorical, shares).alias("top_categories"))
 
 
-def _quartile_bounds(df: DataFrame, columns: list[str], **options) -> dict[str, dict[str, float | None]]:
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], **options)
+def quartile_bounds(quartiles: Mapping[str, list[float | None]]) -> dict[str, dict[str, float | None]]:
+    """The quartiles by name, with the bounds beyond which values are outliers."""
     result = {}
     for c, (q1, median, q3) in quartiles.items():
         width = None if q1 is None else (q3 - q1) * fixed.IQR_FACTOR
@@ -203,25 +247,34 @@ def outside(value: Column, bounds: Mapping[str, float | None]) -> Column:
     return (value < bounds["low"]) | (value > bounds["high"])
 
 
-def profile_numeric(df: DataFrame, columns: Iterable[str] | None = None, **options) -> DataFrame:
-    """Spread, quartiles and IQR outliers of the numeric columns."""
-    columns = list(columns or numeric_columns(df))
-    bounds = _quartile_bounds(df, columns, **options)
-    stats = per_column(df, columns, {
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _numeric_summary(df: DataFrame, columns: list[str], accuracy: int) -> tuple[DataFrame, dict[str, dict[str, float | None]]]:
+    """Spread and quartiles per column, and the outlier bounds: two scans."""
+    found = survey(df, columns, {
         "missing_count": lambda c: F.count_if(col(c).isNull()),
         "count": lambda c: F.count(col(c)),
         "min": lambda c: F.min(col(c).cast("double")),
         "max": lambda c: F.max(col(c).cast("double")),
-        "mean": lambda c: F.round(F.avg(col(c)), 6),
-        "std": lambda c: F.round(F.stddev_samp(col(c)), 6),
-        "outlier_count": lambda c: F.count_if(outside(col(c), bounds[c])),
-    })
-    facts = constants_per_column(
-        df, {c: {k: bounds[c][k] for k in ("q1", "median", "q3")} for c in columns},
-        "column string, q1 double, median double, q3 double")
-    return stats.join(facts, "column").withColumns({
-        "q1": F.round("q1", 6), "median": F.round("median", 6), "q3": F.round("q3", 6),
-        "outlier_percentage": F.round(share(F.col("outlier_count") * 100, F.col("count")), 6)})
+        "mean": lambda c: F.avg(col(c)).cast("double"),
+        "std": lambda c: F.stddev_samp(col(c)),
+    }, columns, QUARTILES, accuracy)
+    bounds = quartile_bounds(placed_quantiles(df, {c: found[c] for c in columns}, QUARTILES, accuracy))
+    facts = constant_rows(df.sparkSession, [(
+        c, *[found[c][k] for k in ("missing_count", "count", "min", "max", "mean", "std")], *[bounds[c][k] for k in ("q1", "median", "q3")]) for c in columns],
+        "column string, missing_count bigint, count bigint, min double, max double, mean double, std double, q1 double, median double, q3 double")
+    return facts.withColumns({k: F.round(k, 6) for k in ("mean", "std", "q1", "median", "q3")}), bounds
+
+
+def profile_numeric(df: DataFrame, columns: Iterable[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """Spread, quartiles and IQR outliers of the numeric columns."""
+    columns = list(columns or numeric_columns(df))
+    facts, bounds = _numeric_summary(df, columns, accuracy)
+    outliers = per_column(df, columns, {"outlier_count": lambda c: F.count_if(outside(col(c), bounds[c]))})
+    return facts.join(outliers, "column").select(
+        "column", "missing_count", "count", "min", "max", "mean", "std", "outlier_count", "q1", "median", "q3",
+        F.round(share(F.col("outlier_count") * 100, F.col("count")), 6).alias("outlier_percentage"))
 
 
 def profile_string(df: DataFrame, columns: Iterable[str] | None = None, top_below: int = 100) -> DataFrame:
@@ -314,47 +367,44 @@ def table_profile(df: DataFrame) -> DataFrame:
     """One row per column and one row ``(table)`` in long form: measure, number, text."""
     types = kinds(df)
     numeric, text = numeric_columns(df), text_columns(df)
-    medians = exact_quantiles(df, numeric, [0.5])
-    wide = {
-        "rows": lambda c: F.count(F.lit(1)).cast("double"),
+
+    def number(c, agg):
+        return agg(col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
+
+    found = survey(df, df.columns, {
+        "rows": lambda c: F.count(F.lit(1)),
         "missing_pct": lambda c: F.avg(col(c).isNull().cast("double")) * 100,
-        "mean": lambda c: F.avg(col(c)) if c in numeric else F.lit(None).cast("double"),
-        "std": lambda c: F.stddev_samp(col(c)) if c in numeric else F.lit(None).cast("double"),
-        "min": lambda c: F.min(col(c).cast("double")) if c in numeric else F.lit(None).cast("double"),
-        "max": lambda c: F.max(col(c).cast("double")) if c in numeric else F.lit(None).cast("double"),
-    }
-    stats = per_column(df, df.columns, wide)
+        "mean": lambda c: number(c, F.avg),
+        "std": lambda c: number(c, F.stddev_samp),
+        "min": lambda c: number(c, F.min),
+        "max": lambda c: number(c, F.max),
+        "longest": lambda c: F.max(F.length(col(c))) if c in text else F.lit(None).cast("int"),
+    }, numeric)
+    medians = placed_quantiles(df, {c: found[c] for c in numeric}, [0.5])
     classes = {"integer": "numeric", "decimal": "numeric", "text": "categorical", "timestamp": "datetime",
                "boolean": "boolean", "other": "other"}
-    facts = constants_per_column(
-        df, {c: {"k": classes[types[c]], "m": medians.get(c, [None])[0]} for c in df.columns},
-        "column string, class string, median double")
-    stats = stats.join(facts, "column")
-    columns_part = stats
-    if text:
-        top = most_frequent(df, text)
-        unique = distinct_counts(df, text)
-        columns_part = stats.join(unique, "column", "left").join(top, "column", "left")
-    else:
-        columns_part = stats.withColumns({
-            "unique_count": F.lit(None).cast("bigint"), "top_value": F.lit(None).cast("string"),
-            "top_count": F.lit(None).cast("bigint")})
-    columns_part = columns_part.select(
-        "column", "class", F.col("rows").cast("bigint").alias("rows"),
-        F.round("missing_pct", 6).alias("missing_pct"), F.round("mean", 6).alias("mean"),
+    long = [c for c in text if (found[c]["longest"] or 0) > SHORT]
+    held = [found[c] for c in df.columns]
+    rows, missing = (held[0]["rows"], [r["missing_pct"] for r in held if r["missing_pct"] is not None]) if held else (0, [])
+    kinds_found = ",".join(f"{k}={sum(classes[types[c]] == k for c in df.columns)}" for k in ("numeric", "categorical", "datetime", "boolean", "other"))
+    facts = [(
+        text.index(c) if c in text else None, c, classes[types[c]], *[r[k] for k in ("rows", "missing_pct", "mean", "std", "min", "max")], medians.get(c, [None])[0])
+        for c in df.columns for r in [found[c]]]
+    facts.append((-1, "(table)", kinds_found, rows, sum(missing) / len(missing) if missing else None, None, None, None, None, None))
+    stats = constant_rows(df.sparkSession, facts, (
+        "i int, column string, class string, rows bigint, missing_pct double, mean double, std double, min double, max double, median double"))
+    # One scan for the distinct and most frequent values of all text columns and for the copies of rows. Of columns
+    # with long texts only digests are shuffled; their most frequent value is looked up again.
+    figures = tally_figures(value_tally(df, {c: None if c in long else col(c) for c in text}, rows=True), 1)
+    result = stats.join(figures, "i", "left").withColumns({"top_value": F.get("top", F.lit(0))["value"], "top_count": F.get("top", F.lit(0))["rows"]})
+    if long:
+        looked_up = _most_frequent_long(df, long).select("column", F.col("top_value").alias("long_value"), F.col("top_count").alias("long_count"))
+        result = result.join(looked_up, "column", "left").withColumns({"top_value": F.coalesce("top_value", "long_value"), "top_count": F.coalesce("top_count", "long_count")})
+    return result.select(
+        "column", "class", "rows", F.round("missing_pct", 6).alias("missing_pct"), F.round("mean", 6).alias("mean"),
         F.round("median", 6).alias("median"), F.round("std", 6).alias("std"), "min", "max",
-        "unique_count", "top_value", "top_count", F.lit(None).cast("double").alias("duplicate_pct"))
-    table_part = (
-        stats.agg(
-            F.max("rows").cast("bigint").alias("rows"), F.round(F.avg("missing_pct"), 6).alias("missing_pct"),
-            F.concat_ws(",", *[
-                F.concat(F.lit(f"{k}="), F.count_if(F.col("class") == k).cast("string"))
-                for k in ("numeric", "categorical", "datetime", "boolean", "other")
-            ]).alias("class"))
-        .withColumn("column", F.lit("(table)"))
-        .withColumn("duplicate_pct", duplicate_rows(df).select("duplicate_percent").scalar())
-    )
-    return columns_part.unionByName(table_part, allowMissingColumns=True)
+        F.when(F.col("i") >= 0, F.coalesce("unique", F.lit(0))).alias("unique_count"), "top_value", "top_count",
+        F.when(F.col("i") == -1, F.round(F.coalesce(share((F.col("values") - F.col("unique")) * 100, F.col("values")), F.lit(0.0)), 6)).alias("duplicate_pct"))
 
 
 def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
@@ -386,15 +436,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         F.round(F.lit(mean), 6).alias("mean"), F.round(F.lit(median), 6).alias("median"))
 
 
-def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Iterable[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """count, mean, std, min, quartiles and max, exact."""
-    stats = profile_numeric(df, columns)
-    return stats.select("column", "count", "mean", "std", "min", "q1", "median", "q3", "max")
+    facts, _ = _numeric_summary(df, list(columns or numeric_columns(df)), accuracy)
+    return facts.select("column", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
-def outlier_rows(df: DataFrame, column: str, **options) -> DataFrame:
+def outlier_rows(df: DataFrame, column: str, accuracy: int = ACCURACY) -> DataFrame:
     """Rows outside the IQR bounds, with the bounds and the share of such rows."""
-    bounds = _quartile_bounds(df, [column], **options)[column]
+    bounds = quartile_bounds(exact_quantiles(df, [column], QUARTILES, accuracy=accuracy))[column]
     value = col(column)
     rows, out = df.agg(F.count(value), F.count_if(outside(value, bounds))).first()
     return df.where(outside(value, bounds)).withColumns({

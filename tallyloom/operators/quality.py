@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import (
-    col, constant_rows, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
+    col, constant_rows, hashable, is_digits, is_lower, is_title, is_upper, numeric_columns, share, text_columns,
 )
 from tallyloom.operators.clean import date_string_columns
 from tallyloom.operators.profile import (
-    _quartile_bounds, distinct_counts, duplicate_rows, null_report, outside, per_column,
+    DISTINCT_DEVIATION, QUARTILES, duplicate_rows, null_report, outside, per_column, quartile_bounds, survey, value_tally,
 )
+from tallyloom.operators.quantiles import ACCURACY, placed_quantiles
 
 
 def severity(ratio: Column, medium: float, high: float) -> Column:
@@ -51,20 +52,34 @@ def inconsistent_case(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     return flags.withColumn("is_inconsistent", F.expr("any_lower and any_upper and any_title"))
 
 
-def quality_scorecard(df: DataFrame, approx_distinct: bool = False, **options) -> DataFrame:
+def quality_scorecard(df: DataFrame, approx_distinct: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """Scores and issues in long form: (item, column, value, severity).
 
     ``score`` rows hold completeness, validity, uniqueness, consistency and
-    their mean; ``issue`` rows the percentages over the cut-offs.
+    their mean; ``issue`` rows the percentages over the cut-offs. Three scans:
+    counts and sketches, quartiles, then distinct values and outliers.
     """
-    numeric = numeric_columns(df)
-    bounds = _quartile_bounds(df, numeric, **options)
-    stats = per_column(df, df.columns, {
+    numeric, text = numeric_columns(df), text_columns(df)
+    kind = lambda c, test: F.count_if(test(is_digits(col(c)))) if c in text else F.lit(None).cast("bigint")
+    found = survey(df, df.columns, {
         "rows": lambda c: F.count(F.lit(1)),
         "values": lambda c: F.count(col(c)),
-        "outliers": lambda c: F.count_if(outside(col(c), bounds[c])) if c in numeric else F.lit(None).cast("bigint"),
-    }).join(distinct_counts(df, df.columns, approx_distinct), "column").join(
-        mixed_types(df).select("column", "digit_values", "other_values"), "column", "left")
+        "digit_values": lambda c: kind(c, lambda digits: digits),
+        "other_values": lambda c: kind(c, lambda digits: ~digits),
+        "distinct": lambda c: F.approx_count_distinct(hashable(df, c), DISTINCT_DEVIATION) if approx_distinct else F.lit(None).cast("bigint"),
+    }, numeric, QUARTILES, accuracy)
+    bounds = quartile_bounds(placed_quantiles(df, {c: found[c] for c in numeric}, QUARTILES, accuracy))
+    if approx_distinct:
+        outliers = per_column(df, numeric, {"n": lambda c: F.count_if(outside(col(c), bounds[c]))}).collect() if numeric else []
+        out, unique = {r["column"]: r["n"] for r in outliers}, {c: found[c]["distinct"] for c in df.columns}
+    else:  # whether a value is an outlier follows from the value
+        tally = value_tally(df, {c: F.when(outside(col(c), bounds[c]), F.lit("out")) if c in numeric else None for c in df.columns})
+        counted = {r["i"]: r for r in tally.groupBy("i").agg(F.count("*").alias("unique"), F.sum(F.when(F.col("mark") == "out", F.col("n"))).alias("out")).collect()}
+        out = {c: (counted[i]["out"] or 0) if i in counted else 0 for i, c in enumerate(df.columns)}
+        unique = {c: counted[i]["unique"] if i in counted else 0 for i, c in enumerate(df.columns)}
+    stats = constant_rows(df.sparkSession, [
+        (c, r["rows"], r["values"], out[c] if c in numeric else None, unique[c], r["digit_values"], r["other_values"]) for c in df.columns for r in [found[c]]],
+        "column string, rows bigint, values bigint, outliers bigint, unique_count bigint, digit_values bigint, other_values bigint")
     ratios = stats.select(
         "column",
         (F.lit(1.0) - F.coalesce(share(F.col("values"), F.col("rows")), F.lit(1.0))).alias("null_ratio"),

@@ -78,7 +78,7 @@ FROM (SELECT 'l_extendedprice' AS "column", l_extendedprice AS v FROM lineitem
 def profile_numeric_bracketed(spark, sf):
     """The quartiles again on the path for tables of any size (sketch, count, narrow)."""
     found = profile.profile_numeric(
-        table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity"), small_rows=0, max_inside=1000)
+        table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity"), accuracy=256)
     return found.select("column", "count", "q1", "median", "q3")
 
 
