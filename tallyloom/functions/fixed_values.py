@@ -117,3 +117,22 @@ NULL_FLAG, NULL_MEDIUM, NULL_HIGH = 0.1, 0.2, 0.5
 SHARE_FLAG, SHARE_MEDIUM, SHARE_HIGH = 0.05, 0.1, 0.2
 IQR_FACTOR = 1.5
 CATEGORICAL_RATIO = 0.1
+
+# The metadata tables, and the columns that name a row of their parent.
+METADATA_TABLES = ["user_sessions", "file_metadata", "processing_states", "conversation_history", "data_insights", "resource_usage"]
+METADATA_REFERENCES = {
+    "file_metadata": ("session_id", "user_sessions"),
+    "processing_states": ("file_id", "file_metadata"),
+    "conversation_history": ("session_id", "user_sessions"),
+    "data_insights": ("file_id", "file_metadata"),
+    "resource_usage": ("session_id", "user_sessions"),
+}
+METADATA_REQUIRED = {
+    "user_sessions": ["user_id"],
+    "file_metadata": ["session_id", "filename", "file_type", "size", "processing_status"],
+    "processing_states": ["file_id", "current_step", "progress_percentage"],
+    "conversation_history": ["session_id", "message_type", "content"],
+    "data_insights": ["file_id", "quality_score"],
+    "resource_usage": ["session_id", "cpu_percent", "memory_percent", "memory_used_mb", "disk_usage_percent", "operation_type"],
+}
+UNIQUE_RULE = "id_unique"

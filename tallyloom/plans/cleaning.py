@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions import scalars
-from tallyloom.operators import clean, documents, pick, sampling, schema
+from tallyloom.operators import clean, documents, pick, references, sampling, schema
 from tallyloom.plans.registry import query, table, union_sql
 
 
@@ -251,6 +253,54 @@ def validate_constraints(spark, sf):
     return broken.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+_METADATA = {
+    "user_sessions": "SELECT c_custkey AS id, nullif(c_nationkey, 3) AS user_id, c_name AS session_data FROM customer UNION ALL SELECT 5, 1, ''",
+    "file_metadata": """
+        SELECT o_orderkey AS id, CASE WHEN o_custkey % 50 = 0 THEN 9000000 + o_custkey ELSE o_custkey END AS session_id, o_orderstatus AS filename,
+          nullif(o_orderpriority, '2-HIGH') AS file_type, o_totalprice AS size, CASE WHEN o_orderkey % 500 = 0 THEN 'lost' ELSE 'pending' END AS processing_status
+        FROM orders""",
+    "processing_states": """
+        SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_suppkey = 7 THEN 8000001 ELSE l_orderkey END AS file_id, l_returnflag AS current_step,
+          CASE WHEN l_partkey % 100 = 0 THEN 101.0 ELSE l_quantity END AS progress_percentage
+        FROM lineitem WHERE l_linenumber = 1""",
+    "conversation_history": """
+        SELECT event_id AS id, CASE WHEN event_id % 100 = 0 THEN -1 ELSE 1 + user_id % 100 END AS session_id,
+          CASE WHEN event_type = 'error' THEN 'error' ELSE 'user' END AS message_type, props AS content
+        FROM events""",
+    "data_insights": "SELECT p_partkey AS id, CASE WHEN p_size = 3 THEN -p_partkey ELSE 1 END AS file_id, CASE WHEN p_size = 9 THEN NULL ELSE p_size * 2.5 END AS quality_score FROM part",
+    "resource_usage": """
+        SELECT s_suppkey % 40 AS id, CASE WHEN s_nationkey = 1 THEN NULL WHEN s_nationkey = 2 THEN 7000000 ELSE s_suppkey END AS session_id, s_acctbal AS cpu_percent,
+          50.0 AS memory_percent, 1.5 AS memory_used_mb, 99.0 AS disk_usage_percent, s_name AS operation_type
+        FROM supplier""",
+}
+
+
+def _metadata_sql() -> str:
+    rules = {
+        "user_sessions": {"id_set": "id IS NULL", "user_id_set": "user_id IS NULL"},
+        "file_metadata": {"file_type_set": "file_type IS NULL", "status_known": "processing_status = 'lost'"},
+        "processing_states": {"progress_in_range": "progress_percentage > 100"},
+        "conversation_history": {"content_set": "content IS NULL"},
+        "data_insights": {"quality_score_set": "quality_score IS NULL", "score_in_range": "quality_score NOT BETWEEN 0 AND 100"},
+        "resource_usage": {"session_id_set": "session_id IS NULL", "cpu_in_range": "cpu_percent NOT BETWEEN 0 AND 100"},
+    }
+    parts = [f"SELECT '{t}' AS \"table\", '{r}' AS rule, CAST(id AS varchar) AS key, count(*) AS rows FROM {t} WHERE {broken} GROUP BY id" for t, found in rules.items() for r, broken in found.items()]
+    parts += [f"SELECT '{t}', 'id_unique', CAST(id AS varchar), count(*) FROM {t} WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1" for t in _METADATA]
+    parts += [
+        f"SELECT '{t}', '{c}_exists', CAST({c} AS varchar), count(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {p}) GROUP BY {c}"
+        for t, (c, p) in fixed.METADATA_REFERENCES.items()]
+    return "WITH " + ", ".join(f"{t} AS ({q})" for t, q in _METADATA.items()) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("metadata_errors", _metadata_sql())
+def metadata_errors(spark, sf):
+    """Broken rules, repeated ids and orphans planted in each of the six tables."""
+    given = {n: table(spark, sf, n) for n in ("customer", "orders", "lineitem", "events", "part", "supplier")}
+    tables = {n: spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", q), **given) for n, q in _METADATA.items()}
+    tables["user_sessions"] = tables["user_sessions"].withColumn("session_data", F.struct("session_data"))
+    return references.metadata_errors(tables)
+
+
 @query("head_sample", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def head_sample(spark, sf):
     return sampling.head_sample(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], 100)
