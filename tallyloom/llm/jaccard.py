@@ -20,6 +20,8 @@ COUNTED, REPEATS = 1 << 22, 4
 SKIP, SHARE, FAMILY = 32, 256, 1024
 #: Bucket keys of a set: sets of 80 % similarity share none of them with a chance of 6 in 100,000.
 KEYS = 6
+#: So many of the keys a set shares with its leader at least; 4.8 are expected at 80 %. Links of other sets are found later.
+AGREE = 3
 #: Leaders that a bucket's sets are compared with, one after the other, as long as they are in several components.
 HUBS = 3
 #: Words of the bitmap that tells which n-grams can be shared: 2 MB for every task, and as many rows.
@@ -28,6 +30,8 @@ BITMAP = 1 << 18
 PAIRS = 1 << 20
 #: Bits of a set's parity map.
 PARITY = 256
+#: Bits of the second map that sets of more n-grams than ``PARITY`` have.
+WIDE = 4096
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -109,9 +113,9 @@ def _sketch(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
             sizes = np.array([len(s) for s in sets])
             every = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            parity = np.zeros(len(sets) * PARITY, np.uint8)
-            np.bitwise_xor.at(parity, owner * PARITY + (every & np.uint64(PARITY - 1)).astype(np.int64), 1)
+            parity = (np.bincount(owner * PARITY + (every & np.uint64(PARITY - 1)).astype(np.int64), minlength=len(sets) * PARITY) & 1).astype(np.uint8)
             parity = np.packbits(parity.reshape(len(sets), PARITY), axis=1).view(np.int64)
+            wide = [np.packbits((np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).view(np.uint64) if len(s) > PARITY else s[:0] for s in sets]
             late = np.full(len(every), -1)
             if len(frequent) and len(every):
                 at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
@@ -129,9 +133,9 @@ def _sketch(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
                 early.append(grams[:n - int(least_overlap(n, percent)) + 1] if n else grams)
                 keys.append(_set_key(grams) if n else (None, None))
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(sizes, pa.int64()), *[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)],
-                *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)], _lists([b if n else b[:0] for b, n in zip(buckets, sizes, strict=True)]), _lists(early),
-            ], ["id", "n", "key1", "key2", "p0", "p1", "p2", "p3", "buckets", "early"])
+                part.column("id"), part.column("hash"), pa.array(sizes, pa.int64()), *[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)],
+                *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)], _lists([b if n else b[:0] for b, n in zip(buckets, sizes, strict=True)]), _lists(wide), _lists(early),
+            ], ["id", "hash", "n", "key1", "key2", "p0", "p1", "p2", "p3", "buckets", "wide", "early"])
 
     return run
 
@@ -157,6 +161,21 @@ def _near(a: str, b: str, percent: int) -> Column:
     return sizes & (differ * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent))
 
 
+def _still_near(pairs: DataFrame, families: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, leader) that the wide maps don't rule out.
+
+    No member differs from the leader in more n-grams than the family's widest one, so the bound is that much wider.
+    """
+    apart = families.groupBy("leader").agg(F.max(F.size("lack") + F.size("besides")).alias("apart"))
+    facts = lambda key, n, wide: reps.select(F.col("rep").alias(key), F.col("n").alias(n), F.col("wide").alias(wide))
+    both = pairs.join(facts("a", "n", "wide"), "a").join(facts("leader", "l_n", "l_wide"), "leader").join(apart, "leader", "left")
+    differ = F.aggregate(F.zip_with("wide", "l_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda done, n: done + n)
+    apart = F.coalesce("apart", F.lit(0))
+    room = (F.col("n") + F.col("l_n") + apart) * (100 - percent) + apart * (100 + percent)
+    near = (F.size("wide") == 0) | (F.size("l_wide") == 0) | (differ * (100 + percent) <= room)
+    return written(both.where(near).select("a", "leader"), "near")
+
+
 # ---- verification --------------------------------------------------------------
 
 def _array(cell: pa.Scalar) -> np.ndarray:
@@ -391,33 +410,34 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     document, repeated ids and null ids too; a null id is no smallest id unless there is no other. An empty table
     gives an empty result. Other columns of ``df`` don't matter.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("hash"))
     kind = docs.schema["id"].dataType.simpleString()
     frequent, rank = frequent_grams(docs.select("text"), k)
-    schema = f"id {kind}, n long, key1 long, key2 long, p0 long, p1 long, p2 long, p3 long, buckets array<long>, early array<long>"
+    schema = f"id {kind}, hash long, n long, key1 long, key2 long, p0 long, p1 long, p2 long, p3 long, buckets array<long>, wide array<long>, early array<long>"
     sketch = written(docs.mapInArrow(_sketch(k, percent, frequent, rank), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
 
     own, parity = ["key1", "key2", "n"], ["p0", "p1", "p2", "p3"]
     valid = sketch.where("n > 0")
     classes = written(valid.groupBy(*own).agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")), "classes")
-    reps = written(sketch.withColumnRenamed("row", "rep").select("rep", "id", *own, *parity, "buckets").join(classes.select("rep"), "rep"), "sets")
+    reps = written(sketch.withColumnRenamed("row", "rep").select("rep", "id", "hash", *own, *parity, "buckets", "wide").join(classes.select("rep"), "rep"), "sets")
 
     keys = reps.select("rep", F.posexplode("buckets").alias("kind", "key"))
     buckets = written(keys.groupBy("kind", "key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     inside = attach(keys, buckets, ["kind", "key"], "size", F.col("rep")).where("size is not null")
     weight = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
-    inside = written(inside.join(weight, "rep").join(reps.select("rep", "n", *parity), "rep"), "inside")
+    inside = written(inside.join(weight, "rep").join(reps.select("rep", "n", "buckets", *parity), "rep"), "inside")
     def whole_sets(needed: DataFrame) -> DataFrame:
-        asked = reps.join(needed.distinct(), "rep").select("rep", "id", "key1", "key2")
-        texts = asked.join(docs.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("rep", "key1", "key2", "text")
-        return written(texts.mapInArrow(_whole_sets(k), "rep long, grams array<long>").dropDuplicates(["rep"]), "grams")
+        asked = reps.join(needed.distinct(), "rep").select("rep", "id", "hash", "key1", "key2")
+        texts = docs.withColumnRenamed("id", "of").join(asked, F.col("of").eqNullSafe(F.col("id")) & (docs["hash"] == asked["hash"])).select("rep", "key1", "key2", "text")
+        return written(texts.mapInArrow(_whole_sets(k), "rep long, grams array<long>"), "grams")
 
     def with_hub(members: DataFrame, *rank: Column) -> DataFrame:
         """Pairs (a, b) of the members of each bucket with its hub, the one of the highest rank, if their components differ."""
-        facts = ["rep", "component", "n", *parity]
+        facts = ["rep", "component", "n", "buckets", *parity]
         hub = members.groupBy("kind", "key").agg(F.count("*").alias("size"), F.max(F.struct(*rank, *facts)).alias("hub"))
         hub = written(hub.select("kind", "key", "size", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in facts]), "hubs")
-        met = attach(members.drop("size"), hub, ["kind", "key"], "size", F.col("rep")).where((F.col("component") != F.col("h_component")) & _near("", "h_", percent))
+        agree = F.size(F.filter(F.zip_with("buckets", "h_buckets", lambda x, y: x == y), lambda same: same))
+        met = attach(members.drop("size"), hub, ["kind", "key"], "size", F.col("rep")).where((F.col("component") != F.col("h_component")) & (agree >= AGREE) & _near("", "h_", percent))
         return written(met.select(F.col("rep").alias("a"), F.col("h_rep").alias("b")).distinct(), "pairs")
 
     def still_open(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -440,6 +460,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     held = reps.select("rep", "n", *parity).join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = held.join(families.select(F.col("a").alias("rep"), "leader"), "rep", "left").withColumn("leader", F.coalesce("leader", "rep"))
     pairs = _candidates(written(held, "held"), sketch.select(F.col("row").alias("rep"), "early"), percent)
+    pairs = _still_near(pairs, families, reps, percent)
     links = _answers(pairs, families, whole_sets(pairs.select(F.explode(F.array("a", "leader")).alias("rep"))), percent)
 
     component = components(linked.select("a", "b").union(links)).withColumnRenamed("node", "rep")
