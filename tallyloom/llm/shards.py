@@ -69,10 +69,16 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, by: list[str], seed: int =
 
     ``by``: columns that tell rows apart (an id); equal rows are interchangeable, nulls are values. Both passes must
     see the same partitions, as two scans of one table do; the job fails if the sizes don't come out.
-    An empty table gives an empty result. Columns of ``df`` named ``shard`` or ``slot`` are replaced.
+    An empty table gives an empty result. Columns of ``df`` named ``shard`` or ``slot`` are replaced; all others come
+    back as they were, whatever their names.
     """
+    hidden = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    dealt = _dealt(df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]), n_shards, [hidden[c] for c in by], seed)
+    return dealt.select(*[F.col(h).alias(c) for c, h in hidden.items() if c not in ("shard", "slot")], "shard", "slot")
+
+
+def _dealt(df: DataFrame, n_shards: int, by: list[str], seed: int) -> DataFrame:
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
     position = F.monotonically_increasing_id()
     counted = df.select(F.shiftright(position, _POSITION_BITS).alias("part")).groupBy("part").count().collect()
     counts = {r["part"]: r["count"] for r in counted}

@@ -51,6 +51,14 @@ def test_shards_are_exact_and_uniform(docs, empty, spark):
     assert sorted(r["shard"] for r in shards.shuffle_into_shards(odd, 2, ["doc_id"]).collect()) == [0, 0, 1]
 
 
+def test_shards_leave_columns_of_any_name_alone(spark):
+    names = ["doc_id", "_at", "_rank", "_i", "_block", "_part", "_order", "_row", "_start", "_ends", "_in0", "count", "a.b"]
+    df = spark.createDataFrame([(i, *[1000 * k + i for k in range(1, len(names))]) for i in range(60)], ", ".join(f"`{n}` long" for n in names)).repartition(3)
+    got = shards.shuffle_into_shards(df, 4, ["doc_id"])
+    assert got.columns == [*names, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(tuple(r) for r in df.collect())
+
+
 def test_encoder_gives_the_tokenizers_ids(model, docs):
     encode = tokenise.encoder("byte_bpe_50k.json")
     texts = ["", " " * 999 + "x", " \n" * 700, "a" * 5000, " " * 50_000 + "b", "x<|endoftext|>y", "\u3000\u4e2d\u6587 na\u00efve \U0001f600\r\n\t!"]
