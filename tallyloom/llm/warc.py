@@ -46,7 +46,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit = F.col("first").isNotNull() & (F.col("id") != F.col("first")) & (F.octet_length("payload") >= revisit_bytes)
     revisit = F.coalesce(revisit, F.lit(False))
     block = F.concat(F.lit(_HTTP), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    name = lambda c: F.concat(F.lit("<urn:page-id:"), F.coalesce(_line(F.col(c)), F.lit("")), F.lit(">"))
+    name = lambda c: F.concat(F.lit("<urn:page-id:"), F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit("")), F.lit(">"))
     header = F.concat_ws(
         "\r\n", F.concat(F.lit(MAGIC + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         F.concat(F.lit("WARC-Record-ID: "), name("id")), F.lit("WARC-Date: 2000-01-01T00:00:00Z"), F.concat(F.lit("WARC-Target-URI: "), _line(F.col("url"))),
@@ -93,10 +93,16 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return placed.withColumn("next", F.col("offset") + F.col("need") + len(MAGIC)).drop("before", "begun")
 
 
+def _page_id(head: str, name: str) -> Column:
+    """An id as it was before its special characters were percent-encoded."""
+    written_id = _field(head, name, r"<urn:page-id:([^>\r\n]*)>")
+    return F.coalesce(F.try_url_decode(written_id), written_id)
+
+
 def _header_fields(head: str) -> list[Column]:
     return [
-        F.lower(_field(head, "WARC-Type")).alias("record_type"), _field(head, "WARC-Record-ID", r"<urn:page-id:([^>\r\n]*)>").alias("page"),
-        _field(head, "WARC-Refers-To", r"<urn:page-id:([^>\r\n]*)>").alias("refers"), _field(head, "WARC-Target-URI").alias("url")]
+        F.lower(_field(head, "WARC-Type")).alias("record_type"), _page_id(head, "WARC-Record-ID").alias("page"),
+        _page_id(head, "WARC-Refers-To").alias("refers"), _field(head, "WARC-Target-URI").alias("url")]
 
 
 def _payload(block: Column) -> Column:
@@ -183,7 +189,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counts = records.where("refers is not null").groupBy(F.col("refers").alias("page")).agg(F.count("*").alias("copies"))
     sources = records.where("record_type = 'response'").groupBy("page").agg(F.min("payload_bytes").alias("of_bytes"), F.min("sha1").alias("of_sha1"))
     sources = counts.join(sources, "page").withColumnRenamed("page", "refers")
-    full = attach(records, sources, ["refers"], "copies", F.col("page"))
+    revisits = attach(records.where("refers is not null"), written(sources, "sources"), ["refers"], "copies", F.col("page")).drop("copies")
+    full = revisits.unionByName(records.where("refers is null"), allowMissingColumns=True)  # responses meet nothing
     again = F.col("record_type") == "revisit"
     return full.select(
         F.col("page").cast(kind).alias(id_col), F.when(again, F.col("of_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),

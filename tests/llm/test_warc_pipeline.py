@@ -93,6 +93,16 @@ def test_nulls_repeats_and_empty(spark):
 
 # ---- the pipeline --------------------------------------------------------------
 
+def test_text_ids_come_back(spark):
+    ids = ["a>1", "a>2", "50%", "50%25", "two\nlines", "tab\there", "x y+z", "é", "a/b?c=d&e"]
+    rows = [(i, f"http://h/{k}", "same" if k < 4 else f"page {k}") for k, i in enumerate(ids)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string"), revisit_bytes=0).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(ids)
+    first = min(ids[:4])
+    assert {r["page_id"]: r["refers_to"] for r in got} == {i: first if i in ids[:4] and i != first else None for i in ids}
+    assert {r["payload_bytes"] for r in got if r["page_id"] in ids[:4]} == {4}
+
+
 def test_queries_match_their_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
