@@ -129,6 +129,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: s
     """Those of the ``pairs`` (a, b) whose full shingle sets are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
     hubs = pairs.groupBy("b").count().select("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / HUB_SHARE))).alias("share"), "count")
+    hubs = written(hubs, "hubs")
     shares = hubs.select("b", F.col("share").cast("long").alias("share"))
     counts = hubs.where("share = 0").select("b", "count")
     spread = F.pmod(F.xxhash64("a"), F.floor((F.col("count") - 1) / HUB_SHARE) + 1).cast("long")
@@ -170,7 +171,7 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     kind = open_.schema["rep"].dataType.simpleString()
     rows = texts.join(open_.select(F.col("rep").alias("id")), "id").mapInArrow(_sets(k), f"rep {kind}, shingles array<long>")
     each = written(rows.select("rep", F.explode("shingles").alias("shingle")).distinct(), "shingles")
-    shared = each.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
+    shared = written(each.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1"), "shared")
     known = attach(each, shared, ["shingle"], "documents", F.col("rep")).where("documents is not null")
     own = Window.partitionBy("rep")
     ranked = known.join(open_, "rep").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("documents", "shingle")) - 1)
@@ -178,7 +179,7 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
     per = early.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     main = per.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
-    main = main.select("shingle", F.col("top.component").alias("main"), "size")
+    main = written(main.select("shingle", F.col("top.component").alias("main"), "size"), "main")
     listed = attach(early.drop("documents"), main, ["shingle"], "size", F.col("rep")).where("size is not null")
     blocks = F.floor((F.col("size") - 1) / HUB_SHARE)
     right = listed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks + 1).cast("long"))
@@ -215,20 +216,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = written(docs.mapInArrow(_sketch(k), f"id {kind}, n long, key1 long, key2 long, bands array<long>, bits1 long, bits2 long"), "sketches")
     own = ["key1", "key2", "n"]
     valid = sketch.where("key1 is not null and id is not null")
-    classes = valid.groupBy(*own).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = written(attach(valid.select("id", *own), classes, own, "copies", F.col("id")).select("id", "rep"), "classes")
-
-    reps = sketch.join(member.where("id = rep").select("id").distinct(), "id")
-    keys = reps.select(F.col("id").alias("rep"), "n", "bits1", "bits2", F.explode("bands").alias("key")).distinct()
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = written(attach(keys, buckets, ["key"], "size", F.col("rep")).where("size is not null"), "buckets")
-    live = written(live.join(live.groupBy("rep").agg(F.sum("size").alias("weight")), "rep"), "buckets")
+    classes = written(valid.groupBy(*own).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    member = written(attach(valid.select("id", *own), classes, own, "copies", F.col("id")).select("id", "rep"), "members")
+
+    reps = sketch.join(member.where("id = rep").select("id").distinct(), "id").select(F.col("id").alias("rep"), "n", "bits1", "bits2", "bands").distinct()
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met = attach(keys, buckets, ["key"], "size", F.col("rep")).where("size is not null").distinct()
+    met = written(met, "met")  # of all keys only those that documents share go on, and only now with what is known of the documents
+    weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    live = written(met.join(weight, "rep").join(reps.drop("bands"), "rep").select("rep", "n", "bits1", "bits2", "key", "size", "weight"), "live")
     texts = written(docs.join(live.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
 
     def with_hub(open_: DataFrame, *rank) -> DataFrame:
         """Pairs of each open bucket's members with its hub, the one of the highest rank."""
         hub = open_.groupBy("key").agg(F.max(F.struct(*rank, "rep", "n", "bits1", "bits2")).alias("hub"), F.count("*").alias("size"))
-        hub = hub.select("key", "size", F.col("hub.rep").alias("h_rep"), *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", "bits1", "bits2")])
+        hub = written(hub.select("key", "size", F.col("hub.rep").alias("h_rep"), *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", "bits1", "bits2")]), "hubs")
         joined = attach(open_.drop("size"), hub, ["key"], "size", F.col("rep"))
         return joined.where((F.col("rep") != F.col("h_rep")) & _likely("", "h_", percent))
 
@@ -241,6 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Members, with components, of the buckets that hold several of them."""
         joined = live.join(components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+        several = written(several, "several")
         return written(attach(joined.drop("size"), several, ["key"], "size", F.col("rep")).where("size is not null").drop("low", "high"), "open")
 
     open_ = still_open(edges[0])
@@ -262,6 +266,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """Rows of ``df`` but those whose component has a smaller id."""
-    gone = near_duplicates(df, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """Rows of ``df`` but those whose component has a smaller id, with its columns, whatever their names.
+
+    Rows with one id stay or go together, rows without id stay. Null and empty texts are near to nothing, so they stay.
+    An empty table gives an empty result.
+    """
+    hidden = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    plain = df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    key = hidden[id_col]
+    gone = near_duplicates(plain, key, hidden[text_col], k, percent).where("not kept").select(key).distinct()
+    return plain.join(gone, key, "left_anti").select(*[F.col(h).alias(c) for c, h in hidden.items()])

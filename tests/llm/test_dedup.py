@@ -114,6 +114,18 @@ def test_near_with_nul_bytes(spark):
     assert {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_copies_go_whatever_the_columns_are_named(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 5, "a"), (2, text + " eleven", 6, "b"), (3, None, 7, "c"), (None, text, 8, "d"), (4, "other words", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_gone` long, n string").withColumnRenamed("n", "key1")
+    left = neardup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["_gone"], r["key1"]) for r in left.collect()) == [(0, 8, "d"), (1, 5, "a"), (3, 7, "c"), (4, None, None)]
+    odd = spark.createDataFrame(rows, "rep long, component string, kept long, id string")
+    assert neardup.drop_near_duplicates(odd, "rep", "component").count() == 4
+    assert neardup.drop_near_duplicates(df.where("1 = 0")).count() == 0
+
+
 def test_super_minhash_is_unbiased_and_a_permutation():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)
