@@ -73,9 +73,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 9) for r in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize(("segment", "cells"), [(256, 1 << 18), (3, 40), (1, 16), (50, 700)])
+@pytest.mark.parametrize(("segment", "cells"), [(256, 1 << 18), (192, 40), (64, 16), (50, 700)])
 def test_against_plain_trie(spark, rows, monkeypatch, segment, cells):
-    monkeypatch.setattr(trie, "SEGMENT", segment if segment > 3 else 64 * segment)
+    monkeypatch.setattr(trie, "SEGMENT", segment)
     monkeypatch.setattr(trie, "SHARD_CELLS", cells)
     monkeypatch.setattr(trie, "CHUNK", 100)
     own, lent = rebuilt(rows)
@@ -97,7 +97,7 @@ def test_segments_of_few_turns(spark, monkeypatch, segment):
 
 
 def test_empty_and_bare(spark):
-    empty = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
     assert nodes(empty, shared_heads=True) == []
     assert nodes(spark.createDataFrame([(None, 1, "a", "b", "", 1)], SCHEMA)) == []
     bare = [c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6 >= 2][:5]
