@@ -4,6 +4,9 @@ All candidate pairs of all tables are measured together: the candidate
 columns are unpivoted to value digests and counted per value and column; then
 each value lists the columns that hold it, at most all of them, and only the
 candidate pairs in its list are counted. Values are never paired with each other.
+
+Before that, one sketch per column tells which pairs can qualify at all; only
+the columns of those are shuffled.
 """
 
 from __future__ import annotations
@@ -16,12 +19,19 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fixed
 from tallyloom.functions.scalars import col, constant_rows, kind, kinds, name_similarity, row_digest, share
-from tallyloom.operators.profile import distinct_counts
+from tallyloom.operators.profile import per_column
 
 Candidate = tuple[str, str, str, str]  # source table, target table, source column, target column
 
 _NUMBER = ("integer", "decimal")
 
+#: Values per column sketch (as a power of two).
+LOG_VALUES = 12
+#: What sketched numbers of values may be off by: over five standard deviations.
+MARGIN = 0.1
+#: A pair that qualifies is taken for one that cannot with a chance below e to the power of minus this.
+SURE = 30
+
 
 def _comparable(df: DataFrame, name: str) -> Column:
     """Text form in which equal values of one kind are equal: 1 and 1.0 agree, 1 and '1' do not."""
@@ -34,6 +44,81 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.concat(F.lit("number:" if k in _NUMBER else f"{k}:"), text)
 
 
+def column_sketches(tables: Mapping[str, DataFrame], ends: Iterable[tuple[str, str]]) -> DataFrame:
+    """(table, column, rows, nulls, sketch, low, high) per named column, in one scan per table and without a shuffle of rows.
+
+    ``sketch`` is a theta sketch of the values as they are compared, ``low`` and ``high`` are the bounds of numbers.
+    """
+    ends = set(ends)
+    parts = []
+    for table, df in tables.items():
+        mine = [c for c in df.columns if (table, c) in ends]
+        if mine:
+            numbers = {c for c in mine if kind(df.schema[c].dataType) in _NUMBER}
+
+            def bound(function, c, numbers=numbers):
+                return function(col(c).cast("double") if c in numbers else F.lit(None).cast("double"))
+
+            parts.append(per_column(df, mine, {
+                "rows": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(col(c).isNull()),
+                "sketch": lambda c, df=df: F.theta_sketch_agg(F.when(col(c).isNotNull(), F.xxhash64(_comparable(df, c))), LOG_VALUES),
+                "low": lambda c, bound=bound: bound(F.min, c), "high": lambda c, bound=bound: bound(F.max, c),
+            }).withColumn("table", F.lit(table)))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _cannot_qualify(least: float, inside: bool) -> Column:
+    """Whether the sketches of columns ``x`` and ``y`` rule their pair out.
+
+    ``inside``: all values of y have to be in x. A value of y among the smallest digests of both that x lacks
+    proves the contrary. Otherwise a value in common is wanted, or ``least`` of the smaller side's values. Up to the
+    size of the sketches these are exact; beyond, the sample has to make it all but impossible.
+    """
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    if inside:
+        outside = (F.col("y.low") < F.col("x.low")) | (F.col("y.high") > F.col("x.high"))
+        return F.coalesce(outside, F.lit(False)) | (F.theta_sketch_estimate(F.theta_difference(y, x)) > 0)
+    apart = F.coalesce((F.col("y.low") > F.col("x.high")) | (F.col("y.high") < F.col("x.low")), F.lit(False))
+    in_x, in_y, both = (F.theta_sketch_estimate(s) for s in (x, y, F.theta_intersection(x, y)))
+    small, large = F.least(in_x, in_y), F.greatest(in_x, in_y)
+    whole = large < 2 ** LOG_VALUES
+    if not least:
+        return apart | (whole & (both == 0))
+    wanted = small * (least * (1 - MARGIN))
+    part = share(both, wanted)
+    sampled = share(wanted * 2 ** LOG_VALUES, large * (1 + MARGIN))
+    # The chance that a sample of Poisson's kind has only this part of its mean (Chernoff).
+    doubt = sampled * (1 - part + F.when(part > 0, part * F.ln(part)).otherwise(0))
+    return apart | (small == 0) | F.coalesce((part < 1) & (whole | (doubt > SURE)), F.lit(False))
+
+
+def possible_candidates(
+    tables: Mapping[str, DataFrame], candidates: Iterable[Candidate], least: float = 0.0, inside: bool = False,
+) -> list[Candidate]:
+    """The candidates that can qualify, by one sketch per column: any value in common, or ``least`` of the values of one side.
+
+    With ``inside`` all values of the target column have to be in the source column. Columns of different kinds share
+    nothing. Nothing that qualifies is left out, but for a chance of e to the power of minus ``SURE`` where columns of
+    more values than a sketch holds share just ``least`` of them.
+    """
+    def comparable(end):
+        k = kind(tables[end[0]].schema[end[1]].dataType)
+        return "number" if k in _NUMBER else k
+
+    candidates = [c for c in candidates if inside or comparable((c[0], c[2])) == comparable((c[1], c[3]))]
+    if not candidates:
+        return []
+    sketches = column_sketches(tables, {e for s, t, a, b in candidates for e in ((s, a), (t, b))})
+    pairs = constant_rows(sketches.sparkSession, [(i, *c) for i, c in enumerate(candidates)], "i int, s string, t string, a string, b string")
+    met = (
+        pairs.join(sketches.alias("x"), (F.col("s") == F.col("x.table")) & (F.col("a") == F.col("x.column")))
+        .join(sketches.alias("y"), (F.col("t") == F.col("y.table")) & (F.col("b") == F.col("y.column"))))
+    return [candidates[r["i"]] for r in met.where(~_cannot_qualify(least, inside)).select("i").orderBy("i").collect()]
+
+
 def measure_candidates(tables: Mapping[str, DataFrame], candidates: Iterable[Candidate]) -> DataFrame:
     """One row per candidate pair with rows, distinct, common and included counts.
 
@@ -148,7 +233,7 @@ def join_candidates(tables: Mapping[str, DataFrame]) -> list[Candidate]:
 
 
 def detect_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
-    candidates = join_candidates(tables)
+    candidates = possible_candidates(tables, join_candidates(tables), fixed.MIN_OVERLAP)
     if not candidates:
         return _empty(tables)
     return _with_relationships(measure_candidates(tables, candidates)).select(
@@ -178,11 +263,11 @@ def obvious_candidates(a: DataFrame, b: DataFrame) -> list[tuple[str, str]]:
 
 def key_relationships(tables: Mapping[str, DataFrame], max_pairs: int | None = None, columns_per_pair: int | None = None) -> DataFrame:
     """Only confident relationships of the obvious candidates of all table pairs, or of as many as named."""
-    candidates = [
+    candidates = possible_candidates(tables, [
         (s, t, x, y)
         for s, t in list(combinations(tables, 2))[:max_pairs]
         for x, y in obvious_candidates(tables[s], tables[t])[:columns_per_pair]
-    ]
+    ], fixed.MIN_OVERLAP)
     if not candidates:
         return _empty(tables)
     return _with_relationships(measure_candidates(tables, candidates)).where(
@@ -197,6 +282,8 @@ def shared_column_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
         for s, t in combinations(tables, 2) for c in tables[s].columns
         if c in tables[t].columns and c.lower() not in fixed.GENERIC_COLUMN_NAMES
     ]
+    by_name = [c for c in candidates if c[2].lower().endswith("_id")]
+    candidates = by_name + possible_candidates(tables, [c for c in candidates if c not in by_name])
     if not candidates:
         return _empty(tables)
     included = share(F.col("source_rows_found"), F.col("source_rows")) > 0.5
@@ -219,6 +306,7 @@ def id_column_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
         for y in tables[t].columns
         if x == y or (y.lower().endswith("_id") and x.replace("_id", "") in y.lower())
     ]
+    candidates = possible_candidates(tables, candidates)
     if not candidates:
         return _empty(tables)
     return measure_candidates(tables, candidates).where("common > 0").select(
@@ -227,12 +315,20 @@ def id_column_relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def foreign_keys_within(df: DataFrame) -> DataFrame:
-    """Columns of one table whose values all occur in a near-unique column of it."""
+    """Columns of one table whose values all occur in a near-unique column of it.
+
+    One scan of sketches finds the near-unique columns and the columns that may lie in them, so that only those are
+    counted. A column of NULLs alone lies in every key.
+    """
     tables = {"t": df}
-    # The near-unique columns come first, so that the pairs stay few in wide tables.
-    unique = distinct_counts(df, df.columns).where(F.col("unique_count") > fixed.UNIQUE_RATIO * df.count())
-    keys = [r["column"] for r in unique.collect()]
-    candidates = [("t", "t", x, y) for x in keys for y in df.columns if x != y]
+    sketches = column_sketches(tables, {("t", c) for c in df.columns})
+    near = (
+        (F.theta_sketch_estimate("sketch") > fixed.UNIQUE_RATIO * (1 - MARGIN) * F.col("rows"))
+        & (share(F.col("nulls"), F.col("rows")) < 0.01))
+    keys = sketches.where(near).alias("x")
+    met = keys.join(sketches.alias("y"), (F.col("x.table") == F.col("y.table")) & (F.col("x.column") != F.col("y.column")))
+    found = met.where(~_cannot_qualify(0, inside=True)).select(F.col("x.column").alias("key"), F.col("y.column").alias("other"))
+    candidates = [("t", "t", *r) for r in sorted(found.collect())]  # pairs of columns
     if not candidates:
         return _empty(tables, "primary_key string, foreign_key string, confidence double")
     measured = measure_candidates(tables, candidates)
