@@ -88,16 +88,58 @@ _WIDER = {frozenset(["INTEGER", "DECIMAL"]): "DECIMAL"}
 _SPARK_TYPE = {"INTEGER": "bigint", "DECIMAL": "double", "TEXT": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
 
 
-def unify_schema(tables: Mapping[str, DataFrame], confidence: float = 0.9) -> DataFrame:
-    """Column mapping of every table into one schema, with the widest type per target."""
+#: Numbers as a text column holds them; codes with leading zeros are none.
+_WHOLE = r"^\s*[+-]?(0|[1-9][0-9]*)\s*$"
+_NUMBER = r"^\s*[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def value_types(df: DataFrame) -> dict[str, str | None]:
+    """SQL type per column, of text columns by all their values; None for a text column without any.
+
+    A text column is INTEGER if every value is a whole number of 64 bits, DECIMAL if every value is a number, else
+    TEXT. Codes with leading zeros and whole numbers beyond 64 bits stay TEXT, so that no digit is lost. One scan for
+    all columns of the table.
+    """
+    types: dict[str, str | None] = dict(sql_types(df))
+    text = text_columns(df)
+    if not text:
+        return types
+
+    def whole(c):
+        return col(c).rlike(_WHOLE)
+
+    def fits(c):
+        return col(c).try_cast("bigint").isNotNull()
+
+    facts = per_column(df, text, {
+        "values": lambda c: F.count(col(c)),
+        "integers": lambda c: F.count_if(whole(c) & fits(c)),
+        "numbers": lambda c: F.count_if(col(c).rlike(_NUMBER) & (~whole(c) | fits(c))),
+    })
+    for r in facts.collect():  # one row per column
+        if not r["values"]:
+            types[r["column"]] = None
+        elif r["integers"] == r["values"]:
+            types[r["column"]] = "INTEGER"
+        elif r["numbers"] == r["values"]:
+            types[r["column"]] = "DECIMAL"
+    return types
+
+
+def unify_schema(tables: Mapping[str, DataFrame], confidence: float = 0.9, unknown: float = 0.7) -> DataFrame:
+    """Column mapping of every table into one schema, with the widest type per target.
+
+    Types of text columns come from their values. A text column without values is TEXT, with confidence ``unknown``,
+    and has no say in the type of its target unless all its sources are such.
+    """
     spark = next(iter(tables.values())).sparkSession
     rows = [
-        (source, i, c, normal_name(c), t, confidence)
-        for source, df in tables.items() for i, (c, t) in enumerate(sql_types(df).items())
+        (source, i, c, normal_name(c), t or "TEXT", confidence if t else unknown, t is not None)
+        for source, df in tables.items() for i, (c, t) in enumerate(value_types(df).items())
     ]
     mapping = constant_rows(spark, rows, "source_file string, position int, source_column string, target_column string, "
-              "data_type string, confidence double")
-    found = F.sort_array(F.collect_set("data_type"))
+              "data_type string, confidence double, known boolean")
+    found = F.sort_array(F.collect_set(F.when(F.col("known"), F.col("data_type"))))
     widest = mapping.groupBy("target_column").agg(found.alias("types"))
     unified = F.when(F.size("types") == 1, F.col("types")[0])
     for pair, wider in _WIDER.items():

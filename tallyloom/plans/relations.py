@@ -210,6 +210,61 @@ def type_conflicts(spark, sf):
     return schema.type_conflicts(schema.unify_schema(_unify_inputs(spark, sf)))
 
 
+# The same tables as untyped files would give them: all texts, and a column that is never filled.
+_UNTYPED = {
+    "customer": ("customer", {"Id": "c_custkey", "Full Name": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment", "note": "NULL"}),
+    "supplier": ("supplier", {"id": "s_suppkey", "full_name": "s_name", "balance": "CAST(trunc(s_acctbal) AS bigint)", "code": "substr(s_name, 10)"}),
+    "part": ("part", {"id": "p_name", "segment": "p_size", "note": "p_brand"}),
+}
+
+
+def _untyped(spark, sf):
+    return {
+        name: table(spark, sf, source).selectExpr(*[
+            f"CAST({e.replace('CAST(trunc(s_acctbal) AS bigint)', 'CAST(s_acctbal AS bigint)')} AS string) AS `{c}`" for c, e in columns.items()])
+        for name, (source, columns) in _UNTYPED.items()}
+
+
+def _untyped_row(name, source, position, column, expression):
+    whole, number = r"^\s*[+-]?(0|[1-9][0-9]*)\s*$", r"^\s*[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    return f"""SELECT '{name}' AS source_file, '{column}' AS source_column, '{column.lower().replace(' ', '_')}' AS target_column,
+  {position} AS position, count(v) > 0 AS known, CASE WHEN count(v) > 0 THEN 0.9 ELSE 0.7 END::double AS confidence,
+  CASE WHEN bool_and(regexp_matches(v, '{whole}') AND try_cast(v AS bigint) IS NOT NULL) THEN 'INTEGER'
+    WHEN bool_and(regexp_matches(v, '{number}') AND (NOT regexp_matches(v, '{whole}') OR try_cast(v AS bigint) IS NOT NULL)) THEN 'DECIMAL'
+    ELSE 'TEXT' END AS data_type
+  FROM (SELECT CAST({expression} AS varchar) AS v FROM {source})"""
+
+
+_UNTYPED_SQL = "m AS (" + union_sql([
+    _untyped_row(name, source, i, c, e) for name, (source, columns) in _UNTYPED.items() for i, (c, e) in enumerate(columns.items())]) + """),
+u AS (SELECT target_column, list_sort(list(DISTINCT data_type) FILTER (known)) AS types FROM m GROUP BY 1)"""
+
+
+@query("unify_schema_by_values", f"""
+WITH {_UNTYPED_SQL}
+SELECT source_file, source_column, m.target_column, data_type, position, confidence,
+  CASE WHEN len(types) = 1 THEN types[1] WHEN types = ['DECIMAL', 'INTEGER'] THEN 'DECIMAL' ELSE 'TEXT' END AS unified_type
+FROM m JOIN u ON u.target_column = m.target_column""")
+def unify_schema_by_values(spark, sf):
+    return schema.unify_schema(_untyped(spark, sf))
+
+
+@query("type_conflicts_by_values", f"""
+WITH {_UNTYPED_SQL}
+SELECT target_column, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS conflicting_types,
+  string_agg(source_file || '.' || source_column, ',' ORDER BY source_file || '.' || source_column) AS sources
+FROM m GROUP BY 1 HAVING count(DISTINCT data_type) > 1""")
+def type_conflicts_by_values(spark, sf):
+    return schema.type_conflicts(schema.unify_schema(_untyped(spark, sf)))
+
+
+@query("mapping_confidence", f"""
+WITH {_UNTYPED_SQL}
+SELECT count(*) AS total_mappings, count(*) FILTER (confidence >= 0.8) AS high_confidence, count(*) FILTER (confidence < 0.8) AS low_confidence FROM m""")
+def mapping_confidence(spark, sf):
+    return schema.mapping_confidence(schema.unify_schema(_untyped(spark, sf)))
+
+
 _MIGRATED = """
   SELECT CAST(c_custkey AS varchar) AS id, c_name AS full_name, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS source_file FROM customer
   UNION ALL SELECT CAST(s_suppkey AS varchar), s_name, CAST(CAST(trunc(s_acctbal) AS bigint) AS double), NULL, 'supplier' FROM supplier
