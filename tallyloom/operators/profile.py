@@ -19,6 +19,7 @@ from tallyloom.functions.scalars import (
     col, columns_of, constant_rows, hashable, kinds, numeric_columns, row_digest, share, text_columns,
     value_digest,
 )
+from tallyloom.operators.gram import correlations
 from tallyloom.operators.quantiles import ACCURACY, exact_quantiles, placed_quantiles, rank_measures, with_points
 
 # Aggregates per pass; beyond this a wide table takes several passes.
@@ -455,15 +456,28 @@ def outlier_rows(df: DataFrame, column: str, accuracy: int = ACCURACY) -> DataFr
 
 
 def correlation_matrix(df: DataFrame, threshold: float = 0.0, columns: Iterable[str] | None = None) -> DataFrame:
-    """Pearson correlation of all numeric pairs; NULL under the threshold.
+    """Pearson correlation of all numeric pairs; NULL under the threshold and where a column is constant or not finite.
 
-    All pairs are one aggregate, so the number of columns is what costs; very
-    wide tables take several passes.
+    The pairs of up to 16 columns are one aggregate of one scan. Wider tables go by blocks of columns
+    (``gram``): two scans for up to 2,000 columns.
     """
-    pairs = list(combinations(columns or numeric_columns(df), 2))
+    columns = list(columns or numeric_columns(df))
+    if len(columns) * (len(columns) - 1) // 2 > WIDE_LIMIT // 5:  # five aggregates a pair
+        r = F.round("r", 6)
+        return correlations(df, columns).select("column_a", "column_b", F.when(F.abs(r) >= threshold, r).alias("correlation"))
+    pairs = list(combinations(columns, 2))
     by_pair = {f"{i}": p for i, p in enumerate(pairs)}
-    measured = per_column(df, list(by_pair), {"r": lambda i: F.corr(
-        *[F.when(col(by_pair[i][0]).isNotNull() & col(by_pair[i][1]).isNotNull(), col(c).cast("double")) for c in by_pair[i]])})
+
+    def known(i):
+        x, y = by_pair[i]
+        return [F.when(col(x).isNotNull() & col(y).isNotNull(), col(c).cast("double")) for c in (x, y)]
+
+    def r_of(i):  # corr itself divides by 0 for a constant column, or by what rounding leaves of it
+        x, y = known(i)
+        varies = [F.stddev_pop(v) > F.abs(F.avg(v)) * 1e-13 for v in (x, y)]
+        return F.when(varies[0] & varies[1], F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    measured = per_column(df, list(by_pair), {"r": r_of})
     names = constant_rows(df.sparkSession, [(i, a, b) for i, (a, b) in by_pair.items()], "column string, column_a string, column_b string")
     r = F.when(~F.isnan("r"), F.round("r", 6))
     return measured.join(names, "column").select(

@@ -226,6 +226,20 @@ def correlation_matrix(spark, sf):
     return profile.correlation_matrix(lines(spark, sf).select(*_NUMERIC), threshold=0.001)
 
 
+# Forty columns of whole numbers, a seventh of each NULL.
+_WIDE = {
+    f"x{i}": f"CASE WHEN l_linenumber % 7 <> {i % 7} THEN (l_orderkey * {2 * i + 1} + l_partkey * {i % 5} + l_linenumber) % {11 + i} END" for i in range(40)}
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1:]]
+
+
+@query("correlation_matrix_wide", "WITH t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + """ FROM lineitem),
+w AS (SELECT [""" + ",\n".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for a, b in _WIDE_PAIRS) + """] AS pairs FROM t),
+p AS (SELECT unnest(pairs) AS p FROM w)
+SELECT p.a AS column_a, p.b AS column_b, CASE WHEN NOT isnan(p.r) THEN round(p.r, 6) END AS correlation FROM p""")
+def correlation_matrix_wide(spark, sf):
+    return profile.correlation_matrix(table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()]))
+
+
 _CHARGES = "SELECT l_quantity, l_extendedprice, l_extendedprice * (1 + l_tax) AS charge, l_quantity * -2 AS taken, l_linenumber, l_orderkey FROM lineitem"
 
 
