@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +24,8 @@ HEAD_LINES = 200
 SAMPLE_CHARS = 10_240
 HEADER_ROWS = 10
 SEPARATORS = ",;\t|"
+#: Part of the lines that must have the same number of cells.
+LEAST_CONSTANT = 0.3
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,13 +68,36 @@ def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return heads.unionByName(read.select("path", F.coalesce("head", F.lit(bytearray())).alias("head"), F.lit(None).cast("string").alias("error")))
 
 
-def sniff_dialect(sample: str) -> tuple[str, str]:
-    """(separator, quote) of the sample; comma and double quote if undecided."""
+def _widths(sample: str, sep: str, quote: str) -> list[int]:
+    """Cells per filled line under a dialect."""
     try:
-        dialect = csv.Sniffer().sniff(sample, delimiters=SEPARATORS)
-        return dialect.delimiter, dialect.quotechar or '"'
+        return [len(row) for row in csv.reader(io.StringIO(sample), delimiter=sep, quotechar=quote) if any(c.strip() for c in row)]
     except csv.Error:
-        return ",", '"'
+        return []
+
+
+def _quoted_cells(sample: str, quote: str) -> int:
+    """Cells that start and end with the quote."""
+    edge = f"[{re.escape(SEPARATORS)}\\n]"
+    return len(re.findall(f"(?:^|(?<={edge})){quote}[^{quote}]*{quote}(?=$|\\r|{edge})", sample))
+
+
+def sniff_dialect(sample: str) -> tuple[str, str]:
+    """(separator, quote) of the sample; comma and double quote if undecided.
+
+    The quote is the one around more cells. Under each separator the lines are cut to cells; the one counts that gives
+    the same number of cells, two or more, in the largest part of the lines, of equal ones that with more cells.
+    Undecided is what does so in less than ``LEAST_CONSTANT`` of the lines.
+    """
+    quote = "'" if _quoted_cells(sample, "'") > _quoted_cells(sample, '"') else '"'
+    best = (LEAST_CONSTANT, 0, ",")
+    for sep in SEPARATORS:
+        widths = _widths(sample, sep, quote)
+        several = Counter(w for w in widths if w > 1)
+        if several:
+            width, lines = max(several.items(), key=lambda found: (found[1], found[0]))
+            best = max(best, (lines / len(widths), width, sep), key=lambda found: found[:2])
+    return best[2], quote
 
 
 def looks_textual(cell: str) -> bool:

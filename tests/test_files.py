@@ -75,6 +75,10 @@ def test_bad_rows(spark, tmp_path, rows):
 
 @pytest.mark.parametrize("text, expected", [
     ("a;b;c\n1;2;3\n4;5;6\n", (";", '"')), ("a\tb\n1\t2\n3\t4\n", ("\t", '"')), ("just words\nmore words here\n", (",", '"')),
+    ("a;b;c\n1,5;2,5;3,5\n4,5;5,5;6,5\n7,5;8,5;9,5\n", (";", '"')),  # decimal commas
+    ("Report; of May\n\nk,name,v\n1,a;b,2\n2,c;d,3\n3,\"e;f, g\",4\n", (",", '"')),
+    ("k|'a, b, c'|1\nl|'d, e'|2\n'm'|f|3\n", ("|", "'")), ("it's;1\nthat's;2\n", (";", '"')),
+    ("k,v\n1,\"two\nlines; and more\"\n2,x\n", (",", '"')), ("", (",", '"')), ("some words; here\n" + "and none\n" * 9, (",", '"')),
 ])
 def test_dialects(text, expected):
     assert probe.sniff_dialect(text) == expected
