@@ -126,16 +126,16 @@ def value_types(df: DataFrame) -> dict[str, str | None]:
     return types
 
 
-def unify_schema(tables: Mapping[str, DataFrame], confidence: float = 0.9, unknown: float = 0.7) -> DataFrame:
+def unify_schema(tables: Mapping[str, DataFrame], confidence: float = 0.9, unknown: float = 0.7, by_values: bool = False) -> DataFrame:
     """Column mapping of every table into one schema, with the widest type per target.
 
-    Types of text columns come from their values. A text column without values is TEXT, with confidence ``unknown``,
-    and has no say in the type of its target unless all its sources are such.
+    With ``by_values`` types of text columns come from their values. Then a text column without values is TEXT, with confidence ``unknown``,
+    and has no say in the type of its target unless all its sources are such. Otherwise declared types count.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (source, i, c, normal_name(c), t or "TEXT", confidence if t else unknown, t is not None)
-        for source, df in tables.items() for i, (c, t) in enumerate(value_types(df).items())
+        for source, df in tables.items() for i, (c, t) in enumerate((value_types(df) if by_values else sql_types(df)).items())
     ]
     mapping = constant_rows(spark, rows, "source_file string, position int, source_column string, target_column string, "
               "data_type string, confidence double, known boolean")
@@ -190,7 +190,7 @@ def create_table_sql(table: str, columns: Mapping[str, str], primary_keys: Itera
 def migrate(tables: Mapping[str, DataFrame], mapping: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(all rows under the unified schema with ``source_file``, report).
 
-    The report has one row per source with its row count and one row per
+    Without a mapping the declared types are unified. The report has one row per source with its row count and one row per
     target column with NULLs. A source that cannot be mapped is listed with
     status ``failed`` and its reason.
     """

@@ -198,7 +198,7 @@ WITH {_MAPPING_SQL}
 SELECT source_file, source_column, target_column, data_type, position, 0.9::double AS confidence,
   CASE target_column WHEN 'balance' THEN 'DECIMAL' ELSE 'TEXT' END AS unified_type FROM m""")
 def unify_schema(spark, sf):
-    return schema.unify_schema(_unify_inputs(spark, sf))
+    return schema.unify_schema(_unify_inputs(spark, sf), by_values=True)
 
 
 @query("type_conflicts", f"""
@@ -207,7 +207,7 @@ SELECT target_column, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS
   string_agg(source_file || '.' || source_column, ',' ORDER BY source_file || '.' || source_column) AS sources
 FROM m GROUP BY 1 HAVING count(DISTINCT data_type) > 1""")
 def type_conflicts(spark, sf):
-    return schema.type_conflicts(schema.unify_schema(_unify_inputs(spark, sf)))
+    return schema.type_conflicts(schema.unify_schema(_unify_inputs(spark, sf), by_values=True))
 
 
 # The same tables as untyped files would give them: all texts, and a column that is never filled.
@@ -246,7 +246,7 @@ SELECT source_file, source_column, m.target_column, data_type, position, confide
   CASE WHEN len(types) = 1 THEN types[1] WHEN types = ['DECIMAL', 'INTEGER'] THEN 'DECIMAL' ELSE 'TEXT' END AS unified_type
 FROM m JOIN u ON u.target_column = m.target_column""")
 def unify_schema_by_values(spark, sf):
-    return schema.unify_schema(_untyped(spark, sf))
+    return schema.unify_schema(_untyped(spark, sf), by_values=True)
 
 
 @query("type_conflicts_by_values", f"""
@@ -255,14 +255,14 @@ SELECT target_column, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS
   string_agg(source_file || '.' || source_column, ',' ORDER BY source_file || '.' || source_column) AS sources
 FROM m GROUP BY 1 HAVING count(DISTINCT data_type) > 1""")
 def type_conflicts_by_values(spark, sf):
-    return schema.type_conflicts(schema.unify_schema(_untyped(spark, sf)))
+    return schema.type_conflicts(schema.unify_schema(_untyped(spark, sf), by_values=True))
 
 
 @query("mapping_confidence", f"""
 WITH {_UNTYPED_SQL}
 SELECT count(*) AS total_mappings, count(*) FILTER (confidence >= 0.8) AS high_confidence, count(*) FILTER (confidence < 0.8) AS low_confidence FROM m""")
 def mapping_confidence(spark, sf):
-    return schema.mapping_confidence(schema.unify_schema(_untyped(spark, sf)))
+    return schema.mapping_confidence(schema.unify_schema(_untyped(spark, sf), by_values=True))
 
 
 _MIGRATED = """

@@ -22,9 +22,9 @@ def test_one_late_value_decides(spark):
 def test_texts_are_migrated_as_what_they_hold(spark, rows):
     a = spark.createDataFrame([("1", "2.5", None), ("2", None, None)], "id string, Amount string, note string")
     b = spark.createDataFrame([(3, 4, 7)], "id int, amount int, note int")
-    mapping = {(r["source_file"], r["target_column"]): r for r in schema.unify_schema({"a": a, "b": b}).collect()}
+    mapping = {(r["source_file"], r["target_column"]): r for r in schema.unify_schema({"a": a, "b": b}, by_values=True).collect()}
     assert {k: r["unified_type"] for k, r in mapping.items() if k[0] == "a"} == {("a", "id"): "INTEGER", ("a", "amount"): "DECIMAL", ("a", "note"): "INTEGER"}
     assert mapping["a", "note"]["confidence"] == 0.7 and mapping["b", "note"]["confidence"] == 0.9
-    moved, _ = schema.migrate({"a": a, "b": b})
+    moved, _ = schema.migrate({"a": a, "b": b}, schema.unify_schema({"a": a, "b": b}, by_values=True))
     assert rows(moved, "id", "amount", "note", "source_file") == [(1, 2.5, None, "a"), (2, None, None, "a"), (3, 4.0, 7, "b")]
-    assert schema.mapping_confidence(schema.unify_schema({"a": a, "b": b})).first() == (6, 5, 1)
+    assert schema.mapping_confidence(schema.unify_schema({"a": a, "b": b}, by_values=True)).first() == (6, 5, 1)
