@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,30 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of bytecode from which on the JVM leaves a method uncompiled.
+COMPILED_METHOD = 8000
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Actions inside run no generated method that is too long for the JVM's compiler.
+
+    Spark puts all expressions of a projection into one method of the stage. That of 40 expressions is interpreted, some
+    20 times slower; above this limit Spark splits it. A lower limit of the session stays.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    if before is None or int(before) > COMPILED_METHOD:
+        spark.conf.set(name, str(COMPILED_METHOD))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@
 import pytest
 
 from tallyloom.operators import gram, profile
+from tallyloom.session import compiled_methods
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,40 @@ def test_two_scans_at_any_width(spark):
 
     got = by_pair(profile.correlation_matrix(df.mapInPandas(run, df.schema)))
     assert len(got) == 120 * 119 // 2 and scans.value == 2 * 600
+
+
+def test_wide_expressions_run_as_compiled_methods(spark, monkeypatch):
+    """The expressions of 40 columns make one method of over 8,000 bytes, which the JVM interprets, unless a limit splits it."""
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    df = spark.range(2000).selectExpr(*[
+        f"CASE WHEN id % 7 <> {i % 7} THEN (id * {2 * i + 1} + id % 91 * {i % 5} + id % 13) % {11 + i} END AS x{i}" for i in range(40)])
+    expected = by_pair(profile.correlation_matrix(df, columns=df.columns[:12]))
+
+    def spied(name):
+        plain = getattr(type(df), name)
+
+        def action(self, *args, **kwargs):
+            seen.append((name, int(spark.conf.get(limit))))
+            return plain(self, *args, **kwargs)
+        monkeypatch.setattr(type(df), name, action)
+
+    spied("collect")
+    spied("checkpoint")
+    before = spark.conf.get(limit)
+    wide = profile.correlation_matrix(df)
+    assert seen == [("collect", 8000), ("checkpoint", 8000)] and spark.conf.get(limit) == before
+    got = by_pair(wide)
+    assert len(got) == 780 and all(abs(got[pair] - r) <= 2e-6 for pair, r in expected.items())
+
+
+def test_method_limit_is_put_back(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    for own, inside in (("4000", "4000"), ("20000", "8000")):
+        spark.conf.set(limit, own)
+        try:
+            with pytest.raises(ValueError), compiled_methods(spark):
+                assert spark.conf.get(limit) == inside
+                raise ValueError
+            assert spark.conf.get(limit) == own
+        finally:
+            spark.conf.unset(limit)
